@@ -69,21 +69,24 @@ def null_drop(df: DataFrame) -> DataFrame:
 
 
 def fill_values(df: DataFrame, strategy: str, exact: bool = True) -> dict[str, object]:
-    """The replacement per column: one report-sized row per column reaches the driver."""
+    """The replacement per column that has gaps: one report-sized row per column reaches the driver.
+
+    Only columns with missing values are counted or ranked.
+    """
     kinds = field_kinds(df)
-    numeric = numeric_columns(df)
+    gaps = [r["column"] for r in null_counts(df).collect() if r["nulls"]]
+    numeric = [c for c in gaps if is_number(kinds[c]) and strategy != "fill_mode"]
+    by_mode = [c for c in gaps if c not in numeric]
     fills: dict[str, object] = {}
-    by_mode = list(kinds) if strategy == "fill_mode" else [c for c in kinds if c not in numeric]
-    if strategy == "fill_mean" and numeric:
+    if numeric and strategy == "fill_mean":
         stats = wide_stats(df, lambda n, t: {"v": F.avg(present(n, t))}, numeric)
         fills = {r["column"]: r["v"] for r in stats.collect()}
-    elif strategy == "fill_median" and numeric:
+    elif numeric:
         fills = {r["column"]: r["q0"] for r in quantiles(df, numeric, [0.5], exact).collect()}
     if by_mode:
-        for r in value_stats(df, by_mode).collect():
-            fills[r["column"]] = r["mode"]
-        if strategy != "fill_mode":
-            fills.update({c: "" for c in by_mode if c not in fills and isinstance(kinds[c], T.StringType)})
+        fills.update({r["column"]: r["mode"] for r in value_stats(df, by_mode).collect()})
+    if strategy != "fill_mode":
+        fills.update({c: "" for c in by_mode if c not in fills and isinstance(kinds[c], T.StringType)})
     return fills
 
 
@@ -389,3 +392,8 @@ def null_strategy_hint(df: DataFrame) -> DataFrame:
     return share.select("null_share", F.when(F.col("null_share") == 0, None)
                         .when(F.col("null_share") < 0.05, "fill_mode")
                         .when(F.col("null_share") < 0.20, "fill_median").otherwise("drop_rows").alias("strategy"))
+
+
+def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
+    """First ``n`` rows in key order (a bounded heap per partition, no full sort)."""
+    return df.orderBy(*[cell(c) for c in order_by]).limit(n)
