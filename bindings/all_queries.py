@@ -1,3 +1,3 @@
 """Imports every family so that its queries are registered."""
 
-from . import rules, tables  # noqa: F401
+from . import labelling, rules, tables  # noqa: F401

@@ -114,20 +114,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _names(text: str) -> list[str]:
+    return re.findall(r"(?<!{){(\w+)}", text)
+
+
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A base table or a derived input."""
     if name in TABLES:
         return spark.read.parquet(f"{sf}/{name}.parquet")
     text = INPUTS[name]
-    needed = set(re.findall(r"\{(\w+)\}", text))
+    needed = set(_names(text))
     return spark.sql(text, **{n: load(spark, sf, n) for n in needed})
 
 
+def _plain(text: str) -> str:
+    """Placeholders as names, doubled braces as single ones."""
+    return re.sub(r"(?<!{){(\w+)}", r"\1", text).replace("{{", "{").replace("}}", "}")
+
+
 def _needed(sql: str) -> list[str]:
     order: list[str] = []
 
     def visit(name: str) -> None:
-        for inner in re.findall(r"\{(\w+)\}", INPUTS[name]):
+        for inner in _names(INPUTS[name]):
             if inner in INPUTS:
                 visit(inner)
         if name not in order:
@@ -141,7 +150,7 @@ def _needed(sql: str) -> list[str]:
 
 def with_inputs(sql: str) -> str:
     """The SQL text preceded by the derived inputs it uses."""
-    parts = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', INPUTS[n])})" for n in _needed(sql)]
+    parts = [f"{n} AS ({_plain(INPUTS[n])})" for n in _needed(sql)]
     if not parts:
         return sql
     head = ",\n".join(parts)
