@@ -130,3 +130,26 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
         part = place - F.floor(place)
         out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part).alias(names[i]))
     return wide.select("column", "n", *out)
+
+
+GROUP_LIMIT = 50_000
+
+
+def with_parts(df: DataFrame, key: Sequence[str], order_by: Sequence[Column],
+               limit: int = GROUP_LIMIT, name: str = "part") -> DataFrame:
+    """Add a part number that keeps every (key, part) group within ``limit`` rows, in order.
+
+    Nearly always no key is larger than the limit and every part is 0. Rows of larger keys are ranked
+    and cut into parts, so a key holding a large share of the table is still spread over many tasks.
+    """
+    sizes = df.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    if sizes.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    big = materialise(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]), "big-groups")
+    on = F.lit(True)
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    small = df.join(big, on, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    ranked = with_rank(df.join(big, on, "left_semi"), order_by, key, "_rank")
+    parts = ranked.withColumn(name, F.floor((F.col("_rank") - 1) / limit).cast("long")).drop("_rank")
+    return small.unionByName(parts)
