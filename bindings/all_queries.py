@@ -1,3 +1,3 @@
 """Imports every family so that its queries are registered."""
 
-from . import catalog, documents, labelling, rules, tables  # noqa: F401
+from . import annotations, catalog, documents, labelling, rules, sources, tables  # noqa: F401
