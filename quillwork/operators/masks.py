@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import spread
 from .ranking import with_parts
 
 # Longest accepted text, smallest outline, outline tolerance in pixels.
@@ -108,22 +109,22 @@ def mask_stats(df: DataFrame, mask: str = "mask") -> DataFrame:
 
 # ---- outlines -----------------------------------------------------------------------------------
 
-_STEPS = np.array([(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)])  # clockwise from east
+# Ways are numbered clockwise from east; after a move the scan resumes behind the pixel just left.
+_SCAN = [tuple((back + turn) % 8 for turn in range(1, 9)) for back in range(8)]
 
 
-def _walk(ground: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]:
+def _walk(ground: bytes, stride: int, start: int) -> list[int]:
     """Boundary pixels clockwise from ``start`` (entered from the west) until it is met again."""
-    path = [start]
-    at, came = start, 4
-    for _ in range(8 * ground.size):
-        for turn in range(1, 9):
-            way = (came + turn) % 8
-            to = (at[0] + _STEPS[way][0], at[1] + _STEPS[way][1])
-            if ground[to]:
+    steps = (1, stride + 1, stride, stride - 1, -1, -stride - 1, -stride, 1 - stride)
+    path, at, back = [start], start, 4
+    for _ in range(8 * len(ground)):
+        for way in _SCAN[back]:
+            if ground[at + steps[way]]:
                 break
         else:
             return path
-        at, came = to, (way + 4) % 8
+        at += steps[way]
+        back = way ^ 4
         if at == start:
             return path
         path.append(at)
@@ -158,15 +159,17 @@ def _thin(ring: np.ndarray, tolerance: float) -> np.ndarray:
 def outlines(picture: np.ndarray, min_area: float = MIN_AREA, tolerance: float = TOLERANCE) -> list[np.ndarray]:
     """Simplified outlines as (x, y) pixels, largest first; specks are dropped."""
     ground = np.pad(picture, 1)
+    stride = ground.shape[1]
     fresh = ground & ~np.roll(ground, 1, axis=1)  # foreground with background on its left
-    seen = np.zeros_like(ground)
+    flat, seen = ground.tobytes(), bytearray(ground.size)
     rings = []
-    for start in map(tuple, np.argwhere(fresh)):
+    for start in np.flatnonzero(fresh).tolist():
         if seen[start]:
             continue
-        path = _walk(ground, start)
-        rows, cols = np.array(path).T
-        seen[rows, cols] = True
+        path = _walk(flat, stride, start)
+        for at in path:
+            seen[at] = 1
+        rows, cols = np.divmod(np.array(path), stride)
         ring = np.stack((cols - 1, rows - 1), axis=1)
         if len(ring) >= 3 and _shoelace(ring) >= min_area:
             rings.append(ring)
@@ -189,9 +192,13 @@ def mask_polygons(size: pd.Series, counts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def explode_polygons(df: DataFrame, mask: str = "mask") -> DataFrame:
-    """One row per outline: ``df`` without the mask plus (ring, points)."""
+def explode_polygons(df: DataFrame, mask: str = "mask", spread_work: bool = True) -> DataFrame:
+    """One row per outline: ``df`` without the mask plus (ring, points).
+
+    Tracing costs far more than moving the short run text, so the rows are spread first.
+    """
     c = F.col(mask)
+    df = spread(df) if spread_work else df
     return df.withColumn("_p", mask_polygons(c["size"], c["counts"])).select(
         *[x for x in df.columns if x != mask], F.posexplode("_p").alias("ring", "points"))
 
@@ -211,17 +218,15 @@ def png_bytes(picture: np.ndarray) -> bytes:
 
 
 def fill_polygon(points: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Pixels whose centre lies inside the polygon (even-odd rule)."""
+    """Pixels whose centre lies inside the polygon (even-odd rule); one sweep per edge."""
     x = np.arange(width) + 0.5
     inside = np.zeros((height, width), dtype=bool)
-    a, b = points, np.roll(points, -1, axis=0)
-    for row in range(max(0, int(points[:, 1].min()) - 1), min(height, int(points[:, 1].max()) + 2)):
-        y = row + 0.5
-        crossing = (a[:, 1] <= y) != (b[:, 1] <= y)
-        p, q = a[crossing], b[crossing]
-        if len(p):
-            at = p[:, 0] + (y - p[:, 1]) * (q[:, 0] - p[:, 0]) / (q[:, 1] - p[:, 1])
-            inside[row] = (at[None, :] > x[:, None]).sum(axis=1) % 2 == 1
+    for (x0, y0), (x1, y1) in zip(points, np.roll(points, -1, axis=0)):
+        first, last = sorted((y0, y1))
+        rows = np.arange(max(0, int(np.ceil(first - 0.5))), min(height, int(np.ceil(last - 0.5))))
+        if len(rows):
+            crossing = x0 + (rows + 0.5 - y0) * (x1 - x0) / (y1 - y0)
+            inside[rows] ^= x[None, :] < crossing[:, None]
     return inside
 
 
@@ -249,7 +254,7 @@ def _paint(rows: pd.DataFrame) -> pd.DataFrame:
                 unreadable += 1
         elif r.kind == "bbox":
             boxes += 1
-    return pd.DataFrame([(rows["asset_id"].iloc[0], rows["part"].iloc[0], width, height, zlib.compress(layer.tobytes()),
+    return pd.DataFrame([(rows["asset_id"].iloc[0], rows["part"].iloc[0], width, height, zlib.compress(layer.tobytes(), 1),
                           boxes, unreadable)],
                         columns=["asset_id", "part", "width", "height", "layer", "boxes", "unreadable"])
 
@@ -263,7 +268,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
         out = np.where(upper > 0, upper, out)
     last = rows.iloc[:1].copy()
     last["part"] = int(rows["up"].iloc[0])
-    last["layer"] = [zlib.compress(out.astype(np.uint8).tobytes())]
+    last["layer"] = [zlib.compress(out.astype(np.uint8).tobytes(), 1)]
     last["boxes"], last["unreadable"] = int(rows["boxes"].sum()), int(rows["unreadable"].sum())
     return last.drop(columns=["up"])
 
@@ -277,7 +282,7 @@ def class_layers(annotations: DataFrame, limit: int = 20_000, fan_in: int = 64)
     """
     wanted = annotations.filter("kind <> 'classification' and width > 0 and height > 0")
     split = with_parts(wanted, ["asset_id"], [F.col("seq")], limit)
-    layers = split.groupBy("asset_id", "part").applyInPandas(_paint, LAYER_FIELDS)
+    layers = spread(split, "asset_id", "part").groupBy("asset_id", "part").applyInPandas(_paint, LAYER_FIELDS)
     top = split.agg(F.max("part")).first()[0] or 0
     while top > 0:
         up = layers.withColumn("up", F.floor(F.col("part") / fan_in).cast("long"))
