@@ -1,3 +1,4 @@
 """Imports every family so that its queries are registered."""
 
-from . import annotations, catalog, documents, exports, labelling, rules, sources, tables  # noqa: F401
+from . import (annotations, catalog, documents, exports, labelling, rules, sources, tables,  # noqa: F401
+               vectors)

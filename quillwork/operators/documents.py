@@ -41,9 +41,10 @@ SPLITTERS = {"blank_line": split_blank, "line": split_line, "file": split_file,
 def pieces(df: DataFrame, text: str, strategy: str) -> DataFrame:
     """``df`` without ``text`` plus (position, piece, of): one row per piece."""
     cut = df.withColumn("_pieces", SPLITTERS[strategy](newlines(F.col(text)))).drop(text)
+    # The outer form keeps the optimizer from testing the size below, which would split every text twice.
     flat = cut.select(*[c for c in cut.columns if c != "_pieces"], F.size("_pieces").alias("of"),
-                      F.posexplode("_pieces").alias("position", "piece"))
-    return flat
+                      F.posexplode_outer("_pieces").alias("position", "piece"))
+    return flat.filter("position is not null")
 
 
 def build_documents(files: DataFrame, strategy: str = "auto", start_index: int = 0,

@@ -199,8 +199,9 @@ def explode_polygons(df: DataFrame, mask: str = "mask", spread_work: bool = True
     """
     c = F.col(mask)
     df = spread(df) if spread_work else df
+    # The outer form keeps the optimizer from adding a size test, which would trace every mask twice.
     return df.withColumn("_p", mask_polygons(c["size"], c["counts"])).select(
-        *[x for x in df.columns if x != mask], F.posexplode("_p").alias("ring", "points"))
+        *[x for x in df.columns if x != mask], F.posexplode_outer("_p").alias("ring", "points")).filter("ring is not null")
 
 
 # ---- painting -----------------------------------------------------------------------------------

@@ -122,7 +122,7 @@ def yolo(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str
     if "mask" in annotations.columns:
         rings = objects.filter("kind = 'mask'").select(
             "asset_id", F.col(seq).alias("seq"), "class_index",
-            F.explode(mask_polygons(F.col("mask.size"), F.col("mask.counts"))).alias("ring"))
+            F.explode_outer(mask_polygons(F.col("mask.size"), F.col("mask.counts"))).alias("ring")).filter("ring is not null")
         flat = F.transform("ring", lambda p: F.format_string(f"{six} {six}", G.clamp01(p[0]), G.clamp01(p[1])))
         lines = lines.unionByName(rings.select("asset_id", "seq", F.concat_ws(
             " ", F.col("class_index").cast("string"), F.array_join(flat, " ")).alias("line")))
