@@ -169,13 +169,13 @@ def ail_classify_images(spark, sf):
 
 @register("vec_kmeans")
 def vec_kmeans(spark, sf):
-    clustered, _ = V.kmeans(load(spark, sf, "lineitem").select(*PARTS), 5)
+    clustered, _ = V.kmeans(load(spark, sf, "lineitem").select(*PARTS), 5, spread_work=True)
     return V.cluster_sizes(clustered)
 
 
 @register("vec_kmeans_centers")
 def vec_kmeans_centers(spark, sf):
-    _, facts = V.kmeans(load(spark, sf, "lineitem").select(*PARTS), 5)
+    _, facts = V.kmeans(load(spark, sf, "lineitem").select(*PARTS), 5, spread_work=True)
     rows = [(i, [round(x, 6) for x in c], round(facts["inertia"], 4)) for i, c in enumerate(facts["centers"])]
     return spark.createDataFrame(rows, "cluster int, center array<double>, inertia double")
 
@@ -189,7 +189,7 @@ def vec_pca(spark, sf):
 
 @register("vec_silhouette")
 def vec_silhouette(spark, sf):
-    clustered, facts = V.kmeans(load(spark, sf, "lineitem").select(*PARTS), 5)
+    clustered, facts = V.kmeans(load(spark, sf, "lineitem").select(*PARTS), 5, spread_work=True)
     return spark.createDataFrame([(facts["n_clusters"], V.silhouette(clustered))], "clusters int, silhouette_sq double")
 
 

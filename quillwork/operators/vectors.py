@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from ..scratch import materialise, spread
 from .columnstats import cell, field_kinds, numeric_columns, present, text_columns, wide_stats
 from .neighbors import knn_join
 
@@ -65,37 +66,55 @@ def tfidf(df: DataFrame, doc_id: str, text: str, max_terms: int = MAX_TERMS) ->
     return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def svd(weights: DataFrame, size: int = SVD_SIZE) -> tuple[DataFrame, list[float]]:
+def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """XᵀX·basis in one pass: each task folds its documents into one (terms x columns) matrix."""
+    width, size = basis.shape
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, size))
+        for batch in batches:
+            for at, w in zip(batch["at"], batch["w"]):
+                total[at] += np.outer(w, w @ basis[at])
+        yield pd.DataFrame({"m": [total.tobytes()]})
+
+    parts = rows.select("at", "w").mapInPandas(partial, "m binary").rdd.map(lambda r: np.frombuffer(r["m"]))
+    # Partial sums meet on the executors in a tree; the driver gets a few matrices of bounded size.
+    return parts.treeReduce(np.add, depth=3).reshape(width, size)
+
+
+def svd(weights: DataFrame, size: int = SVD_SIZE, passes: int = 7, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
     """((doc_id, vector), singular values): projection on the leading right singular vectors.
 
-    A document is a sparse row of at most the vocabulary's width; the basis (vocabulary x size) is small and
-    goes to the tasks with the function.
+    Randomised subspace iteration: a fixed number of passes over the documents, each reduced to a matrix of
+    (vocabulary x size), so neither documents nor their products are gathered.
     """
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    names = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]  # <= MAX_TERMS
+    weights = materialise(weights, "weights")
+    names = [r["term"] for r in weights.select("term").distinct().orderBy("term").limit(MAX_TERMS).collect()]
+    spark = weights.sparkSession
+    numbers = spark.createDataFrame(list(enumerate(names)), "at int, term string")
+    placed = weights.join(F.broadcast(numbers), "term")  # at most MAX_TERMS rows
+    rows = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("t"))
+    rows = materialise(rows.select("doc_id", F.transform("t", lambda x: x["at"]).alias("at"),
+                                   F.transform("t", lambda x: x["weight"]).alias("w")), "tfidf")
     width = len(names)
-    index = {t: i for i, t in enumerate(names)}
-    rows = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("terms"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    n = rows.count()
-    k = max(1, min(size, n - 1, width - 1))
-    sparse = rows.select("terms").rdd.map(
-        lambda r: OldVectors.sparse(width, sorted((index[t["term"]], t["weight"]) for t in r["terms"])))
-    result = RowMatrix(sparse, n, width).computeSVD(k, computeU=False)
-    basis = result.V.toArray()
-    # The sign of a singular vector is free: make its largest entry positive.
-    signs = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(basis.shape[1])])
-    basis = basis * np.where(signs == 0, 1, signs)
+    k = max(1, min(size, rows.count() - 1, width - 1))
+    basis = np.random.default_rng(seed).standard_normal((width, min(width, k + 10)))
+    for _ in range(passes):
+        basis, _ = np.linalg.qr(_gram_times(rows, basis))
+    values, turn = np.linalg.eigh(basis.T @ _gram_times(rows, basis))
+    order = np.argsort(values)[::-1][:k]
+    right = basis @ turn[:, order]
+    # The sign of a singular vector is free: its largest entry is made positive.
+    signs = np.sign(right[np.abs(right).argmax(axis=0), np.arange(k)])
+    right = right * np.where(signs == 0, 1, signs)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [sum(t["weight"] * basis[index[t["term"]]] for t in terms) for terms in batch["terms"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "vector": [v.tolist() for v in out]})
+            out = [(w @ right[at]).tolist() for at, w in zip(batch["at"], batch["w"])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "vector": out})
 
-    vectors = rows.mapInPandas(project, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, vector array<double>")
-    return vectors, [float(s) for s in result.s]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInPandas(project, f"doc_id {kind}, vector array<double>"), np.sqrt(np.maximum(values[order], 0))
 
 
 # ---- encoders -----------------------------------------------------------------------------------
@@ -238,11 +257,11 @@ def reduce_features(features: DataFrame, components: int) -> tuple[DataFrame, li
 
 
 def kmeans(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, max_features: int = MAX_FEATURES,
-           seed: int = 42, restarts: int = 1) -> tuple[DataFrame, dict]:
+           seed: int = 42, restarts: int = 1, spread_work: bool = False) -> tuple[DataFrame, dict]:
     """(rows with ``cluster``, facts): standardise, reduce wide input, cluster.
 
     Facts hold n_clusters, inertia, centers and explained variance. The scaled rows are kept for the rounds of
-    the fit. ``restarts`` keeps the best of several seeds.
+    the fit. ``restarts`` keeps the best of several seeds. ``spread_work`` is for input of very few splits.
     """
     columns = list(columns or numeric_columns(df))
     count = cluster_count(df, columns, k) if columns else 0
@@ -253,7 +272,7 @@ def kmeans(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, max_
     variance: list[float] = []
     if len(columns) > max_features:
         scaled, variance = reduce_features(scaled, min(2 * count, len(columns), df.limit(2 * count).count()))
-    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = (spread(scaled) if spread_work else scaled).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fits = [KMeans(k=count, maxIter=300, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(scaled)
                 for i in range(restarts)]
