@@ -68,7 +68,10 @@ def completeness(entries: DataFrame, expected: Sequence[str] | None = None) -> D
 
 
 def evaluate(entries: DataFrame, total_items: int, expected: Sequence[str] | None = None) -> DataFrame:
-    """(dimension, score, weight): the five scores."""
+    """(dimension, score, weight): the five scores; all zero when there is nothing to evaluate."""
+    if total_items <= 0 and entries.isEmpty():
+        rows = [(k, 0.0, w) for k, w in WEIGHTS.items()]
+        return entries.sparkSession.createDataFrame(rows, "dimension string, score double, weight double")
     parts = {"coverage": coverage(entries, total_items), "balance": balance(entries),
              "confidence": confidence(entries), "consistency": consistency(entries),
              "completeness": completeness(entries, expected)}
