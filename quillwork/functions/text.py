@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 NUMBER_PATTERN = r"^\s*[+-]?(?!0\d)(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+# The characters counted as white space.
+WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: Column) -> Column:
-    """Remove leading and trailing white space of every kind (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing white space of every kind (``trim`` alone removes blanks only)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:
-    return ~c.rlike(r"(?U)\S")
+    return strip(c) == ""
 
 
 def collapse(c: Column) -> Column:

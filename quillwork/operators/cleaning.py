@@ -14,7 +14,7 @@ from ..functions.text import strip, title
 from ..scratch import materialise
 from .columnstats import (cell, field_kinds, is_number, normalise_nan, numeric_columns, present,
                           text_columns, value_stats, wide_stats)
-from .ranking import quantiles, with_rank
+from .ranking import number_counts, quantiles, quantiles_of_counts, with_rank
 
 MAX_ONEHOT = 50
 MAX_OUTLIER_SHARE = 0.10
@@ -147,16 +147,18 @@ def outlier_fences(df: DataFrame, multiplier: float = 1.5, exact: bool = True) -
 
     Left out: all-missing columns, 0/1 columns, zero quartile range, one value in over half the rows.
     """
-    numeric = numeric_columns(df)
-    spread = quantiles(df, numeric, [0.25, 0.75], exact)
-    flags = wide_stats(df, lambda n, t: {
-        "binary": F.coalesce(F.min(present(n, t).cast("double").isin(0.0, 1.0)), F.lit(True))}, numeric)
-    shares = value_stats(df, numeric).select("column", "mode_count")
-    return (spread.join(flags, "column").join(shares, "column")
+    counted = number_counts(df, numeric_columns(df))
+    shapes = counted.groupBy("column").agg(F.max("n").alias("mode_count"), F.sum("n").alias("filled"),
+                                           F.min(F.col("value").isin(0.0, 1.0)).alias("binary"))
+    if exact:
+        spread = quantiles_of_counts(counted, [0.25, 0.75])
+    else:
+        spread = quantiles(df, numeric_columns(df), [0.25, 0.75], exact=False)
+    reach = multiplier * (F.col("q1") - F.col("q0"))
+    return (spread.drop("n").join(shapes, "column")
             .filter((F.col("q1") != F.col("q0")) & ~F.col("binary")
-                    & (F.col("mode_count") <= 0.5 * F.col("n")))
-            .select("column", (F.col("q0") - multiplier * (F.col("q1") - F.col("q0"))).alias("lower"),
-                    (F.col("q1") + multiplier * (F.col("q1") - F.col("q0"))).alias("upper")))
+                    & (F.col("mode_count") <= 0.5 * F.col("filled")))
+            .select("column", (F.col("q0") - reach).alias("lower"), (F.col("q1") + reach).alias("upper")))
 
 
 def _outside(name: str, kind: T.DataType, lower: float, upper: float) -> Column:

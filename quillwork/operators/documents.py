@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, is_blank, json_text, newlines, strip
+from ..scratch import balance, materialise
 from .ranking import with_neighbors, with_parts, with_running_total
 
 SNIPPET_CHARS = 200
@@ -40,7 +41,7 @@ SPLITTERS = {"blank_line": split_blank, "line": split_line, "file": split_file,
 
 def pieces(df: DataFrame, text: str, strategy: str) -> DataFrame:
     """``df`` without ``text`` plus (position, piece, of): one row per piece."""
-    cut = df.withColumn("_pieces", SPLITTERS[strategy](newlines(F.col(text)))).drop(text)
+    cut = balance(df).withColumn("_pieces", SPLITTERS[strategy](newlines(F.col(text)))).drop(text)
     # The outer form keeps the optimizer from testing the size below, which would split every text twice.
     flat = cut.select(*[c for c in cut.columns if c != "_pieces"], F.size("_pieces").alias("of"),
                       F.posexplode_outer("_pieces").alias("position", "piece"))
@@ -54,7 +55,9 @@ def build_documents(files: DataFrame, strategy: str = "auto", start_index: int =
     Only (file_no, number of pieces) is ranked globally; the text itself moves once, in the join.
     """
     split = SPLITTERS[strategy]
-    counts = files.select(order_by, F.size(split(newlines(F.col("content")))).cast("long").alias("n"))
+    counts = balance(files).select(order_by, F.size(split(newlines(F.col("content")))).cast("long").alias("n"))
+    # Written first: the range partitioning below samples its input, which would split every text again.
+    counts = materialise(counts, "counts")
     upto = with_running_total(counts, "n", [F.col(order_by)], name="upto")
     offsets = upto.select(order_by, (F.col("upto") - F.col("n") + start_index).alias("offset"))
     flat = pieces(files, "content", strategy).join(offsets, order_by)

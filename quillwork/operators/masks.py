@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import spread
+from ..scratch import balance, spread
 from .ranking import with_parts
 
 # Longest accepted text, smallest outline, outline tolerance in pixels.
@@ -104,7 +104,7 @@ def mask_facts(size: pd.Series, counts: pd.Series) -> pd.DataFrame:
 def mask_stats(df: DataFrame, mask: str = "mask") -> DataFrame:
     """``df`` plus area, x, y, w, h (pixels) and problem (NULL when the mask is sound)."""
     c = F.col(mask)
-    return df.withColumn("_f", mask_facts(c["size"], c["counts"])).select(*df.columns, "_f.*")
+    return balance(df).withColumn("_f", mask_facts(c["size"], c["counts"])).select(*df.columns, "_f.*")
 
 
 # ---- outlines -----------------------------------------------------------------------------------
@@ -192,13 +192,10 @@ def mask_polygons(size: pd.Series, counts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def explode_polygons(df: DataFrame, mask: str = "mask", spread_work: bool = True) -> DataFrame:
-    """One row per outline: ``df`` without the mask plus (ring, points).
-
-    Tracing costs far more than moving the short run text, so the rows are spread first.
-    """
+def explode_polygons(df: DataFrame, mask: str = "mask") -> DataFrame:
+    """One row per outline: ``df`` without the mask plus (ring, points)."""
     c = F.col(mask)
-    df = spread(df) if spread_work else df
+    df = balance(df)
     # The outer form keeps the optimizer from adding a size test, which would trace every mask twice.
     return df.withColumn("_p", mask_polygons(c["size"], c["counts"])).select(
         *[x for x in df.columns if x != mask], F.posexplode_outer("_p").alias("ring", "points")).filter("ring is not null")

@@ -100,36 +100,57 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter("value is not null and not isnan(value)")
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-              exact: bool = True) -> DataFrame:
-    """(column, n, q0, q1, ...) with linear interpolation between the two nearest values.
+def number_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n) of the non-missing numbers, written once for several uses."""
+    return materialise(long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n")), "numbers")
+
 
-    Exact mode counts distinct values first and finds the two order statistics from running counts, so
-    no task ever holds a whole column. ``exact=False`` uses the one-pass sketch.
+def quantiles_of_counts(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """(column, n, q0, q1, ...) from (column, value, n), with linear interpolation.
+
+    The counts are range-partitioned by value. Partition sizes alone tell which partitions hold the wanted
+    order statistics; only those few are sorted, so the cost after the one shuffle does not grow with the data.
     """
-    names = [f"q{i}" for i in range(len(probabilities))]
-    long = long_numbers(df, columns)
-    if not exact:
-        return long.groupBy("column").agg(
-            F.count("*").alias("n"),
-            *[F.percentile_approx("value", p, 100000).alias(q) for p, q in zip(probabilities, names)])
-    counted = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    running = with_running_total(counted, "n", [F.col("value")], ["column"], "upto")
-    totals = running.groupBy("column").agg(F.max("upto").alias("total"))
-    placed = running.join(F.broadcast(totals), "column")  # one row per numeric column
+    staged = _staged(counted, ["column"], [F.col("value")])
+    sizes = staged.groupBy("_part", "column").agg(F.sum("n").alias("_size"))
+    whole = Window.partitionBy("column")  # at most one row per partition
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+              .withColumn("_total", F.sum("_size").over(whole)))
+    wanted = []
+    for p in probabilities:
+        place = (F.col("_total") - 1) * F.lit(float(p))
+        wanted += [F.floor(place), F.ceil(place)]
+    here = F.lit(False)
+    for k in wanted:
+        here = here | ((k >= F.col("_before")) & (k < F.col("_before") + F.col("_size")))
+    pairs = placed.filter(here).drop("_size")  # at most two per column and probability
+    local = Window.partitionBy("_part", "column").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    near = staged.join(F.broadcast(pairs), ["_part", "column"]).withColumn(
+        "_upto", F.col("_before") + F.sum("n").over(local))
     picks = []
-    for i, p in enumerate(probabilities):
-        place = (F.col("total") - 1) * F.lit(float(p))
-        for tag, k in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            hit = (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"{tag}{i}"))
-    wide = placed.groupBy("column").agg(F.first("total").alias("n"), *picks)
+    for i, k in enumerate(wanted):
+        hit = (F.col("_upto") > k) & (F.col("_upto") - F.col("n") <= k)
+        picks.append(F.max(F.when(hit, F.col("value"))).alias(f"v{i}"))
+    found = near.groupBy("column").agg(F.max("_total").alias("n"), *picks)
     out = []
     for i, p in enumerate(probabilities):
         place = (F.col("n") - 1) * F.lit(float(p))
-        part = place - F.floor(place)
-        out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part).alias(names[i]))
-    return wide.select("column", "n", *out)
+        low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
+        out.append((low + (high - low) * (place - F.floor(place))).alias(f"q{i}"))
+    return found.select("column", "n", *out)
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
+              exact: bool = True) -> DataFrame:
+    """(column, n, q0, q1, ...); exact through value counts, or the one-pass sketch with ``exact=False``."""
+    if exact:
+        counted = long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+        return quantiles_of_counts(counted, probabilities)
+    return long_numbers(df, columns).groupBy("column").agg(
+        F.count("*").alias("n"),
+        *[F.percentile_approx("value", p, 100000).alias(f"q{i}") for i, p in enumerate(probabilities)])
 
 
 GROUP_LIMIT = 50_000

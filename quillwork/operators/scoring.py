@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from ..scratch import balance
 
 Scores = list[tuple[str, float, str]]
 Factory = Callable[[], Callable[[Sequence, Sequence[str]], Scores]]
@@ -90,7 +91,7 @@ def classify(df: DataFrame, item: str, labels: Sequence[str], factory: Factory =
     schema = T.StructType(df.schema.fields + [
         T.StructField("predicted_label", T.StringType()), T.StructField("confidence", T.DoubleType()),
         T.StructField("reasoning", T.StringType())])
-    return (df.repartition(tasks) if tasks else df).mapInPandas(run, schema)
+    return (df.repartition(tasks) if tasks else balance(df)).mapInPandas(run, schema)
 
 
 def scoring_report(scored: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..scratch import materialise, spread
+from ..scratch import balance, materialise
 from .columnstats import cell, field_kinds, numeric_columns, present, text_columns, wide_stats
 from .neighbors import knn_join
 
@@ -42,7 +42,7 @@ def stop_words() -> list[str]:
 def term_counts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf) without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
-    flat = df.select(cell(doc_id).alias("doc_id"), F.explode_outer(words).alias("term")).filter("term is not null")
+    flat = balance(df.select(doc_id, text)).select(cell(doc_id).alias("doc_id"), F.explode_outer(words).alias("term")).filter("term is not null")
     stops = [w for w in stop_words() if len(w) > 1]
     return flat.filter(~F.col("term").isin(stops)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
@@ -147,7 +147,7 @@ def embed(df: DataFrame, item_id: str, item: str, encoder: Encoder, tasks: int |
 
     kind = df.schema[item_id].dataType.simpleString()
     picked = df.select(item_id, item)
-    raw = (picked.repartition(tasks) if tasks else picked).mapInPandas(run, f"item_id {kind}, vector array<double>")
+    raw = (picked.repartition(tasks) if tasks else balance(picked)).mapInPandas(run, f"item_id {kind}, vector array<double>")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     return raw.withColumn("_n", norm).select("item_id", F.when(
         F.col("_n") > 0, F.transform("vector", lambda x: x / F.col("_n"))).otherwise(F.col("vector")).alias("vector"))
@@ -257,11 +257,11 @@ def reduce_features(features: DataFrame, components: int) -> tuple[DataFrame, li
 
 
 def kmeans(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, max_features: int = MAX_FEATURES,
-           seed: int = 42, restarts: int = 1, spread_work: bool = False) -> tuple[DataFrame, dict]:
+           seed: int = 42, restarts: int = 1) -> tuple[DataFrame, dict]:
     """(rows with ``cluster``, facts): standardise, reduce wide input, cluster.
 
     Facts hold n_clusters, inertia, centers and explained variance. The scaled rows are kept for the rounds of
-    the fit. ``restarts`` keeps the best of several seeds. ``spread_work`` is for input of very few splits.
+    the fit. ``restarts`` keeps the best of several seeds.
     """
     columns = list(columns or numeric_columns(df))
     count = cluster_count(df, columns, k) if columns else 0
@@ -272,7 +272,7 @@ def kmeans(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, max_
     variance: list[float] = []
     if len(columns) > max_features:
         scaled, variance = reduce_features(scaled, min(2 * count, len(columns), df.limit(2 * count).count()))
-    scaled = (spread(scaled) if spread_work else scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = balance(scaled).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fits = [KMeans(k=count, maxIter=300, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(scaled)
                 for i in range(restarts)]

@@ -45,3 +45,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Spread a small input over all slots; leave a large one as its splits have it.
+
+    The size is the optimizer's estimate. Below one default split per slot a shuffle costs next to nothing
+    and keeps heavy expressions from running in one task; above it the scan is parallel anyway.
+    """
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = 128 * 1024 * 1024
+    return df.repartition(slots) if size < slots * split else df

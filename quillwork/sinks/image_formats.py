@@ -17,6 +17,7 @@ from ..functions.text import xml_escape
 from ..operators.annotations import SPLITS, with_rect
 from ..operators.masks import mask_facts, mask_polygons
 from ..operators.ranking import with_parts, with_rank
+from ..scratch import materialise
 
 UNLABELED = "_unlabeled_"
 
@@ -64,7 +65,8 @@ def unique_names(images: DataFrame, order_by: Sequence[str] = ("asset_id",)) ->
     named = images.withColumns({"_stem": stem, "ext": ext})
     ranked = with_rank(named, [F.col(c) for c in order_by], ["_stem"], "_r")
     full = F.when(F.col("_r") == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", F.col("_r").cast("string")))
-    return ranked.withColumn("stem", full).drop("_stem", "_r")
+    # Every format reads the names several times; the table is one narrow row per image.
+    return materialise(ranked.withColumn("stem", full).drop("_stem", "_r"), "names")
 
 
 def name_collisions(named: DataFrame) -> DataFrame:
