@@ -60,7 +60,7 @@ INPUTS = {
                     WHEN o_orderkey % 10 < 9 THEN 'valid' ELSE 'test' END AS split
         FROM {orders} WHERE o_orderkey % 4 <> 0""",
     "classes": """
-        SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INT) AS class_index, name
+        SELECT CASE name WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS class_index, name
         FROM (SELECT DISTINCT l_returnflag AS name FROM {lineitem} UNION ALL SELECT 'unused' AS name) c""",
     "annotations": """
         SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip, title
 from ..scratch import materialise
-from .columnstats import (cell, field_kinds, is_number, normalise_nan, numeric_columns, present,
+from .columnstats import (cell, distinct_stats, field_kinds, is_number, normalise_nan, numeric_columns, present,
                           text_columns, value_stats, wide_stats)
 from .ranking import number_counts, quantiles, quantiles_of_counts, with_rank
 
@@ -335,11 +335,11 @@ def recommend(df: DataFrame, exact: bool = True) -> DataFrame:
                 "numbered": hit(strip(s).try_cast("double").isNotNull())}
 
     facts = wide_stats(df, measures, table={"total": F.count("*")})
-    values = value_stats(df).select("column", "distinct")
+    values = distinct_stats(df).select("column", "distinct")
     text_names = [n for n, t in field_kinds(df).items() if is_plain(t)]
     facts = facts.join(values, "column", "left").fillna({"distinct": 0})
     if text_names:
-        lowered = value_stats(df.select(*[F.lower(cell(c).cast("string")).alias(c) for c in text_names]))
+        lowered = distinct_stats(df.select(*[F.lower(cell(c).cast("string")).alias(c) for c in text_names]))
         facts = facts.join(lowered.select("column", F.col("distinct").alias("folded")), "column", "left")
     else:
         facts = facts.withColumn("folded", F.lit(None).cast("long"))

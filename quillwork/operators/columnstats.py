@@ -93,6 +93,27 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return long.groupBy("column", "value", "number").agg(F.count("*").alias("n"))
 
 
+SHORT_TEXT = 40
+
+
+def distinct_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, distinct, mode_count) without the values themselves.
+
+    Long texts are counted by their digest, so whole documents never travel through the shuffle.
+    """
+    kinds = field_kinds(df)
+    columns = list(columns if columns is not None else kinds)
+
+    def short(name: str) -> Column:
+        c = present(name, kinds[name]).cast("string")
+        return F.when(F.length(c) > SHORT_TEXT, F.md5(c)).otherwise(c) if is_text(kinds[name]) else c
+
+    cells = [F.struct(F.lit(name).alias("column"), short(name).alias("value")) for name in columns]
+    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("value is not null")
+    counted = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    return counted.groupBy("column").agg(F.count("*").alias("distinct"), F.max("n").alias("mode_count"))
+
+
 def value_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, distinct, mode, mode_count): the mode is the smallest of the most frequent values."""
     return value_counts(df, columns).groupBy("column").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import finite, sample_kurtosis, sample_skewness
-from .columnstats import (cell, field_kinds, is_number_or_bool, numeric_columns, present, value_counts,
+from .columnstats import (cell, distinct_stats, field_kinds, is_number_or_bool, numeric_columns, present, value_counts,
                           value_stats, wide_stats)
 from .ranking import quantiles
 
@@ -31,7 +31,7 @@ def classify(df: DataFrame) -> DataFrame:
         "min_length": F.min(F.length(present(n, t).cast("string"))).cast("long"),
         "max_length": F.max(F.length(present(n, t).cast("string"))).cast("long"),
     }, table={"total": F.count("*")})
-    facts = facts.join(value_stats(df), "column", "left").fillna({"distinct": 0})
+    facts = facts.join(distinct_stats(df), "column", "left").fillna({"distinct": 0})
     free = (F.col("avg_length") > 50) | (F.col("distinct") / F.col("filled") > 0.5)
     kind = (F.when(F.col("storage") != "text", F.col("storage"))
             .when(F.col("filled") == 0, "categorical").when(free, "text").otherwise("categorical"))
@@ -112,6 +112,9 @@ def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, n: int
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column with everything known about it."""
     base = classify(df)
+    labels = [n for n, t in field_kinds(df).items() if isinstance(t, T.StringType)]
+    modes = value_stats(df, labels).select("column", "mode") if labels else None
+    base = base.join(modes, "column", "left") if labels else base.withColumn("mode", F.lit(None).cast("string"))
     numbers = numeric_profile(df, exact).drop("position", "n") if numeric_columns(df) else None
     out = base.select(
         "position", "column", "kind", F.col("total").alias("count"),

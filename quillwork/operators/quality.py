@@ -77,10 +77,15 @@ def column_scores(df: DataFrame) -> DataFrame:
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
-    """(rows, unique_rows): whole rows are grouped with map-side combining; NULLs are equal."""
+    """(rows, unique_rows); NULLs are equal.
+
+    Rows are counted by a 128-bit fingerprint of values and NULL marks: 16 bytes travel instead of the row.
+    """
     kinds = field_kinds(df)
-    plain = df.select(*[present(n, t).alias(n) for n, t in kinds.items()])
-    return plain.groupBy(*[f"`{c}`" for c in plain.columns]).agg(F.count("*").alias("n")).agg(
+    cells = [present(n, t) for n, t in kinds.items()]
+    marks = [c.isNull() for c in cells]
+    prints = df.select(*[F.xxhash64(F.lit(i), *cells, *marks).alias(f"h{i}") for i in (1, 2)])
+    return prints.groupBy("h1", "h2").agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("unique_rows"))
 
 

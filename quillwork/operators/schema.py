@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip
 from .cleaning import looks_like_date
-from .columnstats import (INTEGRAL, field_kinds, is_number, is_number_or_bool, present, text_columns,
-                          value_stats, wide_stats)
+from .columnstats import (INTEGRAL, distinct_stats, field_kinds, is_number, is_number_or_bool, present, text_columns,
+                          wide_stats)
 
 # Patterns and words of the type tests.
 PATTERNS = {
@@ -76,7 +76,7 @@ def schema_report(df: DataFrame) -> DataFrame:
         return out
 
     facts = wide_stats(df, measures, table={"total": F.count("*")})
-    facts = facts.join(value_stats(df).select("column", "distinct"), "column", "left").fillna({"distinct": 0})
+    facts = facts.join(distinct_stats(df).select("column", "distinct"), "column", "left").fillna({"distinct": 0})
     filled, distinct = F.col("filled"), F.col("distinct")
     diversity = distinct / F.greatest(filled, F.lit(1))
     kind = (F.when(filled == 0, "unknown")

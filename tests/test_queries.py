@@ -15,9 +15,25 @@ def con():
     return connect(SF)
 
 
+PYTHON_QUERIES = ("ann_mask_", "exp_segmentation", "ail_", "src_encoding", "src_image_meta", "vec_")
+
+
+def check_plan(name, df):
+    """No cross join, no global window, and Python only where no expression can do the work."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "Window [" in line:
+            assert not any("SinglePartition" in below for below in lines[i + 1:i + 5])
+    if not name.startswith(PYTHON_QUERIES):
+        assert not any(mark in plan for mark in ("ArrowEvalPython", "BatchEvalPython", "InPandas"))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
+    check_plan(name, df)
     if name in ORACLES:
         assert compare(df, con, ORACLES[name]) == []
     else:
