@@ -231,30 +231,50 @@ def fill_polygon(points: np.ndarray, height: int, width: int) -> np.ndarray:
 LAYER_FIELDS = "asset_id long, part long, width int, height int, layer binary, boxes long, unreadable long"
 
 
-def _paint(rows: pd.DataFrame) -> pd.DataFrame:
-    """One layer of class values from a bounded run of annotations, painted in order."""
-    rows = rows.sort_values("seq", kind="stable")
-    height, width = int(rows["height"].iloc[0]), int(rows["width"].iloc[0])
-    layer = np.zeros((height, width), dtype=np.uint8)
-    boxes = unreadable = 0
-    for r in rows.itertuples():
-        value = int(r.class_index) + 1 if pd.notna(r.class_index) else 0
-        if r.kind == "polygon" and r.points is not None and len(r.points) >= 3:
-            points = np.clip(np.array([list(p) for p in r.points], dtype=float), 0, 1) * (width, height)
-            layer[fill_polygon(points, height, width)] = value
-        elif r.kind == "mask":
-            try:
-                runs, h, w = checked_runs(r.mask["size"], r.mask["counts"])
-                if (h, w) != (height, width):
-                    raise ValueError("other size")
-                layer[grid_of(runs, h, w)] = value
-            except (ValueError, TypeError):
+def _paint_one(layer: np.ndarray, kind: str, value: int, points, mask) -> bool:
+    """Paint one shape; False when it cannot be read."""
+    height, width = layer.shape
+    if kind == "polygon":
+        if points is not None and len(points) >= 3:
+            shape = np.clip(np.array([list(p) for p in points], dtype=float), 0, 1) * (width, height)
+            layer[fill_polygon(shape, height, width)] = value
+        return True
+    try:
+        runs, h, w = checked_runs(mask["size"], mask["counts"])
+        if (h, w) == (height, width):
+            layer[grid_of(runs, h, w)] = value
+            return True
+    except (ValueError, TypeError):
+        pass
+    return False
+
+
+def _paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Layers of class values from rows in (asset, part, seq) order; one layer is in memory at a time."""
+    columns = ["asset_id", "part", "width", "height", "layer", "boxes", "unreadable"]
+    key, layer, boxes, unreadable = None, None, 0, 0
+
+    def done() -> tuple:
+        height, width = layer.shape
+        return (*key, width, height, zlib.compress(layer.tobytes(), 1), boxes, unreadable)
+
+    for batch in batches:
+        rows = []
+        for asset, part, width, height, kind, index, points, mask in zip(
+                batch["asset_id"], batch["part"], batch["width"], batch["height"], batch["kind"],
+                batch["class_index"], batch["points"], batch["mask"]):
+            if (asset, part) != key:
+                if key is not None:
+                    rows.append(done())
+                key, layer = (asset, part), np.zeros((int(height), int(width)), dtype=np.uint8)
+                boxes = unreadable = 0
+            if kind == "bbox":
+                boxes += 1
+            elif not _paint_one(layer, kind, int(index) + 1, points, mask):
                 unreadable += 1
-        elif r.kind == "bbox":
-            boxes += 1
-    return pd.DataFrame([(rows["asset_id"].iloc[0], rows["part"].iloc[0], width, height, zlib.compress(layer.tobytes(), 1),
-                          boxes, unreadable)],
-                        columns=["asset_id", "part", "width", "height", "layer", "boxes", "unreadable"])
+        yield pd.DataFrame(rows, columns=columns)
+    if key is not None:
+        yield pd.DataFrame([done()], columns=columns)
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -278,9 +298,11 @@ def class_layers(annotations: DataFrame, limit: int = 20_000, fan_in: int = 64)
     counted, not painted. An image with very many annotations is painted in parts that are then laid
     over each other ``fan_in`` at a time, so no task ever holds more than ``limit`` annotations.
     """
-    wanted = annotations.filter("kind <> 'classification' and width > 0 and height > 0")
-    split = with_parts(wanted, ["asset_id"], [F.col("seq")], limit)
-    layers = spread(split, "asset_id", "part").groupBy("asset_id", "part").applyInPandas(_paint, LAYER_FIELDS)
+    shapes = annotations.filter("kind <> 'classification' and width > 0 and height > 0").fillna({"class_index": 0})
+    split = with_parts(shapes, ["asset_id"], [F.col("seq")], limit)
+    ordered = spread(split, "asset_id", "part").sortWithinPartitions("asset_id", "part", "seq")
+    wanted = ("asset_id", "part", "width", "height", "kind", "class_index", "points", "mask")
+    layers = ordered.select(*wanted).mapInPandas(_paint, LAYER_FIELDS)
     top = split.agg(F.max("part")).first()[0] or 0
     while top > 0:
         up = layers.withColumn("up", F.floor(F.col("part") / fan_in).cast("long"))

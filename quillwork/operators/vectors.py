@@ -274,7 +274,8 @@ def kmeans(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, max_
         scaled, variance = reduce_features(scaled, min(2 * count, len(columns), df.limit(2 * count).count()))
     scaled = balance(scaled).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = [KMeans(k=count, maxIter=300, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(scaled)
+        # Done when the squared shifts of all centres add up to at most 1e-4.
+        fits = [KMeans(k=count, maxIter=300, tol=(1e-4 / count) ** 0.5, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(scaled)
                 for i in range(restarts)]
     finally:
         scaled.unpersist()
