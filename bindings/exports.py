@@ -60,8 +60,9 @@ def exp_unique_names(spark, sf):
 
 
 @register("exp_yolo", f"""WITH {KEPT}, {RECT},
-    l AS (SELECT asset_id, string_agg(class_index || ' ' || format('{{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', x + w / 2, y + h / 2, w, h),
-          chr(10) ORDER BY ann_key) || chr(10) AS c FROM obj GROUP BY asset_id)
+    t AS (SELECT asset_id, ann_key, class_index || ' ' || format('{{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', x + w / 2, y + h / 2, w, h)
+          AS line FROM obj),
+    l AS (SELECT asset_id, string_agg(line, chr(10) ORDER BY ann_key, line) || chr(10) AS c FROM t GROUP BY asset_id)
     SELECT sp || '/labels/' || stem || '.txt' AS path, CAST(0 AS BIGINT) AS part, coalesce(c, '') AS content
     FROM img LEFT JOIN l USING (asset_id)""")
 def exp_yolo(spark, sf):
@@ -79,7 +80,7 @@ def exp_coco_images(spark, sf):
 
 @register("exp_coco", COCO + f""", b AS (SELECT o.*, num.id AS image_id, round(x * wd, 2) AS bx, round(y * ht, 2) AS b_y,
         round(w * wd, 2) AS bw, round(h * ht, 2) AS bh FROM obj o JOIN num USING (asset_id))
-    SELECT sp AS split, row_number() OVER (PARTITION BY sp ORDER BY image_id, ann_key) - 1 AS id, image_id,
+    SELECT sp AS split, row_number() OVER (PARTITION BY sp ORDER BY image_id, ann_key, class_index, bx, b_y, bw, bh) - 1 AS id, image_id,
            CAST(class_index + 1 AS INT) AS category_id, bx, b_y AS "by", bw, bh, round(bw * bh, 2) AS area,
            CASE WHEN kind = 'polygon' THEN round({c01('px')} * wd, 2) + round({c01('py')} * ht, 2) + round({c01('px + 0.2')} * wd, 2)
              + round({c01('py')} * ht, 2) + round({c01('px')} * wd, 2) + round({c01('py + 0.3')} * ht, 2) END AS ring_sum,
@@ -106,10 +107,11 @@ CORNERS = f"""
 
 @register("exp_voc", f"""WITH {KEPT}, {RECT}, {CORNERS},
     c AS (SELECT *, greatest(1, rx) AS x0, greatest(1, ry) AS y0 FROM raw),
-    l AS (SELECT asset_id, string_agg('<object><name>' || class_name ||
+    t AS (SELECT asset_id, ann_key, '<object><name>' || class_name ||
         '</name><pose>Unspecified</pose><truncated>0</truncated><difficult>0</difficult><bndbox><xmin>' || x0 || '</xmin><ymin>' || y0 ||
-        '</ymin><xmax>' || greatest(x0, least(wd, sx)) || '</xmax><ymax>' || greatest(y0, least(ht, sy)) || '</ymax></bndbox></object>', ''
-        ORDER BY ann_key) AS body FROM c GROUP BY asset_id)
+        '</ymin><xmax>' || greatest(x0, least(wd, sx)) || '</xmax><ymax>' || greatest(y0, least(ht, sy)) || '</ymax></bndbox></object>'
+        AS line FROM c),
+    l AS (SELECT asset_id, string_agg(line, '' ORDER BY ann_key, line) AS body FROM t GROUP BY asset_id)
     SELECT sp || '/' || stem || '.xml' AS path, CAST(0 AS BIGINT) AS part, '<annotation><folder>' || sp || '</folder><filename>' ||
         stem || ext || '</filename><size><width>' || width || '</width><height>' || height || '</height><depth>3</depth></size>' ||
         coalesce(body, '') || '</annotation>' AS content FROM img LEFT JOIN l USING (asset_id) WHERE width IS NOT NULL""")
@@ -118,7 +120,7 @@ def exp_voc(spark, sf):
 
 
 @register("exp_classification", f"""WITH {KEPT},
-    l AS (SELECT asset_id, string_agg(class_name, '|' ORDER BY ann_key) AS labels, arg_min(class_name, ann_key) AS first
+    l AS (SELECT asset_id, string_agg(class_name, '|' ORDER BY ann_key, class_name) AS labels, first(class_name ORDER BY ann_key, class_name) AS first
           FROM annotations WHERE kind = 'classification' GROUP BY asset_id)
     SELECT stem || ext AS filename, sp AS split, coalesce(labels, '') AS labels, CAST(0 AS BIGINT) AS part,
            sp || '/' || coalesce(first, '_unlabeled_') || '/' || stem || ext AS target FROM img LEFT JOIN l USING (asset_id)""")
@@ -128,7 +130,7 @@ def exp_classification(spark, sf):
 
 @register("exp_createml", f"""WITH {KEPT}, {RECT},
     l AS (SELECT asset_id, count(*) AS n, round(sum(round((x + w / 2) * wd, 2)), 2) AS cx, round(sum(round((y + h / 2) * ht, 2)), 2) AS cy,
-          round(sum(round(w * wd, 2)), 2) AS w, round(sum(round(h * ht, 2)), 2) AS h, string_agg(class_name, '' ORDER BY ann_key) AS labels
+          round(sum(round(w * wd, 2)), 2) AS w, round(sum(round(h * ht, 2)), 2) AS h, string_agg(class_name, '' ORDER BY ann_key, class_name) AS labels
           FROM obj GROUP BY asset_id)
     SELECT sp AS split, stem || ext AS image, CAST(0 AS BIGINT) AS part, CAST(coalesce(n, 0) AS INT) AS n, coalesce(cx, 0) AS cx,
            coalesce(cy, 0) AS cy, coalesce(w, 0) AS w, coalesce(h, 0) AS h, coalesce(labels, '') AS labels

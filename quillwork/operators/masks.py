@@ -300,7 +300,8 @@ def class_layers(annotations: DataFrame, limit: int = 20_000, fan_in: int = 64)
     """
     shapes = annotations.filter("kind <> 'classification' and width > 0 and height > 0").fillna({"class_index": 0})
     split = with_parts(shapes, ["asset_id"], [F.col("seq")], limit)
-    ordered = spread(split, "asset_id", "part").sortWithinPartitions("asset_id", "part", "seq")
+    ordered = spread(split, "asset_id", "part").sortWithinPartitions(
+        "asset_id", "part", "seq", "class_index", "points")
     wanted = ("asset_id", "part", "width", "height", "kind", "class_index", "points", "mask")
     layers = ordered.select(*wanted).mapInPandas(_paint, LAYER_FIELDS)
     top = split.agg(F.max("part")).first()[0] or 0

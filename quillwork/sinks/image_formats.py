@@ -173,7 +173,7 @@ def coco_annotations(numbered: DataFrame, images: DataFrame, annotations: DataFr
             .select("asset_id", "split", F.col(seq).alias("seq"), (F.col("class_index") + 1).alias("category_id"),
                     "bbox", "area", "segmentation"))
     placed = rows.join(numbered.select("asset_id", F.col("id").alias("image_id")), "asset_id")
-    ranked = with_rank(placed, [F.col("image_id"), F.col("seq")], ["split"], "_r")
+    ranked = with_rank(placed, [F.col(c) for c in ("image_id", "seq", "category_id", "bbox", "segmentation")], ["split"], "_r")
     return ranked.select("split", (F.col("_r") - 1).alias("id"), "image_id", "category_id", "bbox", "area",
                          "segmentation", F.lit(0).alias("iscrowd"))
 
@@ -216,7 +216,7 @@ def classification(images: DataFrame, annotations: DataFrame, seq: str = "ann_ke
     """(filename, split, labels, part, target): manifest rows with pipe-joined labels and the target path."""
     labels = annotations.filter("kind = 'classification' and class_name <> ''").select(
         "asset_id", F.col(seq).alias("seq"), F.col("class_name").alias("line"))
-    first = labels.groupBy("asset_id").agg(F.min_by("line", "seq").alias("first"))
+    first = labels.groupBy("asset_id").agg(F.min_by("line", F.struct("seq", "line")).alias("first"))
     split = with_parts(labels, ["asset_id"], [F.col("seq")])
     joined = split.groupBy("asset_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
     rows = images.join(joined, "asset_id", "left").join(first, "asset_id", "left")
