@@ -139,7 +139,7 @@ SCORES = {
     "confidence": """SELECT round(avg(confidence), 4) AS mean, round(min(confidence), 4) AS low,
         round(max(confidence), 4) AS high, count(*) AS n, round(least(avg(confidence) * 100, 100), 2) AS score FROM v""",
     "consistency": """SELECT count(*) AS multi_source, count(*) FILTER (d = 1) AS agreeing,
-        round(count(*) FILTER (d = 1) / count(*) * 100, 2) AS score
+        CASE WHEN count(*) = 0 THEN 100 ELSE round(count(*) FILTER (d = 1) / count(*) * 100, 2) END AS score
         FROM (SELECT count(*) AS n, count(DISTINCT label) AS d FROM v GROUP BY item_id HAVING count(*) > 1) m""",
     "completeness": """SELECT count(*) FILTER (k IN (SELECT label FROM v)) AS found, CAST(count(*) AS INT) AS expected,
         coalesce(string_agg(k, ',' ORDER BY k) FILTER (k NOT IN (SELECT label FROM v)), '') AS missing,

@@ -225,7 +225,8 @@ KINDS = {"c_custkey": "numeric", "c_name": "text", "c_nationkey": "numeric", "c_
 def _schema_row(position: int, c: str) -> str:
     number, text = c in NUMERIC, c in TEXT
     kind = f"'{KINDS[c]}'" if c in KINDS else (
-        f"CASE WHEN count(DISTINCT {c}) / count({c}) < 0.05 THEN 'categorical' ELSE 'text' END")
+        f"CASE WHEN count(DISTINCT {c}) / count({c}) < 0.05 AND count(DISTINCT {c}) <= 50 THEN 'categorical' "
+        f"WHEN count(DISTINCT {c}) / count({c}) < 0.1 AND count(DISTINCT {c}) <= 20 THEN 'categorical' ELSE 'text' END")
     measured = number and c != "flag"
     lengths = [f"{f}(length({c}))" if text else "CAST(NULL AS BIGINT)" for f in ("min", "max")]
     stats = [e.format(c) if measured else "CAST(NULL AS DOUBLE)" for e in (

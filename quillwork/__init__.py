@@ -3,10 +3,11 @@
 __version__ = "0.1.0"
 
 
-def ship_by_value() -> None:
-    """Let executors run the Arrow functions of this package without installing it there."""
+def ship_by_value(*others) -> None:
+    """Let executors run the Arrow functions of this package (and others) without installing it there."""
     import sys
 
     from pyspark import cloudpickle
 
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    for module in (sys.modules[__name__], *others):
+        cloudpickle.register_pickle_by_value(module)

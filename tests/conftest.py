@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+import bindings  # noqa: E402
 import quillwork  # noqa: E402
 
-quillwork.ship_by_value()
+quillwork.ship_by_value(bindings)
 
 
 @pytest.fixture(scope="session")
