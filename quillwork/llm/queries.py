@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL."""
 
-from . import sharding, urlfilter  # noqa: F401
+from . import quality_rules, sharding, urlfilter  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
