@@ -1,4 +1,4 @@
 """All queries of this subpackage and their SQL."""
 
-from . import byte_bpe, decontaminate, language, quality_rules, sharding, simhash, toxicity, urlfilter  # noqa: F401
+from . import byte_bpe, decontaminate, language, linededup, quality_rules, sharding, simhash, toxicity, urlfilter  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
