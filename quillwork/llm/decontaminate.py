@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from .base import column, free_names, lower_ascii, register, stored, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Lower-cased words; splitting and dropping the empty ends is several times faster than extracting matches."""
+    return F.coalesce(F.array_remove(F.split(lower_ascii(text), BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def _shingle(words: str, at: str, size: int) -> str:
