@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from bindings import base
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in base.QUERIES}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in base.QUERIES}
 
 
 @pytest.fixture(scope="module")
