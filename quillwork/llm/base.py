@@ -33,10 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once, compressed, to the shared checkpoint folder and return the written table."""
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and return the written table; zstd pays for whole texts."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

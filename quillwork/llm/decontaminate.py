@@ -66,8 +66,8 @@ def find_windows(docs: DataFrame, items: DataFrame, doc_key: list[str], text: st
         at_k = at_k.select("win", "n", "p", F.lit(k).alias("k"), F.expr(_shingle("win", "p", k)).alias("h"))
         parts = at_k if parts is None else parts.unionByName(at_k)
     parts = stored(parts, "window-shingles")
-    wanted = stored(parts.select("k", "h").distinct(), "shingles")
-    seen = _shingled_docs(words, sizes, []).select("k", "h").join(sized(wanted, wanted.count()), ["k", "h"])
+    wanted = parts.select("k", "h").distinct()
+    seen = _shingled_docs(words, sizes, []).select("k", "h").join(sized(wanted, parts.count()), ["k", "h"])
     rarity = seen.groupBy("k", "h").agg(F.count("*").alias("freq"))
     ranked = parts.join(rarity, ["k", "h"], "left").groupBy("win", "n").agg(
         F.min(F.coalesce("freq", F.lit(0))).alias("least"),

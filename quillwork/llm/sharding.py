@@ -101,7 +101,7 @@ def shard_uniformly(df: DataFrame, shards: int, seed: int = 0, block_rows: int =
         df, "__part", "__place", "__u", "__upto", "__mix", "__block", "__n", "__before", "__rank")
     ordered = df.withColumn(u, F.rand(seed)).sortWithinPartitions(u).drop(u)
     fixed = stored(ordered.withColumn(part, F.spark_partition_id()).withColumn(
-        place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "shuffle")
+        place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "shuffle", "zstd")
 
     sizes = stored(fixed.groupBy(F.col(part).alias("part")).agg(F.count("*").alias("n")), "shuffle-parts")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
