@@ -23,23 +23,22 @@ from .base import register, table, with_results
 
 RESULT = "n_tokens long, ids binary, decoded binary"
 
-#: One pass over the rows of a step: each token sees the next one, pairs become ranks, and rank and position together
-#: make the key whose minimum is the word's leftmost pair of the lowest rank.
+#: A token row knows where the next one of its word begins. In each step pairs become ranks, and rank and place
+#: together make the key whose minimum is the word's leftmost pair of the lowest rank. Words without a pair are done.
 _STEP = """
-WITH RECURSIVE state(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM letters
+WITH RECURSIVE state(step, w, pos, nxt, tok, done) AS (
+  SELECT 0, w, pos, pos + 1, tok, false FROM letters
   UNION ALL
-  (WITH pairs AS (
-     SELECT step, w, pos, tok, lead(tok) OVER inside AS after, lag(pos) OVER inside AS before_pos
-     FROM state WHERE step < {steps} WINDOW inside AS (PARTITION BY w ORDER BY pos)),
-   ranked AS (SELECT step, w, pos, tok, before_pos, merged::BIGINT * 4294967296 + pos AS key
-              FROM pairs LEFT JOIN merges ON tok = l AND after = r),
-   least AS (SELECT w, min(key) AS low FROM ranked WHERE key IS NOT NULL GROUP BY w)
-   SELECT step + 1, w, pos, CASE WHEN key = low THEN (low >> 32)::INTEGER ELSE tok END
-   FROM ranked JOIN least USING (w) WHERE before_pos IS DISTINCT FROM (low & 4294967295))
+  (WITH live AS (SELECT * FROM state WHERE NOT done AND step < {steps}),
+   ranked AS (
+     SELECT s.step, s.w, s.pos, s.nxt, n.nxt AS over, s.tok, merged::BIGINT * 4294967296 + s.pos AS key
+     FROM live s LEFT JOIN live n ON s.nxt = n.pos AND s.w = n.w LEFT JOIN merges ON s.tok = l AND n.tok = r),
+   least AS (SELECT w, min(key) AS low, arg_min(nxt, key) AS gone FROM ranked WHERE key IS NOT NULL GROUP BY w)
+   SELECT step + 1, w, pos, CASE WHEN key = low THEN over ELSE nxt END,
+          CASE WHEN key = low THEN (low >> 32)::INTEGER ELSE tok END, low IS NULL
+   FROM ranked LEFT JOIN least USING (w) WHERE gone IS NULL OR pos <> gone)
 )
-SELECT w, pos, tok, step = {steps} AS more FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
-ORDER BY w, pos
+SELECT w, pos, tok, NOT done AS more FROM state WHERE done OR step = {steps} ORDER BY w, pos
 """
 
 
@@ -58,8 +57,8 @@ class Coder:
         self.ranks, self.cut = read_ranks(path), regex.compile(pattern).findall
         self.runs = re.compile(r"\s\s").search
         self.byte_rank = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+        self.pieces: dict[str, bytes] = {}
         self.cached, self.steps = cached, steps
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() if len(t) > 1
@@ -83,13 +82,12 @@ class Coder:
             if rank is None:
                 hard.append(i)
             else:
-                self.words[words[i]] = [rank]
+                self.words[words[i]] = rank.to_bytes(4, "little")
         if not hard:
             return
         sizes = np.array([len(data[i]) for i in hard])
-        starts = np.cumsum(sizes) - sizes
         w = np.repeat(np.array(hard, np.int32), sizes)
-        pos = np.arange(len(w), dtype=np.int32) - np.repeat(starts, sizes).astype(np.int32)
+        pos = np.arange(len(w), dtype=np.int32)
         tok = self.byte_rank[np.frombuffer(b"".join(data[i] for i in hard), np.uint8)]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(w):
@@ -97,13 +95,14 @@ class Coder:
             out = self.db.sql(self.query).to_arrow_table()
             w, pos, tok, more = (out[c].to_numpy() for c in ("w", "pos", "tok", "more"))
             done.append((w[~more], tok[~more]))
-            w, pos, tok = w[more], pos[more], tok[more]
+            w, tok = w[more], tok[more]
+            pos = np.arange(len(w), dtype=np.int32)
         for ws, toks in done:
             cuts = np.flatnonzero(np.diff(ws)) + 1
-            firsts = np.concatenate([[0], cuts]).astype(np.int64) if len(ws) else []
-            values = toks.tolist()
-            for a, b in zip(firsts, [*cuts, len(ws)]):
-                self.words[words[ws[a]]] = values[a:b]
+            firsts = np.concatenate([np.zeros(min(1, len(ws)), np.int64), cuts])
+            values = toks.astype("<u4").tobytes()
+            for i, a, b in zip(ws[firsts].tolist(), firsts.tolist(), [*cuts.tolist(), len(ws)]):
+                self.words[words[i]] = values[4 * a:4 * b]
 
     def _pieces(self, text: str) -> list[str]:
         """Parts of the text, each but the first after a blank at which the pattern certainly cuts.
@@ -121,7 +120,7 @@ class Coder:
                 out[-1] += " " + part
         return out
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.words) > self.cached or len(self.pieces) > self.cached:
             self.words, self.pieces = {}, {}
         words, pieces = self.words, self.pieces  # pieces: what follows a blank -> tokens, the blank included
@@ -133,22 +132,21 @@ class Coder:
         if unseen:
             self._contract(sorted(unseen))
         for p, ws in found.items():
-            pieces[p] = words[ws[0]] if len(ws) == 1 else [t for w in ws for t in words[w]]
-        return [np.array([*chain.from_iterable(map(words.__getitem__, first)),
-                          *chain.from_iterable(map(pieces.__getitem__, islice(p, 1, None)))], dtype="<u4")
+            pieces[p] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))
+        return [b"".join(chain(map(words.__getitem__, first), map(pieces.__getitem__, islice(p, 1, None))))
                 for first, p in zip(firsts, parts)]
 
-    def decode(self, ids: Sequence[np.ndarray]) -> list[bytes]:
-        sizes = [len(i) for i in ids]
+    def decode(self, ids: Sequence[bytes]) -> list[bytes]:
+        sizes = [len(i) // 4 for i in ids]
         if not sum(sizes):
             return [b""] * len(ids)
         self.db.register("tokens", pa.table({
             "doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes),
             "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
-            "tok": np.concatenate(ids).astype(np.int32)}))
+            "tok": np.frombuffer(b"".join(ids), "<i4")}))
         out = [b""] * len(ids)
-        rows = self.db.execute("SELECT doc, string_agg(piece, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (tok) "
-                               "GROUP BY doc").fetchall()
+        rows = self.db.execute("SELECT doc, array_to_string(list(piece ORDER BY pos), '') FROM tokens "
+                               "JOIN vocabulary USING (tok) GROUP BY doc").fetchall()
         for doc, text in rows:
             out[doc] = text.encode("latin-1")
         return out
@@ -160,7 +158,7 @@ def code_texts(texts: Iterable[str | None], path: str, pattern: str, group_chars
     def coded(group: list[str]) -> Iterator[tuple]:
         ids = coder.encode(group)
         for i, d in zip(ids, coder.decode(ids)):
-            yield len(i), i.tobytes(), d
+            yield len(i) // 4, i, d
 
     group, chars = [], 0
     for text in texts:
@@ -173,7 +171,7 @@ def code_texts(texts: Iterable[str | None], path: str, pattern: str, group_chars
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text",
-                  keep: Sequence[str] = ("doc_id",), group_chars: int = 1_000_000) -> DataFrame:
+                  keep: Sequence[str] = ("doc_id",), group_chars: int = 3_000_000) -> DataFrame:
     """Columns ``keep`` plus ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` of each whole text.
 
     ``path`` is a rank file (token in base 64 and rank a line) and ``pattern`` the expression that cuts words; by
