@@ -1,5 +1,6 @@
 """Run-length text of rectangles, as inputs for the mask operators."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -8,17 +9,20 @@ HEIGHT, WIDTH = 48, 64
 
 
 def counts_text(runs: list[int]) -> str:
-    """Runs in the compressed text form (differences from the fourth number on, 5 bits per character)."""
-    out = []
-    for i, run in enumerate(runs):
-        rest = run - runs[i - 2] if i > 2 else run
-        while True:
-            low, rest = rest & 0x1F, rest >> 5
-            done = rest == (-1 if low & 0x10 else 0)
-            out.append(chr(48 + low + (0 if done else 0x20)))
-            if done:
-                break
-    return "".join(out)
+    """Runs in the compressed text form of the published mask format, as one table of digits.
+
+    From the fourth number on the format holds the difference to the number two before. A number is written in two's
+    complement, in as few groups of five bits as hold it with its sign, low group first; 32 marks that more follow and
+    48 makes it printable.
+    """
+    run = np.asarray(runs, dtype=np.int64)
+    value = run.copy()
+    value[3:] -= run[1:-2]
+    bound = 16 << 5 * np.arange(8)  # k + 1 groups hold -bound[k] .. bound[k] - 1
+    groups = 1 + ((value[:, None] >= bound) | (value[:, None] < -bound)).sum(axis=1)
+    at = np.arange(8)
+    digits = ((value[:, None] >> 5 * at) & 31) + 32 * (at < groups[:, None] - 1) + 48
+    return digits[at < groups[:, None]].astype(np.uint8).tobytes().decode("ascii")
 
 
 @F.pandas_udf(T.StringType())

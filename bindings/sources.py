@@ -193,8 +193,8 @@ def src_incremental(spark, sf):
     ELSE '{"event_id":' || event_id || ',"v":' || event_id || '.0}' END AS document FROM events""")
 def exp_json_safe(spark, sf):
     v = F.when(F.col("event_id") % 14 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(float("inf")))
-    df = load(spark, sf, "events").filter("event_id < 10000000").select(
-        "event_id", v.otherwise(F.col("event_id").cast(T.DecimalType(10, 1)).cast("double")).alias("v"))
+    df = load(spark, sf, "events").select(
+        "event_id", v.otherwise(F.col("event_id").cast("double")).alias("v"))
     safe = Fl.json_safe(df)
-    plain = F.when(F.col("v").isNotNull(), F.col("v").cast(T.DecimalType(12, 1)))
+    plain = F.when(F.col("v").isNotNull(), F.col("v").cast(T.DecimalType(21, 1)))
     return safe.select("event_id", F.to_json(F.struct("event_id", plain.alias("v"))).alias("document"))

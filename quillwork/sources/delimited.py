@@ -164,12 +164,24 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, exten
     if first is None:
         raise ValueError(f"no header found in {path}")
     columns = header_names(first["value"].lstrip("﻿"), sep)
-    # A later file of the same layout repeats the header; the prelude exists in the first block only.
-    body = lines.filter(~((F.col("block") == 0) & (F.col("line_no") <= start)) & (F.col("value") != first["value"]))
+    body = after_header(lines, start)
     table = parse_lines(body, columns, sep).drop("line_no")
     return typed(table, columns) if infer else table
 
 
+def after_header(lines: DataFrame, start: int) -> DataFrame:
+    """Lines behind the header at ``start`` of the first file, and behind the same place in every other file.
+
+    Prelude and header are known by their position alone: a data row that repeats the header's text stays.
+    """
+    opening = lines.filter("block = 0")
+    tops = opening.groupBy("file").agg(F.min("line_no").alias("_top"))
+    place = tops.filter(F.col("_top") <= start).agg(F.max("_top")).first()[0]
+    joined = lines.join(tops, "file", "left")  # one row a file: broadcast when small, else shuffled
+    head_row = (F.col("block") == 0) & (F.col("line_no") - F.col("_top") <= start - place)
+    return joined.filter(~F.coalesce(head_row, F.lit(False))).select(*lines.columns)
+
+
 # ---- checks -------------------------------------------------------------------------------------
 
 def validate_rows(lines: DataFrame, columns: Sequence[str], sep: str = ",") -> DataFrame:

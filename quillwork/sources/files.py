@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,41 +97,58 @@ def preview(df: DataFrame, order_by: str, limit: int = 10, total: int | None = N
 
 # ---- decoding -----------------------------------------------------------------------------------
 
-def _decode(raw: bytes) -> tuple[str, str]:
-    """Text and encoding: marks first, then the share of zero bytes, then strict UTF-8, then Windows, Latin."""
-    def attempt(codec: str) -> str | None:
+# Marks at the start of a file with the names reported for them, the sample looked at for zero bytes and
+# the share of it from which a file without a mark is taken for 16-bit text, and the encodings tried last.
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+ZERO_SAMPLE, ZERO_SHARE = 4096, 1 / 3
+UNMARKED = {"even": "utf-16-be", "odd": "utf-16-le"}
+LAST = ("utf-8", "cp1252", "latin-1")
+
+
+def _readings(raw: bytes) -> Iterator[tuple[str, str]]:
+    """(encoding, name) in the order in which they are tried."""
+    yield from ((name, name) for mark, name in MARKS if raw.startswith(mark))
+    sample = np.frombuffer(raw[:ZERO_SAMPLE], dtype=np.uint8) == 0
+    if sample.mean() > ZERO_SHARE if len(sample) else False:
+        # the high byte of most characters is zero: where it stands tells the byte order
+        zeros = {"even": sample[::2].sum(), "odd": sample[1::2].sum()}
+        yield from ((UNMARKED[place], f"{UNMARKED[place]} (no BOM)") for place in sorted(zeros, key=lambda k: (-zeros[k], k == "even")))
+    yield from ((name, name) for name in LAST)
+
+
+def _other_text(raw: bytes) -> tuple[str, str]:
+    for encoding, name in _readings(raw):
         try:
-            return raw.decode(codec)
+            text = raw.decode(encoding)
         except UnicodeDecodeError:
-            return None
-
-    order: list[tuple[str, str]] = []
-    if raw[:3] == b"\xef\xbb\xbf":
-        order.append(("utf-8-sig", "utf-8-sig"))
-    elif raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        order.append(("utf-16", "utf-16"))
-    sample = raw[:4096]
-    if sample and 3 * sample.count(0) > len(sample):
-        little = sample[1::2].count(0) >= sample[::2].count(0)
-        order += [(c, f"{c} (no BOM)") for c in sorted(("utf-16-be", "utf-16-le"), reverse=little)]
-    for codec, name in order:
-        text = attempt(codec)
-        if text is not None and ("\x00" not in text or "no BOM" not in name):
-            return text.replace("\x00", ""), name
-    for codec in ("utf-8", "cp1252", "latin-1"):
-        text = attempt(codec)
-        if text is not None:
-            return text.replace("\x00", ""), codec
+            continue
+        if "\x00" in text and name.endswith("(no BOM)"):
+            continue
+        return text.replace("\x00", ""), name
     raise AssertionError("latin-1 decodes everything")
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
-def decode_bytes(content: pd.Series) -> pd.DataFrame:
-    """Bytes of whole files as text with the encoding that was found."""
-    return pd.DataFrame([_decode(bytes(b)) if b is not None else (None, None) for b in content],
+_TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())])
+
+
+@F.pandas_udf(_TEXT)
+def _decode_others(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_other_text(bytes(b)) if b is not None else (None, None) for b in content],
                         columns=["text", "encoding"])
 
 
+def decode_bytes(content: Column) -> Column:
+    """Struct (text, encoding) of whole files: valid UTF-8 without marks and zero bytes stays in the engine, only the
+    rest is sent to Python."""
+    marked = F.lit(False)
+    for mark, _ in MARKS:
+        marked = marked | (F.substring(content, 1, len(mark)) == F.lit(bytearray(mark)))
+    text = F.try_validate_utf8(content.cast("string"))
+    plain = ~marked & text.isNotNull() & ~F.contains(text, F.lit("\x00"))
+    others = _decode_others(F.when(content.isNotNull() & ~F.coalesce(plain, F.lit(False)), content))
+    return F.when(plain, F.struct(text.alias("text"), F.lit("utf-8").alias("encoding"))).otherwise(others)
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(file_no, name, content, encoding) of whole text files in any encoding; one row per file."""
     files = spark.read.format("binaryFile").load(path)
