@@ -36,15 +36,23 @@ def snake_name(name: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_]+", "_", name.strip()).strip("_").lower() or name
 
 
+def numbered_names(names: Sequence[str]) -> list[str]:
+    """The first use of a name keeps it; later ones get the next number that no other column has."""
+    taken, seen, out = {n.lower() for n in names}, set(), []
+    for name in names:
+        new, k = name, 1
+        while new.lower() in (seen if k == 1 else taken):
+            k += 1
+            new = f"{name}_{k}"
+        seen.add(new.lower())
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 def snake_names(df: DataFrame) -> DataFrame:
-    """Headers as snake_case; a second use of a name gets ``_2``."""
-    seen: dict[str, int] = {}
-    names = []
-    for c in df.columns:
-        base = snake_name(c)
-        seen[base] = seen.get(base, 0) + 1
-        names.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
-    return df.toDF(*names)
+    """Headers as snake_case; a second use of a name gets the next free number."""
+    return df.toDF(*numbered_names([snake_name(c) for c in df.columns]))
 
 
 # ---- missing values -----------------------------------------------------------------------------
@@ -136,8 +144,8 @@ def change_case(df: DataFrame, mode: str) -> DataFrame:
     if mode not in cells:
         raise ValueError("mode must be lower, upper or title")
     texts = set(text_columns(df))
-    return df.select(*[(cells[mode](cell(c)) if c in texts else cell(c)).alias(heads[mode](c))
-                       for c in df.columns])
+    names = numbered_names([heads[mode](c) for c in df.columns])
+    return df.select(*[(cells[mode](cell(c)) if c in texts else cell(c)).alias(n) for c, n in zip(df.columns, names)])
 
 
 # ---- outliers -----------------------------------------------------------------------------------
@@ -219,10 +227,11 @@ def label_codes(df: DataFrame, column: str, order_by: Sequence[str]) -> DataFram
 def label_encode(df: DataFrame, column: str, order_by: Sequence[str] | None = None) -> DataFrame:
     """Integer codes, -1 where missing. Without ``order_by`` all columns order the rows."""
     codes = label_codes(df, column, order_by or df.columns)
-    kind = field_kinds(df)[column]
-    joined = df.join(codes, present(column, kind) == F.col("value"), "left")
-    return joined.select(*[(F.coalesce("code", F.lit(-1)) if c == column else cell(c)).alias(c)
-                           for c in df.columns])
+    value = present(column, field_kinds(df)[column])
+    # rows without a value go around the join: their key would be one partition
+    joined = df.filter(value.isNotNull()).join(codes, value == F.col("value"))
+    missing = df.filter(value.isNull()).withColumn("code", F.lit(-1).cast("long"))
+    return joined.drop("value").unionByName(missing).select(*[(F.col("code") if c == column else cell(c)).alias(c) for c in df.columns])
 
 
 def encode(df: DataFrame, specs: Sequence[dict], order_by: Sequence[str] | None = None

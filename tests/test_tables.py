@@ -53,6 +53,13 @@ def test_names(spark):
     assert C.snake_names(df).columns == ["customer_name", "total_amount", "total_amount_2"]
 
 
+def test_names_that_collide(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["a", "a ", "a_2"])
+    assert C.snake_names(df).columns == ["a", "a_3", "a_2"]
+    both = spark.createDataFrame([("x", "y")], "A string, a_2 string").withColumn("b", F.lit(1))
+    assert C.change_case(both, "lower").select("a", "a_2").count() == 1
+
+
 def test_case_and_trim(spark):
     df = spark.createDataFrame([("\t o'neil mary-jane 3rd x_y ",), (None,)], "`full name` string")
     out = C.change_case(C.trim_text(df), "title")
