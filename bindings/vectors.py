@@ -116,7 +116,7 @@ def vec_idf(spark, sf):
 
 
 @register("vec_tfidf", f"""WITH {TERMS}, w AS (SELECT doc_id, term, tf * idf AS w FROM c JOIN k USING (term))
-    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+    SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM documents LEFT JOIN w USING (doc_id)""")
 def vec_tfidf(spark, sf):
     out = V.tfidf(load(spark, sf, "documents"), "doc_id", "text")
     return out.withColumn("weight", F.round("weight", 6))
@@ -125,7 +125,7 @@ def vec_tfidf(spark, sf):
 @register("vec_svd")
 def vec_svd(spark, sf):
     docs = load(spark, sf, "documents")
-    out, _ = V.svd(V.tfidf(docs, "doc_id", "text", 1000), 16)
+    out, _ = V.svd(V.tfidf(docs, "doc_id", "text"))
     return out
 
 

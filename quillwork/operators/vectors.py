@@ -20,10 +20,11 @@ from .neighbors import knn_join
 
 # Fixed values.
 MIN_TEXT_LENGTH = 20
-MAX_TERMS = 5000
+MAX_TERMS = 5000  # size of a vocabulary unless the caller asks for more
 SVD_SIZE = 128
 MAX_FEATURES = 50
 PAYLOAD_CHARS = 500
+MAX_WIDTH = 50_000  # bound of what is sent to every task
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -55,15 +56,19 @@ def vocabulary(counts: DataFrame, docs: int, max_terms: int = MAX_TERMS) -> Data
 
 
 def tfidf(df: DataFrame, doc_id: str, text: str, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(doc_id, term, weight): L2-normalised sparse rows.
+    """(doc_id, term, weight): L2-normalised sparse rows; a document without a vocabulary term has one row of NULLs.
 
-    The vocabulary is the only broadcast side and holds at most ``max_terms`` rows.
+    The vocabulary is the only broadcast side and holds at most ``max_terms`` rows, which may not exceed MAX_WIDTH.
     """
+    if max_terms > MAX_WIDTH:
+        raise ValueError(f"at most {MAX_WIDTH} terms can be sent to every task")
     counts = term_counts(df, doc_id, text)
     terms = vocabulary(counts, df.filter(F.col(text).isNotNull()).count(), max_terms)
     raw = counts.join(F.broadcast(terms), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
+    rows = raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
+    every = df.select(cell(doc_id).alias("doc_id")).distinct()
+    return every.join(rows, "doc_id", "left")
 
 
 def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -85,15 +90,21 @@ def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
 def svd(weights: DataFrame, size: int = SVD_SIZE, passes: int = 7, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
     """((doc_id, vector), singular values): projection on the leading right singular vectors.
 
+    Every document has a vector; one without terms (term NULL) has the zero vector.
+
     Randomised subspace iteration: a fixed number of passes over the documents, each reduced to a matrix of
     (vocabulary x size), so neither documents nor their products are gathered.
     """
     weights = materialise(weights, "weights")
-    names = [r["term"] for r in weights.select("term").distinct().orderBy("term").limit(MAX_TERMS).collect()]
+    found = weights.filter("term is not null").select("term").distinct().limit(MAX_WIDTH + 1).collect()
+    if len(found) > MAX_WIDTH:
+        raise ValueError(f"more than {MAX_WIDTH} terms; choose a vocabulary first")
+    names = sorted(r["term"] for r in found) or [""]
     spark = weights.sparkSession
     numbers = spark.createDataFrame(list(enumerate(names)), "at int, term string")
-    placed = weights.join(F.broadcast(numbers), "term")  # at most MAX_TERMS rows
-    rows = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("t"))
+    placed = weights.join(F.broadcast(numbers), "term", "left")  # at most MAX_WIDTH rows
+    known = F.when(F.col("at").isNotNull(), F.struct("at", "weight"))
+    rows = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(known)).alias("t"))
     rows = materialise(rows.select("doc_id", F.transform("t", lambda x: x["at"]).alias("at"),
                                    F.transform("t", lambda x: x["weight"]).alias("w")), "tfidf")
     width = len(names)
