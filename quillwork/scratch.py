@@ -6,21 +6,19 @@ shared folder named by ``spark.checkpoint.dir``. A lost executor then only costs
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where the session names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder of the session.
+
+    There is no fallback: a folder of one machine would hold a part of the rows on every executor.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="quillwork-")
-        spark.sparkContext.setCheckpointDir(configured)
-        configured = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured.rstrip("/")
 
 
