@@ -162,27 +162,41 @@ def txt_replace_annotations(spark, sf):
         "doc_id", F.coalesce("annotations", F.lit(0)).alias("annotations"), "status")
 
 
-LISTS = """
-    a AS (SELECT doc_id, list(class_name ORDER BY seq) FILTER (kind = 'doc') AS labels,
-          list({'start': start_offset, 'end': end_offset, 'label': class_name} ORDER BY seq) FILTER (kind = 'span') AS spans
-          FROM text_spans GROUP BY doc_id),
-    d AS (SELECT d.*, coalesce(labels, []) AS labels, coalesce(spans, []) AS spans FROM text_docs d LEFT JOIN a USING (doc_id))"""
-
-
-@register("txt_export_jsonl", f"""WITH {LISTS} SELECT doc_index, CAST(0 AS BIGINT) AS part,
-    CAST(json_object('name', name, 'text', content, 'labels', labels, 'spans', spans) AS VARCHAR) AS line FROM d""")
+PIECES = """
+    l AS (SELECT doc_id, 1 AS place, seq, class_name AS label, row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1 AS first
+          FROM text_spans WHERE kind = 'doc'),
+    s AS (SELECT doc_id, 3 AS place, seq, start_offset, end_offset, class_name AS label,
+                 CAST(json_object('start', start_offset, 'end', end_offset, 'label', class_name) AS VARCHAR) AS span,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1 AS first FROM text_spans WHERE kind = 'span'),
+    t AS (SELECT *, CAST(to_json(name) AS VARCHAR) AS jname, CAST(to_json(content) AS VARCHAR) AS jtext FROM text_docs)"""
+
+
+def pieces_sql(head: str, label: str, glue: str, middle: str, span: str, end: str) -> str:
+    """The pieces of a record in SQL; empty ``label`` or ``middle`` leave that part out."""
+    none = "CAST(NULL AS BIGINT)"
+    rows = [f"SELECT doc_index, 0 AS place, {none} AS seq, {head} AS line FROM t"]
+    if label:
+        rows.append(f"SELECT doc_index, place, seq, CASE WHEN first THEN '' ELSE '{glue}' END || {label} FROM t JOIN l USING (doc_id)")
+    if middle:
+        rows.append(f"SELECT doc_index, 2, {none}, '{middle}' FROM t")
+    rows.append(f"SELECT doc_index, place, seq, CASE WHEN first THEN '' ELSE ',' END || {span} FROM t JOIN s USING (doc_id)")
+    rows.append(f"SELECT doc_index, 4, {none}, '{end}' FROM t")
+    return f"WITH {PIECES} " + " UNION ALL ".join(rows)
+
+
+@register("txt_export_jsonl", pieces_sql("""'{"name":' || jname || ',"text":' || jtext || ',"labels":['""", "CAST(to_json(label) AS VARCHAR)",
+                                         ",", '],"spans":[', "span", "]}"))
 def txt_export_jsonl(spark, sf):
     return D.export_jsonl(docs(spark, sf), spans(spark, sf))
 
 
-@register("txt_export_csv", f"""WITH {LISTS} SELECT doc_index, CAST(0 AS BIGINT) AS part, name, content AS text,
-    array_to_string(labels, '|') AS labels, CAST(to_json(spans) AS VARCHAR) AS spans FROM d""")
+@register("txt_export_csv", pieces_sql("""'"' || replace(name, '"', '""') || '","' || replace(content, '"', '""') || '","'""",
+                                       """replace(label, '"', '""')""", "|", '","[', """replace(span, '"', '""')""", ']"'))
 def txt_export_csv(spark, sf):
     return D.export_csv(docs(spark, sf), spans(spark, sf))
 
 
-@register("txt_export_spans", f"""WITH {LISTS} SELECT doc_index, CAST(0 AS BIGINT) AS part,
-    '{{"text":' || CAST(to_json(content) AS VARCHAR) || ',"entities":[' || array_to_string(list_transform(spans,
-      lambda s: '[' || s.start || ',' || s.end || ',"' || s.label || '"]'), ',') || ']}}' AS line FROM d""")
+@register("txt_export_spans", pieces_sql("""'{"text":' || jtext || ',"entities":['""", "", ",", "",
+                                         """'[' || start_offset || ',' || end_offset || ',"' || label || '"]'""", "]}"))
 def txt_export_spans(spark, sf):
     return D.export_spans(docs(spark, sf), spans(spark, sf))

@@ -62,9 +62,9 @@ def exp_unique_names(spark, sf):
 @register("exp_yolo", f"""WITH {KEPT}, {RECT},
     t AS (SELECT asset_id, ann_key, class_index || ' ' || format('{{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', x + w / 2, y + h / 2, w, h)
           AS line FROM obj),
-    l AS (SELECT asset_id, string_agg(line, chr(10) ORDER BY ann_key, line) || chr(10) AS c FROM t GROUP BY asset_id)
-    SELECT sp || '/labels/' || stem || '.txt' AS path, CAST(0 AS BIGINT) AS part, coalesce(c, '') AS content
-    FROM img LEFT JOIN l USING (asset_id)""")
+    p AS (SELECT asset_id, sp || '/labels/' || stem || '.txt' AS path FROM img)
+    SELECT path, 0 AS place, CAST(NULL AS VARCHAR) AS seq, CAST(NULL AS VARCHAR) AS line FROM p
+    UNION ALL SELECT path, 1, ann_key, line FROM p JOIN t USING (asset_id)""")
 def exp_yolo(spark, sf):
     return X.yolo(images(spark, sf), anns(spark, sf), classes(spark, sf))
 
@@ -111,41 +111,40 @@ CORNERS = f"""
         '</name><pose>Unspecified</pose><truncated>0</truncated><difficult>0</difficult><bndbox><xmin>' || x0 || '</xmin><ymin>' || y0 ||
         '</ymin><xmax>' || greatest(x0, least(wd, sx)) || '</xmax><ymax>' || greatest(y0, least(ht, sy)) || '</ymax></bndbox></object>'
         AS line FROM c),
-    l AS (SELECT asset_id, string_agg(line, '' ORDER BY ann_key, line) AS body FROM t GROUP BY asset_id)
-    SELECT sp || '/' || stem || '.xml' AS path, CAST(0 AS BIGINT) AS part, '<annotation><folder>' || sp || '</folder><filename>' ||
-        stem || ext || '</filename><size><width>' || width || '</width><height>' || height || '</height><depth>3</depth></size>' ||
-        coalesce(body, '') || '</annotation>' AS content FROM img LEFT JOIN l USING (asset_id) WHERE width IS NOT NULL""")
+    p AS (SELECT *, sp || '/' || stem || '.xml' AS path FROM img WHERE width IS NOT NULL)
+    SELECT path, 0 AS place, CAST(NULL AS VARCHAR) AS seq, '<annotation><folder>' || sp || '</folder><filename>' || stem || ext ||
+        '</filename><size><width>' || width || '</width><height>' || height || '</height><depth>3</depth></size>' AS line FROM p
+    UNION ALL SELECT path, 1, ann_key, line FROM p JOIN t USING (asset_id)
+    UNION ALL SELECT path, 2, NULL, '</annotation>' FROM p""")
 def exp_voc(spark, sf):
     return X.voc(images(spark, sf), anns(spark, sf), classes(spark, sf))
 
 
 @register("exp_classification", f"""WITH {KEPT},
-    l AS (SELECT asset_id, string_agg(class_name, '|' ORDER BY ann_key, class_name) AS labels, first(class_name ORDER BY ann_key, class_name) AS first
-          FROM annotations WHERE kind = 'classification' GROUP BY asset_id)
-    SELECT stem || ext AS filename, sp AS split, coalesce(labels, '') AS labels, CAST(0 AS BIGINT) AS part,
-           sp || '/' || coalesce(first, '_unlabeled_') || '/' || stem || ext AS target FROM img LEFT JOIN l USING (asset_id)""")
+    l AS (SELECT asset_id, ann_key AS seq, class_name AS label FROM annotations WHERE kind = 'classification'),
+    f AS (SELECT asset_id, first(label ORDER BY seq, label) AS first FROM l GROUP BY asset_id)
+    SELECT stem || ext AS filename, sp AS split, sp || '/' || coalesce(first, '_unlabeled_') || '/' || stem || ext AS target, seq, label
+    FROM img LEFT JOIN f USING (asset_id) LEFT JOIN l USING (asset_id)""")
 def exp_classification(spark, sf):
     return X.classification(images(spark, sf), anns(spark, sf))
 
 
 @register("exp_createml", f"""WITH {KEPT}, {RECT},
-    l AS (SELECT asset_id, count(*) AS n, round(sum(round((x + w / 2) * wd, 2)), 2) AS cx, round(sum(round((y + h / 2) * ht, 2)), 2) AS cy,
-          round(sum(round(w * wd, 2)), 2) AS w, round(sum(round(h * ht, 2)), 2) AS h, string_agg(class_name, '' ORDER BY ann_key, class_name) AS labels
-          FROM obj GROUP BY asset_id)
-    SELECT sp AS split, stem || ext AS image, CAST(0 AS BIGINT) AS part, CAST(coalesce(n, 0) AS INT) AS n, coalesce(cx, 0) AS cx,
-           coalesce(cy, 0) AS cy, coalesce(w, 0) AS w, coalesce(h, 0) AS h, coalesce(labels, '') AS labels
-    FROM img LEFT JOIN l USING (asset_id) WHERE width IS NOT NULL""")
+    p AS (SELECT asset_id, sp AS split, stem || ext AS image FROM img WHERE width IS NOT NULL),
+    o AS (SELECT *, round((x + w / 2) * wd, 2) AS cx, round((y + h / 2) * ht, 2) AS cy, round(w * wd, 2) AS pw, round(h * ht, 2) AS ph FROM obj)
+    SELECT split, image, 0 AS place, CAST(NULL AS VARCHAR) AS seq, NULL AS label, NULL AS cx, NULL AS cy, NULL AS pw, NULL AS ph,
+           '{{"image":"' || image || '","annotations":[' AS line FROM p
+    UNION ALL SELECT split, image, 1, ann_key, class_name, cx, cy, pw, ph, NULL FROM p JOIN o USING (asset_id)
+    UNION ALL SELECT split, image, 2, NULL, NULL, NULL, NULL, NULL, NULL, ']}}' FROM p""")
 def exp_createml(spark, sf):
+    """The pieces, those of single annotations read back from their JSON."""
     out = X.createml(images(spark, sf), anns(spark, sf), classes(spark, sf))
-    a = F.from_json("line", "annotations array<struct<label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>"
-                    )["annotations"]
-
-    def total(name):
-        return F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v["coordinates"][name]), 2)
-
-    return out.select("split", "image", "part", F.size(a).alias("n"), total("x").alias("cx"), total("y").alias("cy"),
-                      total("width").alias("w"), total("height").alias("h"),
-                      F.array_join(F.transform(a, lambda v: v["label"]), "").alias("labels"))
+    a = F.from_json(F.regexp_replace("line", "^,", ""),
+                    "label string, coordinates struct<x:double,y:double,width:double,height:double>")
+    read = F.when(F.col("place") == 1, a)
+    at = read["coordinates"]
+    return out.select("split", "image", "place", "seq", read["label"].alias("label"), at["x"].alias("cx"), at["y"].alias("cy"),
+                      at["width"].alias("pw"), at["height"].alias("ph"), F.when(F.col("place") != 1, F.col("line")).alias("line"))
 
 
 @register("exp_tfcsv", f"""WITH {KEPT}, {RECT}, {CORNERS},
@@ -223,12 +222,14 @@ def exp_yolo_cls(spark, sf):
     return I.yolo_items(items(spark, sf), ["low", "middle"])
 
 
-@register("exp_cleaned", """SELECT c_custkey, coalesce(c_name, '') AS c_name, round(c_acctbal, 4) AS c_acctbal
-    FROM dirty_customer WHERE c_acctbal IS NOT NULL""")
+@register("exp_cleaned", """SELECT c_custkey, coalesce(c_name, '') AS c_name, c_nationkey, round(c_acctbal, 4) AS c_acctbal,
+    coalesce(c_mktsegment, '') AS c_mktsegment, coalesce(all_null, '') AS all_null, flag FROM dirty_customer""")
 def exp_cleaned(spark, sf):
-    df = load(spark, sf, "dirty_customer").select("c_custkey", "c_name", "c_acctbal").filter("c_acctbal is not null")
+    df = load(spark, sf, "dirty_customer")
     folder = new_path(spark, "export")
     path = I.write_cleaned(C.fill_nulls(df, "fill_empty"), folder, "customer.csv")
-    schema = "c_custkey long, c_name string, c_acctbal double"
+    schema = "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string, all_null string, flag long"
     back = spark.read.schema(schema).option("header", True).option("emptyValue", "").csv(path)
-    return back.select("c_custkey", F.coalesce("c_name", F.lit("")).alias("c_name"), F.round("c_acctbal", 4).alias("c_acctbal"))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("c_name", "c_mktsegment", "all_null")]
+    return back.select("c_custkey", texts[0], "c_nationkey", F.round("c_acctbal", 4).alias("c_acctbal"), *texts[1:],
+                       F.col("flag").cast("int").alias("flag"))

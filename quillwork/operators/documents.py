@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse, is_blank, json_text, newlines, strip
 from ..scratch import balance, materialise
-from .ranking import with_neighbors, with_parts, with_running_total
+from ..sinks import pieces as P
+from .ranking import with_neighbors, with_running_total
 
 SNIPPET_CHARS = 200
 PREVIEW_CHARS = 180
@@ -164,45 +165,44 @@ def replace_annotations(current: DataFrame, replacement: DataFrame, doc_ids: Dat
 
 # ---- exports ------------------------------------------------------------------------------------
 
-def _assembled(docs: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Documents with labels and spans in created order; (doc, part) groups are bounded.
+def _lists(docs: DataFrame, annotations: DataFrame, label: Column, span: Column, glue: str
+           ) -> tuple[DataFrame, DataFrame]:
+    """Pieces of the labels (place 1) and of the spans (place 3) of each document."""
+    owners = docs.select("doc_id", "doc_index")
+    marks = annotations.withColumns({"start": F.col("start_offset"), "end": F.col("end_offset"), "label": F.col("class_name")})
+    labels = marks.filter("kind = 'doc'").select("doc_id", "seq", label.alias("line"))
+    spans = marks.filter("kind = 'span'").select("doc_id", "seq", span.alias("line"))
+    return (P.body(owners, P.separated(labels, "doc_id", glue), "doc_id", 1, "doc_index"),
+            P.body(owners, P.separated(spans, "doc_id"), "doc_id", 3, "doc_index"))
 
-    A document with more annotations than the group limit continues on further rows (part 1, 2, ...).
-    """
-    split = with_parts(annotations, ["doc_id"], [F.col("seq")])
-    span = F.struct("seq", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"),
-                    F.col("class_name").alias("label"))
-    lists = split.groupBy("doc_id", "part").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "doc", F.struct("seq", "class_name")))).alias("l"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "span", span))).alias("s"))
-    out = docs.join(lists, "doc_id", "left")
-    empty = F.array().cast("array<string>")
-    return out.select(
-        "doc_id", "doc_index", F.coalesce("part", F.lit(0)).alias("part"), "name", "content",
-        F.coalesce(F.transform("l", lambda x: x["class_name"]), empty).alias("labels"),
-        F.coalesce(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
-                                                       x["label"].alias("label"))),
-                   F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")).alias("spans"))
+
+def _span_json() -> Column:
+    return F.to_json(F.struct("start", "end", "label"))
 
 
 def export_jsonl(docs: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(doc_index, part, line) with ``{name,text,labels,spans}`` per line."""
-    record = F.struct("name", F.col("content").alias("text"), "labels", "spans")
-    return _assembled(docs, annotations).select("doc_index", "part", F.to_json(record).alias("line"))
+    """(doc_index, place, seq, line): pieces of ``{name,text,labels,spans}``, one record a document."""
+    labels, spans = _lists(docs, annotations, json_text(F.col("label")), _span_json(), ",")
+    head = F.concat(F.lit('{"name":'), json_text(F.col("name")), F.lit(',"text":'), json_text(F.col("content")), F.lit(',"labels":['))
+    return P.joined(P.frame(docs, 0, head, "doc_index"), labels, P.frame(docs, 2, F.lit('],"spans":['), "doc_index"), spans,
+                    P.frame(docs, 4, F.lit("]}"), "doc_index"))
 
 
 def export_csv(docs: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(doc_index, part, name, text, labels, spans): labels joined by ``|``, spans as JSON."""
-    return _assembled(docs, annotations).select(
-        "doc_index", "part", "name", F.col("content").alias("text"), F.array_join("labels", "|").alias("labels"),
-        F.to_json("spans").alias("spans"))
+    """(doc_index, place, seq, line): pieces of the quoted fields name, text, labels (joined by ``|``), spans (JSON)."""
+    def inside(c: Column) -> Column:
+        return F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""'))
+
+    labels, spans = _lists(docs, annotations, inside(F.col("label")), inside(_span_json()), "|")
+    head = F.concat(F.lit('"'), inside(F.col("name")), F.lit('","'), inside(F.col("content")), F.lit('","'))
+    return P.joined(P.frame(docs, 0, head, "doc_index"), labels, P.frame(docs, 2, F.lit('","['), "doc_index"), spans,
+                    P.frame(docs, 4, F.lit(']"'), "doc_index"))
 
 
 def export_spans(docs: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(doc_index, part, line) with ``{text, entities: [[start, end, label]]}`` per line."""
-    entity = F.transform("spans", lambda s: F.concat(
-        F.lit("["), s["start"].cast("string"), F.lit(","), s["end"].cast("string"), F.lit(","),
-        json_text(s["label"]), F.lit("]")))
-    line = F.concat(F.lit('{"text":'), json_text(F.col("content")), F.lit(',"entities":['),
-                    F.array_join(entity, ","), F.lit("]}"))
-    return _assembled(docs, annotations).select("doc_index", "part", line.alias("line"))
+    """(doc_index, place, seq, line): pieces of ``{text, entities: [[start, end, label]]}``, one record a document."""
+    entity = F.concat(F.lit("["), F.col("start").cast("string"), F.lit(","), F.col("end").cast("string"), F.lit(","),
+                      json_text(F.col("label")), F.lit("]"))
+    _, spans = _lists(docs, annotations, F.col("label"), entity, ",")
+    head = F.concat(F.lit('{"text":'), json_text(F.col("content")), F.lit(',"entities":['))
+    return P.joined(P.frame(docs, 0, head, "doc_index"), spans, P.frame(docs, 4, F.lit("]}"), "doc_index"))

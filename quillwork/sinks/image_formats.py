@@ -1,8 +1,7 @@
 """Export formats for image annotations, as tables of files, documents or rows.
 
-Per-image documents come as (path, part, content): part 0 is the whole document unless an image carries
-more annotations than the group limit; then further parts follow in order, so nothing is gathered beyond
-the limit and nothing is lost.
+Per-image documents come as sorted pieces (path, place, seq, line), see ``pieces``: one shape however many
+annotations an image carries.
 """
 
 from __future__ import annotations
@@ -13,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.text import xml_escape
+from ..functions.text import json_text, xml_escape
 from ..operators.annotations import SPLITS, with_rect
 from ..operators.masks import mask_facts, mask_polygons
-from ..operators.ranking import with_parts, with_rank
+from ..operators.ranking import with_rank
 from ..scratch import materialise
+from . import pieces as P
 
 UNLABELED = "_unlabeled_"
 
@@ -58,15 +58,25 @@ def split_warnings(images: DataFrame) -> DataFrame:
 
 
 def unique_names(images: DataFrame, order_by: Sequence[str] = ("asset_id",)) -> DataFrame:
-    """Images plus (stem, ext): repeated stems get ``_2``, ``_3`` in order, by the distributed rank."""
+    """Images plus (stem, ext): repeated stems get ``_2``, ``_3`` in order, by the distributed rank.
+
+    Where files are called ``a_2`` or the like already, the repeats of ``a`` are numbered from the largest such number
+    on, so no two images have the same name.
+    """
     base = F.element_at(F.split(F.coalesce("file_name", F.concat(F.col("asset_id").cast("string"), F.lit(".jpg"))), "/"), -1)
     stem = F.regexp_extract(base, r"^(.+?)(\.[^.]*)?$", 1)
     ext = F.regexp_extract(base, r"^.+?(\.[^.]*)?$", 1)
     named = images.withColumns({"_stem": stem, "ext": ext})
     ranked = with_rank(named, [F.col(c) for c in order_by], ["_stem"], "_r")
-    full = F.when(F.col("_r") == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", F.col("_r").cast("string")))
+    own = named.select(F.regexp_extract("_stem", r"^(.+)_([1-9]\d{0,17})$", 1).alias("_base"),
+                       F.regexp_extract("_stem", r"^(.+)_([1-9]\d{0,17})$", 2).alias("_no")).filter("_base <> ''")
+    last = own.groupBy("_base").agg(F.max(F.col("_no").cast("long")).alias("_last"))
+    repeated = ranked.filter("_r > 1").join(last, F.col("_stem") == F.col("_base"), "left").drop("_base")
+    ranked = ranked.filter("_r = 1").withColumn("_last", F.lit(None).cast("long")).unionByName(repeated)
+    number = F.coalesce("_last", F.lit(1)) + F.col("_r") - 1
+    full = F.when(F.col("_r") == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", number.cast("string")))
     # Every format reads the names several times; the table is one narrow row per image.
-    return materialise(ranked.withColumn("stem", full).drop("_stem", "_r"), "names")
+    return materialise(ranked.withColumn("stem", full).drop("_stem", "_r", "_last"), "names")
 
 
 def name_collisions(named: DataFrame) -> DataFrame:
@@ -90,22 +100,16 @@ def skipped(annotations: DataFrame) -> DataFrame:
 
 
 def _documents(lines: DataFrame, images: DataFrame, path: Column, head: Column | None = None,
-               tail: Column | None = None, glue: str = "\n", end: str = "\n") -> DataFrame:
-    """(path, part, content): the lines (asset_id, seq, line) of each image, joined in order."""
-    split = with_parts(lines, ["asset_id"], [F.col("seq"), F.col("line")])
-    bodies = split.groupBy("asset_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x: x["line"]), glue)
-    last = split.groupBy("asset_id").agg(F.max("part").alias("_last"))
-    bodies = bodies.select("asset_id", "part", F.concat(body, F.lit(end)).alias("body")).join(last, "asset_id")
-    out = images.join(bodies, "asset_id", "left").withColumns(
-        {"part": F.coalesce("part", F.lit(0)), "_last": F.coalesce("_last", F.lit(0))})
-    text = F.coalesce("body", F.lit(""))
-    if head is not None:
-        text = F.concat(F.when(F.col("part") == 0, head).otherwise(""), text)
+               tail: Column | None = None) -> DataFrame:
+    """(path, place, seq, line): head, the lines (asset_id, seq, line) and the end of each image's file.
+
+    Without a head the piece at place 0 has no line; it says that the file exists, if only empty.
+    """
+    owners = images.withColumn("path", path)
+    parts = [P.frame(owners, 0, head, "path"), P.body(owners, lines, "asset_id", 1, "path")]
     if tail is not None:
-        text = F.concat(text, F.when(F.col("part") == F.col("_last"), tail).otherwise(""))
-    return out.select(path.alias("path"), "part", text.alias("content"))
+        parts.append(P.frame(owners, 2, tail, "path"))
+    return P.joined(*parts)
 
 
 def _sized(images: DataFrame) -> DataFrame:
@@ -209,45 +213,39 @@ def voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str
                     xml_escape(F.concat("stem", "ext")), F.lit("</filename><size><width>"), F.col("width").cast("string"),
                     F.lit("</width><height>"), F.col("height").cast("string"), F.lit("</height><depth>3</depth></size>"))
     return _documents(lines, _sized(images), F.concat(split, F.lit("/"), "stem", F.lit(".xml")), head,
-                      F.lit("</annotation>"), glue="", end="")
+                      F.lit("</annotation>"))
 
 
 def classification(images: DataFrame, annotations: DataFrame, seq: str = "ann_key") -> DataFrame:
-    """(filename, split, labels, part, target): manifest rows with pipe-joined labels and the target path."""
+    """(filename, split, target, seq, label): manifest rows, one a label; an image without labels has one with NULL.
+
+    The first label names the target folder.
+    """
     labels = annotations.filter("kind = 'classification' and class_name <> ''").select(
-        "asset_id", F.col(seq).alias("seq"), F.col("class_name").alias("line"))
-    first = labels.groupBy("asset_id").agg(F.min_by("line", F.struct("seq", "line")).alias("first"))
-    split = with_parts(labels, ["asset_id"], [F.col("seq")])
-    joined = split.groupBy("asset_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l"))
-    rows = images.join(joined, "asset_id", "left").join(first, "asset_id", "left")
+        "asset_id", F.col(seq).alias("seq"), F.col("class_name").alias("label"))
+    first = labels.groupBy("asset_id").agg(F.min_by("label", F.struct("seq", "label")).alias("first"))
+    rows = images.join(first, "asset_id", "left").join(labels, "asset_id", "left")
     folder = F.trim(F.regexp_replace(F.coalesce("first", F.lit("")), r"[/\\]", "_"))
     folder = F.when(folder == "", UNLABELED).otherwise(folder)
     name = F.concat("stem", "ext")
     return rows.select(name.alias("filename"), split_of(F.col("split")).alias("split"),
-                       F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), "|"), F.lit("")).alias("labels"),
-                       F.coalesce("part", F.lit(0)).alias("part"),
-                       F.concat_ws("/", split_of(F.col("split")), folder, name).alias("target"))
+                       F.concat_ws("/", split_of(F.col("split")), folder, name).alias("target"), "seq", "label")
 
 
 def createml(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str = "ann_key") -> DataFrame:
-    """(split, image, part, line): one JSON record per image; coordinates are box centres in pixels."""
+    """(split, image, place, seq, line): pieces of one JSON record per image; coordinates are box centres in pixels."""
     objects = _objects(annotations, _sized(images), classes).filter("rect is not null")
     x, y, w, h = (F.col(f"rect.{c}") for c in ("x", "y", "w", "h"))
     width, height = F.col("width"), F.col("height")
     place = F.struct(F.round((x + w / 2) * width, 2).alias("x"), F.round((y + h / 2) * height, 2).alias("y"),
                      F.round(w * width, 2).alias("width"), F.round(h * height, 2).alias("height"))
-    rows = objects.select("asset_id", F.col(seq).alias("seq"), F.col("class_name").alias("label"),
-                          place.alias("coordinates"))
-    split = with_parts(rows, ["asset_id"], [F.col("seq")])
-    lists = split.groupBy("asset_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "label", "coordinates"))).alias("l"))
-    entries = F.transform(F.coalesce("l", F.array().cast(
-        "array<struct<seq:string,label:string,coordinates:struct<x:double,y:double,width:double,height:double>>>")),
-        lambda a: F.struct(a["label"].alias("label"), a["coordinates"].alias("coordinates")))
-    name = F.concat("stem", "ext")
-    return _sized(images).join(lists, "asset_id", "left").select(
-        split_of(F.col("split")).alias("split"), name.alias("image"), F.coalesce("part", F.lit(0)).alias("part"),
-        F.to_json(F.struct(name.alias("image"), entries.alias("annotations"))).alias("line"))
+    lines = objects.select("asset_id", F.col(seq).alias("seq"), F.to_json(F.struct(
+        F.col("class_name").alias("label"), place.alias("coordinates"))).alias("line"))
+    owners = _sized(images).select("asset_id", split_of(F.col("split")).alias("split"), F.concat("stem", "ext").alias("image"))
+    head = F.concat(F.lit('{"image":'), json_text(F.col("image")), F.lit(',"annotations":['))
+    return P.joined(P.frame(owners, 0, head, "split", "image"),
+                    P.body(owners, P.separated(lines, "asset_id"), "asset_id", 1, "split", "image"),
+                    P.frame(owners, 2, F.lit("]}"), "split", "image"))
 
 
 def reduced_shapes(annotations: DataFrame) -> DataFrame:

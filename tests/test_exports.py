@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from bindings.maskdata import counts_text
 from quillwork.operators import annotations as A
-from quillwork.operators import ranking
 from quillwork.sinks import image_formats as X
 from quillwork.sinks import items as I
+from quillwork.sinks import pieces as P
 from test_masks import runs_of
 
 CLASSES = [(0, "cat"), (1, "dog & co")]
@@ -38,10 +38,26 @@ def test_unique_names(tables):
     assert X.name_collisions(tables[0]).count() == 0
 
 
+def files_of(pieces, glue=""):
+    """Whole files from their pieces."""
+    out = {}
+    for r in P.in_order(pieces).collect():
+        out.setdefault(r["path"], []).extend([r["line"]] if r["line"] is not None else [])
+    return {path: glue.join(lines) for path, lines in out.items()}
+
+
+def test_unique_names_keep_clear_of_numbered_files(spark):
+    names = ["x/a.jpg", "y/a.jpg", "a_2.jpg", "z/a.jpg", "b_2.jpg", "q/b_2.jpg"]
+    images = spark.createDataFrame(list(enumerate(names)), "asset_id long, file_name string")
+    named = X.unique_names(images)
+    assert X.name_collisions(named).count() == 0
+    assert {r["asset_id"]: r["stem"] for r in named.collect()} == {0: "a", 1: "a_3", 2: "a_2", 3: "a_4", 4: "b_2", 5: "b_2_2"}
+
+
 def test_yolo(tables):
-    files = {r["path"]: r["content"] for r in X.yolo(*tables).collect()}
+    files = files_of(X.yolo(*tables), "\n")
     assert files["train/labels/cat.txt"].split("\n")[0] == "0 0.300000 0.400000 0.400000 0.400000"
-    lines = files["valid/labels/cat_2.txt"].strip().split("\n")
+    lines = files["valid/labels/cat_2.txt"].split("\n")
     assert lines[0] == "1 0.400000 0.500000 0.400000 0.600000"
     assert lines[1].startswith("0 0.100000 0.200000 ") and len(lines[1].split()) % 2 == 1
     assert files["train/labels/none.txt"] == "" and len(files) == 4
@@ -49,17 +65,6 @@ def test_yolo(tables):
     assert {(r["asset_id"], r["n"]) for r in X.skipped(tables[1]).collect()} == {(1, 1)}
 
 
-def test_long_documents_continue_in_parts(tables, monkeypatch):
-    whole = {r["path"]: r["content"] for r in X.voc(*tables).collect()}
-    monkeypatch.setattr(ranking.with_parts, "__defaults__", (1, "part"))
-    parts = X.voc(*tables).orderBy("path", "part").collect()
-    assert len(parts) > len(whole)
-    joined = {}
-    for r in parts:
-        joined[r["path"]] = joined.get(r["path"], "") + r["content"]
-    assert joined == whole
-
-
 def test_coco(tables):
     images, anns, classes = tables
     numbered = X.coco_images(images)
@@ -74,19 +79,20 @@ def test_coco(tables):
 
 
 def test_voc(tables):
-    files = {r["path"]: r["content"] for r in X.voc(*tables).collect()}
+    files = files_of(X.voc(*tables))
     assert "<xmin>10</xmin><ymin>40</ymin><xmax>50</xmax><ymax>120</ymax>" in files["train/cat.xml"]
     assert "<name>dog &amp; co</name>" in files["valid/cat_2.xml"] and len(files) == 3
 
 
 def test_classification(tables):
     rows = {r["filename"]: r for r in X.classification(tables[0], tables[1]).collect()}
-    assert (rows["cat.jpg"]["labels"], rows["cat.jpg"]["target"]) == ("cat", "train/cat/cat.jpg")
-    assert rows["none.jpg"]["target"] == "train/_unlabeled_/none.jpg"
+    assert (rows["cat.jpg"]["label"], rows["cat.jpg"]["target"]) == ("cat", "train/cat/cat.jpg")
+    assert rows["none.jpg"]["target"] == "train/_unlabeled_/none.jpg" and rows["none.jpg"]["label"] is None
 
 
 def test_createml(tables):
-    rows = {r["image"]: json.loads(r["line"]) for r in X.createml(*tables).collect()}
+    pieces = X.createml(*tables).withColumnRenamed("image", "path").drop("split")
+    rows = {image: json.loads(line) for image, line in files_of(pieces).items()}
     assert rows["cat.jpg"]["annotations"][0] == {"label": "cat", "coordinates": {"x": 30.0, "y": 80.0, "width": 40.0, "height": 80.0}}
     assert rows["none.jpg"]["annotations"] == [] and len(rows) == 3
     assert rows["cat_2.png"]["annotations"][0]["coordinates"]["height"] == 120.0

@@ -1,8 +1,10 @@
+import csv
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillwork.sinks import pieces as P
 from quillwork.operators import documents as D
 from quillwork.operators import label_quality as LQ
 from quillwork.operators import labels as L
@@ -111,10 +113,14 @@ def test_offsets_count_code_points(spark):
     classes = spark.createDataFrame([("A",), ("B",), ("C",)], "name string")
     reasons = {r["class_name"]: r["reason"] for r in D.validate_annotations(spans, docs, classes).collect()}
     assert reasons == {"A": None, "B": "bad offsets", "C": None, "Z": "foreign class"}
-    line = json.loads(D.export_jsonl(docs, spans.filter("seq < 4")).first()["line"])
-    assert line == {"name": "n", "text": "a😀bcd", "labels": ["C"], "spans": [{"start": 1, "end": 3, "label": "A"}, {"start": 3, "end": 9, "label": "B"}]}
-    assert json.loads(D.export_spans(docs, spans.filter("seq < 3")).first()["line"])["entities"] == [[1, 3, "A"], [3, 9, "B"]]
-    assert D.export_csv(docs, spans.filter("seq = 3")).first()["labels"] == "C"
+    def record(pieces):
+        return "".join(r["line"] for r in P.in_order(pieces, "doc_index").collect())
+
+    assert json.loads(record(D.export_jsonl(docs, spans.filter("seq < 4")))) == {
+        "name": "n", "text": "a😀bcd", "labels": ["C"], "spans": [{"start": 1, "end": 3, "label": "A"}, {"start": 3, "end": 9, "label": "B"}]}
+    assert json.loads(record(D.export_spans(docs, spans.filter("seq < 3"))))["entities"] == [[1, 3, "A"], [3, 9, "B"]]
+    fields = next(csv.reader([record(D.export_csv(docs, spans))]))
+    assert fields[:3] == ["n", "a😀bcd", "C|Z"] and len(json.loads(fields[3])) == 2
 
 
 def test_search_takes_wildcards_literally(spark):
