@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.text import collapse
 from .masks import mask_facts
-from .ranking import with_neighbors, with_rank
+from .ranking import page, with_neighbors, with_rank
 
 STATUSES = ("unannotated", "annotated", "approved", "rejected")
 SPLITS = ("train", "valid", "test")
@@ -217,10 +217,10 @@ def queue(assets: DataFrame, states: DataFrame, annotations: DataFrame, status:
         rows = rows.filter(F.col("status") == status)
     if split:
         rows = rows.filter(F.col("split") == split)
-    page = rows.orderBy("created_at", "asset_id").offset(skip).limit(limit)
-    counts = annotations.join(F.broadcast(page.select("asset_id")), "asset_id", "left_semi").groupBy("asset_id").agg(
+    shown = page(rows, ["created_at", "asset_id"], skip, limit, "asset_id")
+    counts = annotations.join(F.broadcast(shown.select("asset_id")), "asset_id", "left_semi").groupBy("asset_id").agg(
         F.count("*").alias("annotation_count"))
-    return page.join(counts, "asset_id", "left").withColumn(
+    return shown.join(counts, "asset_id", "left").withColumn(
         "annotation_count", F.coalesce("annotation_count", F.lit(0)))
 
 

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import page
+
 # Allowed status moves, and the mark of a deleted dataset.
 TRANSITIONS = {"labeled": ("reviewed",), "reviewed": ("ready",)}
 DELETED = "[DELETED] "
 
 
-def page(df: DataFrame, order_by: Sequence[Column | str], skip: int, limit: int) -> DataFrame:
-    """Rows skip..skip+limit in order: a bounded heap per partition, no full sort."""
-    return df.orderBy(*order_by).offset(skip).limit(limit)
-
-
 def latest_version(versions: DataFrame, version: int | None = None) -> DataFrame:
     """The newest version row per dataset, or the rows of one exact version.
 
@@ -40,7 +37,7 @@ def list_datasets(datasets: DataFrame, versions: DataFrame, status: str | None =
     visible = datasets.filter(~F.col("name").startswith(DELETED))
     if status:
         visible = visible.filter(F.col("status") == status)
-    head = page(visible, [F.desc("created_at"), F.col("dataset_id")], skip, limit)
+    head = page(visible, ["-created_at", "dataset_id"], skip, limit, "dataset_id")
     facts = versions.join(F.broadcast(head.select("dataset_id")), "dataset_id", "left_semi").groupBy("dataset_id").agg(
         F.max_by("row_count", "version_number").alias("row_count"), F.count("*").alias("version_count"))
     return head.join(facts, "dataset_id", "left").withColumn("version_count", F.coalesce("version_count", F.lit(0)))
@@ -99,7 +96,7 @@ def rule_sets(table: DataFrame) -> DataFrame:
 
 def gallery(assets: DataFrame, cluster: int | None = None, skip: int = 0, limit: int = 50) -> DataFrame:
     chosen = assets if cluster is None else assets.filter(F.col("cluster_id") == cluster)
-    return page(chosen, ["created_at", "asset_id"], skip, limit)
+    return page(chosen, ["created_at", "asset_id"], skip, limit, "asset_id")
 
 
 def gallery_counts(assets: DataFrame) -> DataFrame:
@@ -124,7 +121,7 @@ def runs(table: DataFrame, dataset_id: int | None = None, run_type: str | None =
     for column, value in (("dataset_id", dataset_id), ("run_type", run_type), ("status", status)):
         if value is not None:
             table = table.filter(F.col(column) == value)
-    return page(table, [F.desc("completed_at"), F.col("run_id")], skip, limit)
+    return page(table, ["-completed_at", "run_id"], skip, limit, "run_id")
 
 
 def latest_report(table: DataFrame) -> DataFrame:

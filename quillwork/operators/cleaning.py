@@ -14,7 +14,7 @@ from ..functions.text import strip, title
 from ..scratch import materialise
 from .columnstats import (cell, distinct_stats, field_kinds, is_number, normalise_nan, numeric_columns, present,
                           text_columns, value_stats, wide_stats)
-from .ranking import number_counts, quantiles, quantiles_of_counts, with_rank
+from .ranking import quantiles, with_rank
 
 MAX_ONEHOT = 50
 MAX_OUTLIER_SHARE = 0.10
@@ -155,18 +155,18 @@ def outlier_fences(df: DataFrame, multiplier: float = 1.5, exact: bool = True) -
 
     Left out: all-missing columns, 0/1 columns, zero quartile range, one value in over half the rows.
     """
-    counted = number_counts(df, numeric_columns(df))
-    shapes = counted.groupBy("column").agg(F.max("n").alias("mode_count"), F.sum("n").alias("filled"),
-                                           F.min(F.col("value").isin(0.0, 1.0)).alias("binary"))
-    if exact:
-        spread = quantiles_of_counts(counted, [0.25, 0.75])
-    else:
-        spread = quantiles(df, numeric_columns(df), [0.25, 0.75], exact=False)
-    reach = multiplier * (F.col("q1") - F.col("q0"))
-    return (spread.drop("n").join(shapes, "column")
-            .filter((F.col("q1") != F.col("q0")) & ~F.col("binary")
-                    & (F.col("mode_count") <= 0.5 * F.col("filled")))
-            .select("column", (F.col("q0") - reach).alias("lower"), (F.col("q1") + reach).alias("upper")))
+    names = numeric_columns(df)
+    spread = {r["column"]: r for r in quantiles(df, names, [0.25, 0.5, 0.75], exact).collect()}  # a row a column
+    shapes = wide_stats(df, lambda n, t: {
+        "filled": F.count(present(n, t)), "binary": F.min(present(n, t).isin(0, 1)),
+        # a value that fills more than half of the rows is the median
+        "median_count": F.count_if(present(n, t).cast("double") == F.lit(spread[n]["q1"]))}, [n for n in names if n in spread])
+    rows = [(n, r["q0"], r["q2"]) for n, r in spread.items()]
+    quarts = df.sparkSession.createDataFrame(rows, "column string, q0 double, q2 double")
+    reach = multiplier * (F.col("q2") - F.col("q0"))
+    return (quarts.join(shapes, "column")
+            .filter((F.col("q2") != F.col("q0")) & ~F.col("binary") & (F.col("median_count") <= 0.5 * F.col("filled")))
+            .select("column", (F.col("q0") - reach).alias("lower"), (F.col("q2") + reach).alias("upper")))
 
 
 def _outside(name: str, kind: T.DataType, lower: float, upper: float) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, is_blank, json_text, newlines, strip
 from ..scratch import balance, materialise
 from ..sinks import pieces as P
-from .ranking import with_neighbors, with_running_total
+from .ranking import page, with_neighbors, with_running_total
 
 SNIPPET_CHARS = 200
 PREVIEW_CHARS = 180
@@ -99,15 +99,15 @@ def listing(docs: DataFrame, annotations: DataFrame, skip: int = 0, limit: int =
     """
     if not 1 <= limit <= 200:
         raise ValueError("limit must be 1..200")
-    page = docs.orderBy("doc_index").offset(skip).limit(limit)
-    keys = F.broadcast(page.select("doc_id"))
+    shown = page(docs, ["doc_index", "doc_id"], skip, limit, "doc_id")
+    keys = F.broadcast(shown.select("doc_id"))
     found = annotations.join(keys, "doc_id", "left_semi")
     by_class = found.groupBy("doc_id", "class_name").agg(
         F.count_if(F.col("kind") == "doc").alias("docs"), F.count_if(F.col("kind") == "span").alias("spans"))
     facts = by_class.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("docs") > 0, F.concat_ws(":", "class_name", "docs")))).alias("labels"),
         F.sum("spans").alias("span_count"))  # at most one entry per class
-    return page.join(facts, "doc_id", "left").select(
+    return shown.join(facts, "doc_id", "left").select(
         "doc_id", "doc_index", "name", F.length("content").alias("char_count"),
         preview_text(F.col("content")).alias("preview"),
         F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),

@@ -92,6 +92,22 @@ def with_neighbors(df: DataFrame, id_col: str, order_by: Sequence[Column],
                   *[f"_g{i}" for i in range(len(groups))]))
 
 
+def page(df: DataFrame, order_by: Sequence[str], skip: int, limit: int, key: str) -> DataFrame:
+    """Rows skip+1 .. skip+limit in a total order; ``-name`` stands for descending.
+
+    The first page is a bounded heap per partition. Behind it, ``key`` (unique) and the order columns alone are ranked
+    over all partitions, so no task holds the rows skipped.
+    """
+    names = [n.lstrip("-") for n in order_by]
+    order = [F.desc(n) if o.startswith("-") else F.asc(n) for n, o in zip(names, order_by)]
+    if not skip:
+        return df.orderBy(*order).limit(limit)
+    narrow = df.select(*dict.fromkeys([*names, key]))
+    chosen = with_rank(narrow, order, name="_place").filter(
+        (F.col("_place") > skip) & (F.col("_place") <= skip + limit)).select(F.col(key).alias("_key"))
+    return df.join(F.broadcast(chosen), F.col(key) == F.col("_key")).drop("_key").orderBy(*order)  # ``limit`` rows
+
+
 def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) rows of the non-missing numbers."""
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
@@ -100,11 +116,6 @@ def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter("value is not null and not isnan(value)")
 
 
-def number_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) of the non-missing numbers, written once for several uses."""
-    return materialise(long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n")), "numbers")
-
-
 def quantiles_of_counts(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     """(column, n, q0, q1, ...) from (column, value, n), with linear interpolation.
 
@@ -142,12 +153,95 @@ def quantiles_of_counts(counted: DataFrame, probabilities: Sequence[float]) -> D
     return found.select("column", "n", *out)
 
 
+ACCURACY = 10_000
+COLUMNS_PER_PASS = 100  # a quantile sketch per column is held in memory by every task
+
+
+def _number(name: str) -> Column:
+    c = F.col(f"`{name}`").cast("double")
+    return F.when(~F.isnan(c), c)
+
+
+def _per_column(df: DataFrame, columns: Sequence[str], measures) -> list[dict]:
+    """One aggregate per hundred columns; the driver gets one small row for each column."""
+    out = []
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        part = columns[start:start + COLUMNS_PER_PASS]
+        row = df.agg(*[F.struct(*[v.alias(k) for k, v in measures(c).items()]).alias(f"c{i}") for i, c in enumerate(part)]).first()
+        out += [{"column": c, **row[f"c{i}"].asDict()} for i, c in enumerate(part)]
+    return out
+
+
+def _exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Order statistics without moving the cells.
+
+    A sketch gives two values that enclose each wanted place but for its error; one pass counts what lies below and
+    inside and finds the nearest values outside; only the values inside (about four in ten thousand) are counted and
+    ranked. A column whose sketch missed is counted in full.
+    """
+    spark, ps = df.sparkSession, [float(p) for p in probabilities]
+    wide = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in ps for side in (-1, 1)]
+    bounds = {r["column"]: r for r in _per_column(df, columns, lambda c: {
+        "n": F.count(_number(c)), "b": F.percentile_approx(_number(c), wide, ACCURACY)})}
+    filled = [c for c in columns if bounds[c]["n"]]
+
+    def inside(c: str, i: int) -> Column:
+        return (_number(c) >= bounds[c]["b"][2 * i]) & (_number(c) <= bounds[c]["b"][2 * i + 1])
+
+    facts = _per_column(df, filled, lambda c: {k: v for i in range(len(ps)) for k, v in {
+        f"below{i}": F.count_if(_number(c) < bounds[c]["b"][2 * i]), f"inside{i}": F.count_if(inside(c, i)),
+        f"prev{i}": F.max(F.when(_number(c) < bounds[c]["b"][2 * i], _number(c))),
+        f"next{i}": F.min(F.when(_number(c) > bounds[c]["b"][2 * i + 1], _number(c)))}.items()})
+    wanted, missed = [], []
+    for r in facts:
+        n, places = bounds[r["column"]]["n"], []
+        for i, p in enumerate(ps):
+            low = int((n - 1) * p)
+            high = low if low == (n - 1) * p else low + 1
+            places += [(r["column"], i, side, k - r[f"below{i}"], r[f"prev{i}"], r[f"next{i}"], r[f"inside{i}"])
+                       for side, k in enumerate((low, high))]
+        (wanted if all(-1 <= place <= size for *_, place, _, _, size in places) else missed).append((r["column"], places))
+    found = {}
+    rows = [x for _, places in wanted for x in places]
+    if rows:
+        cells = [F.when(inside(c, i), F.struct(F.lit(f"{j}:{i}").alias("key"), _number(c).alias("value")))
+                 for j, (c, _) in enumerate(wanted) for i in range(len(ps))]
+        number = {c: j for j, (c, _) in enumerate(wanted)}
+        near = df.select(F.explode(F.array(*cells)).alias("c")).filter("c is not null").select("c.*")
+        counted = near.groupBy("key", "value").agg(F.count("*").alias("size"))
+        ranked = with_running_total(counted, "size", [F.col("value")], ["key"], "upto")
+        targets = spark.createDataFrame([(f"{number[c]}:{i}", side, int(place)) for c, i, side, place, *_ in rows],
+                                        "key string, side int, place long")  # two rows a column and probability
+        hits = ranked.join(F.broadcast(targets), "key").filter(
+            (F.col("upto") > F.col("place")) & (F.col("upto") - F.col("size") <= F.col("place")))
+        found = {(r["key"], r["side"]): r["value"] for r in hits.select("key", "side", "value").collect()}
+    out = []
+    for c, places in wanted:
+        values = {}
+        for _, i, side, place, before, after, size in places:
+            values[i, side] = before if place == -1 else after if place == size else found[f"{number[c]}:{i}", side]
+        n = bounds[c]["n"]
+        quants = []
+        for i, p in enumerate(ps):
+            at = (n - 1) * p
+            quants.append(values[i, 0] + (values[i, 1] - values[i, 0]) * (at - int(at)))
+        out.append((c, n, *quants))
+    fields = ", ".join(["column string, n long", *[f"q{i} double" for i in range(len(ps))]])
+    result = spark.createDataFrame(out, fields)
+    if missed:
+        counted = long_numbers(df, [c for c, _ in missed]).groupBy("column", "value").agg(F.count("*").alias("n"))
+        result = result.unionByName(quantiles_of_counts(counted, ps))
+    return result
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
               exact: bool = True) -> DataFrame:
-    """(column, n, q0, q1, ...); exact through value counts, or the one-pass sketch with ``exact=False``."""
+    """(column, n, q0, q1, ...) with linear interpolation: exact, or from the one-pass sketch with ``exact=False``."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], ", ".join(
+            ["column string, n long", *[f"q{i} double" for i in range(len(probabilities))]]))
     if exact:
-        counted = long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
-        return quantiles_of_counts(counted, probabilities)
+        return _exact_quantiles(df, columns, probabilities)
     return long_numbers(df, columns).groupBy("column").agg(
         F.count("*").alias("n"),
         *[F.percentile_approx("value", p, 100000).alias(f"q{i}") for i, p in enumerate(probabilities)])
