@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillwork.operators.ranking import with_neighbors
+from quillwork.scratch import new_path
 from quillwork.sources import delimited as D
 from quillwork.sources import files as Fl
 from quillwork.sources import records as R
@@ -74,17 +75,36 @@ def src_csv_typed(spark, sf):
     return D.typed(D.parse_lines(csv_lines(spark, sf), COLUMNS).drop("line_no"), COLUMNS)
 
 
-@register("src_json", "SELECT event_id AS line_no, event_id, CAST(regexp_extract(props, '\\d+') AS BIGINT) AS k FROM events")
+def written(spark, lines, ext):
+    """The path of a folder of text files holding the lines (column value), named with the extension."""
+    path = new_path(spark, "source") + ext
+    lines.write.text(path)
+    return path
+
+
+@register("src_json", "SELECT event_id, CAST(regexp_extract(props, '\\d+') AS BIGINT) AS k FROM events")
 def src_json(spark, sf):
-    lines = load(spark, sf, "events").select(F.col("event_id").alias("line_no"), F.to_json(F.struct(
-        "event_id", F.from_json("props", "k bigint").alias("p"))).alias("value"))
-    return R.parse_records(lines, "event_id bigint, p struct<k:bigint>").select("line_no", "event_id", "p.k")
+    """Files with one array of at most 100,000 records each, written and read back by their extension."""
+    record = F.to_json(F.struct("event_id", F.from_json("props", "k bigint").alias("p")))
+    arrays = load(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 100_000).alias("file")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    path = new_path(spark, "source") + ".json"
+    arrays.write.partitionBy("file").text(path)  # one row, so one array, a file
+    return Fl.read_any(spark, path).select("event_id", "p.k")
 
 
-@register("src_jsonl", """SELECT line_no, line_no % 1000000000 AS id, CASE line_no % 1000000000 % 9 WHEN 1 THEN NULL WHEN 2 THEN ' '
+@register("src_jsonl", """SELECT line_no % 1000000000 AS id, CASE line_no % 1000000000 % 9 WHEN 1 THEN NULL WHEN 2 THEN ' '
     WHEN 3 THEN NULL ELSE event_type END AS type FROM json_lines JOIN events ON event_id = line_no % 1000000000
     WHERE line_no % 1000000000 % 9 <> 0""")
 def src_jsonl(spark, sf):
+    path = written(spark, load(spark, sf, "json_lines").select("value"), ".jsonl")
+    return Fl.read_any(spark, path).select("id", "type")
+
+
+@register("src_jsonl_schema", """SELECT line_no, line_no % 1000000000 AS id, CASE line_no % 1000000000 % 9 WHEN 1 THEN NULL WHEN 2 THEN ' '
+    WHEN 3 THEN NULL ELSE event_type END AS type FROM json_lines JOIN events ON event_id = line_no % 1000000000
+    WHERE line_no % 1000000000 % 9 <> 0""")
+def src_jsonl_schema(spark, sf):
     return R.parse_records(load(spark, sf, "json_lines"), "id bigint, type string")
 
 
@@ -133,9 +153,8 @@ def src_validate_json(spark, sf):
     0 AS null_cells, (SELECT count(*) - count(DISTINCT lang || '|' || text) FROM documents) AS duplicate_records,
     0 AS different_keys""")
 def src_validate_file(spark, sf):
-    lines = load(spark, sf, "documents").select(F.col("doc_id").alias("line_no"),
-                                                F.to_json(F.struct("lang", "text")).alias("value"))
-    return R.validate_records(lines).withColumn("columns", F.array_join("columns", ",")).drop("schema_hash")
+    path = written(spark, load(spark, sf, "documents").select(F.to_json(F.struct("lang", "text")).alias("value")), ".jsonl")
+    return Fl.validate_file(spark, path).withColumn("columns", F.array_join("columns", ",")).drop("schema_hash")
 
 
 HASH = "sha256(array_to_string(list_sort(string_split(columns_csv, ',')), '|'))"

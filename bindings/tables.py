@@ -268,12 +268,17 @@ def sch_match_ratio(spark, sf):
     return out.select("column", "email", "url", "phone", "currency")
 
 
-@register("sch_date_ratio")
+FORMATS = "['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y/%m/%d', '%m/%d/%Y', '%d-%m-%Y', '%d.%m.%Y', '%b %d %Y', '%d %b %Y', '%B %d, %Y']"
+
+
+@register("sch_date_ratio", union(f"""SELECT '{name}' AS "column", avg(CASE WHEN try_strptime({text}, {FORMATS}) IS NOT NULL THEN 1.0 ELSE 0.0 END)
+    AS date FROM orders""" for name, text in (("slashes", "strftime(o_orderdate, '%Y/%m/%d')"),
+                                             ("iso", "CAST(o_orderdate AS VARCHAR)"), ("o_orderpriority", "o_orderpriority"))))
 def sch_date_ratio(spark, sf):
     orders = load(spark, sf, "orders").select(
         F.date_format("o_orderdate", "yyyy/MM/dd").alias("slashes"), F.col("o_orderdate").cast("string").alias("iso"),
         "o_orderpriority")
-    return S.date_ratios(orders)
+    return S.date_ratios(orders).select("column", "date")
 
 
 @register("sch_samples", union(

@@ -315,15 +315,21 @@ def clean(df: DataFrame, plan: CleaningPlan = CleaningPlan()) -> tuple[DataFrame
 
 # ---- advice -------------------------------------------------------------------------------------
 
-# Date layouts that the date tests accept.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy",
-                "dd-MM-yyyy", "dd.MM.yyyy", "MMM d yyyy", "d MMM yyyy", "MMMM d, yyyy")
+# Date layouts that the date tests accept, each with the shape of the texts it can read.
+DATE_LAYOUTS = ((r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"), (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "yyyy-MM-dd HH:mm:ss"),
+                (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "yyyy-MM-dd'T'HH:mm:ss"), (r"\d{4}/\d{2}/\d{2}", "yyyy/MM/dd"),
+                (r"\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"), (r"\d{2}-\d{2}-\d{4}", "dd-MM-yyyy"),
+                (r"\d{2}\.\d{2}\.\d{4}", "dd.MM.yyyy"), (r"\p{L}{3} \d{1,2} \d{4}", "MMM d yyyy"),
+                (r"\d{1,2} \p{L}{3} \d{4}", "d MMM yyyy"), (r"\p{L}{3,12} \d{1,2}, \d{4}", "MMMM d, yyyy"))
 
 
 def looks_like_date(c: Column) -> Column:
-    """Whether text parses under one of the listed layouts."""
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(*tries).isNotNull()
+    """Whether text parses under one of the layouts. Its shape names the only one that can fit, so a cell is parsed
+    once at most, and most texts never."""
+    chosen = F.lit(None).cast("timestamp")
+    for shape, layout in reversed(DATE_LAYOUTS):
+        chosen = F.when(c.rlike(f"^{shape}$"), F.try_to_timestamp(c, F.lit(layout))).otherwise(chosen)
+    return F.when(c.rlike(r"\d{2}$"), chosen).isNotNull()
 
 
 def recommend(df: DataFrame, exact: bool = True) -> DataFrame:

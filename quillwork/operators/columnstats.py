@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import materialise
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType)
@@ -115,8 +117,43 @@ def distinct_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def value_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, distinct, mode, mode_count): the mode is the smallest of the most frequent values."""
-    return value_counts(df, columns).groupBy("column").agg(
-        F.count("*").alias("distinct"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("number"), F.col("value"))).alias("mode"),
-        F.max("n").alias("mode_count"))
+    """(column, distinct, mode, mode_count): the mode is the smallest of the most frequent values.
+
+    Long texts are counted by digest with their first characters; the text itself is fetched only for the digests
+    that may be the mode, and is reduced before it is shuffled.
+    """
+    kinds = field_kinds(df)
+    columns = list(columns if columns is not None else kinds)
+
+    def parts(name: str) -> Column:
+        c = present(name, kinds[name])
+        text = c.cast("string")
+        long = F.length(text) > SHORT_TEXT if is_text(kinds[name]) else F.lit(False)
+        number = c.cast("double") if is_number_or_bool(kinds[name]) else F.lit(None).cast("double")
+        return F.struct(F.lit(name).alias("column"), number.alias("number"), F.substring(text, 1, SHORT_TEXT).alias("start"),
+                        F.when(long, F.md5(text)).alias("digest"), F.when(~long, text).alias("value"))
+
+    cells = df.select(F.explode(F.array(*[parts(c) for c in columns])).alias("c")).select("c.*").filter("start is not null")
+    counted = cells.groupBy("column", "number", "start", "digest", "value").agg(F.count("*").alias("n"))
+    best = counted.groupBy("column").agg(
+        F.count("*").alias("distinct"), F.max("n").alias("mode_count"),
+        F.min(F.struct((-F.col("n")).alias("n"), "number", "start")).alias("b"),
+        F.min_by("value", F.struct(-F.col("n"), F.col("number"), F.col("start"), F.col("value").isNull())).alias("short"))
+    texts = [c for c in columns if is_text(kinds[c])]
+    if not texts:
+        return best.select("column", "distinct", F.col("short").alias("mode"), "mode_count")
+    best = materialise(best, "modes")
+    tops = best.select(F.col("column").alias("bc"), F.col("b.n").alias("bn"), F.col("b.start").alias("bs"))
+    ties = materialise(counted.filter("digest is not null").join(F.broadcast(tops), (F.col("column") == F.col("bc"))
+                       & (-F.col("n") == F.col("bn")) & (F.col("start") == F.col("bs"))).select(
+        F.col("column").alias("tc"), F.col("digest").alias("td")), "mode-ties")  # ``tops``: one row a column
+    longest = None
+    for name in texts:
+        rows = df.select(F.lit(name).alias("column"), cell(name).alias("text")).filter(F.length("text") > SHORT_TEXT)
+        found = rows.join(ties.filter(F.col("tc") == name), F.md5("text") == F.col("td"), "left_semi").groupBy("column").agg(
+            F.min("text").alias("long"))
+        longest = found if longest is None else longest.unionByName(found)
+    # a short value that ties with long ones of the same beginning is that beginning, and so the smallest
+    joined = best.join(longest.withColumnRenamed("column", "lc"), F.col("column") == F.col("lc"), "left")
+    return joined.select("column", "distinct", F.coalesce(
+        F.when(F.col("short").eqNullSafe(F.col("b.start")) | F.col("long").isNull(), F.col("short")), F.col("long")).alias("mode"), "mode_count")

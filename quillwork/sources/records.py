@@ -15,8 +15,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One record per line; splittable."""
-    return spark.read.json(path)
+    """One record per line; splittable. Lines that are not records are left out."""
+    df = spark.read.option("columnNameOfCorruptRecord", "_broken_line").json(path)
+    if "_broken_line" not in df.columns:
+        return df
+    return df.filter(F.col("_broken_line").isNull()).drop("_broken_line")
 
 
 def parse_records(lines: DataFrame, schema: str) -> DataFrame:
