@@ -139,14 +139,24 @@ def byte_share_encoder():
     return encode
 
 
-@register("vec_embed")
-def vec_embed(spark, sf):
+def embedded(spark, sf):
     return V.embed(load(spark, sf, "documents"), "doc_id", "text", byte_share_encoder)
 
 
+BYTES = """b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents),
+    c AS (SELECT doc_id, left(b, 1) AS k, count(*) AS n FROM b GROUP BY ALL),
+    u AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)"""
+
+
+@register("vec_embed", f"""WITH {BYTES} SELECT doc_id, {", ".join(
+    f"coalesce(round(max(n / norm) FILTER (k = '{k:X}'), 6), 0) AS e{k}" for k in range(16))} FROM c JOIN u USING (doc_id) GROUP BY doc_id""")
+def vec_embed(spark, sf):
+    return embedded(spark, sf).select(F.col("item_id").alias("doc_id"), *[F.round(F.get("vector", F.lit(k)), 6).alias(f"e{k}") for k in range(16)])
+
+
 @register("vec_embed_report", "SELECT 'bytes' AS method, count(*) AS count, CAST(16 AS INT) AS dimension FROM documents")
 def vec_embed_report(spark, sf):
-    return V.embedding_report(vec_embed(spark, sf), "bytes")
+    return V.embedding_report(embedded(spark, sf), "bytes")
 
 
 @register("vec_embed_images")
