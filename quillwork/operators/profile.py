@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +18,7 @@ from .columnstats import (cell, distinct_stats, field_kinds, is_number_or_bool,
                           value_stats, wide_stats)
 from .ranking import quantiles
 
-PAIRS_PER_AGGREGATE = 300
+GROUP = 250  # columns of a group; a pass sums the products of two groups, 1500 by 1500 numbers
 
 
 def _numbers(df: DataFrame) -> list[str]:
@@ -78,23 +82,44 @@ def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "max_length": F.coalesce(F.max(F.length(cell(n))), F.lit(0)).cast("long")}, columns)
 
 
+def _pair_sums(df: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Gram matrix over (x, present, x squared) of all columns, x centred and 0 where missing: one pass in the engine,
+    summed in a tree; the driver gets (3 * columns) squared numbers."""
+    kinds = field_kinds(df)
+    cells = [present(n, kinds[n]).cast("double") for n in names]
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cells)]).first()
+    centred = [F.coalesce(c - F.lit(means[i] if means[i] is not None else 0.0), F.lit(0.0)) for i, c in enumerate(cells)]
+    there = [c.isNotNull().cast("double") for c in cells]
+    rows = df.select(array_to_vector(F.array(*centred, *there, *[c * c for c in centred])).alias("v"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeGramianMatrix().toArray()
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, r) for a before b: Pearson on the rows where both are present."""
+    """(a, b, r) for a before b: Pearson on the rows where both are present.
+
+    Up to ``2 * GROUP`` columns take one pass over the table; wider tables one for each pair of column groups.
+    """
     names = list(columns or _numbers(df))
-    kinds = field_kinds(df)
-    pairs = list(combinations(names, 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk = pairs[start:start + PAIRS_PER_AGGREGATE]
-        wide = df.agg(*[F.corr(present(a, kinds[a]).cast("double"), present(b, kinds[b]).cast("double")).alias(f"r{i}")
-                        for i, (a, b) in enumerate(chunk)])
-        rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(finite(F.col(f"r{i}")), 6).alias("r"))
-                for i, (a, b) in enumerate(chunk)]
-        part = wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    return out
+    groups = [names[i:i + GROUP] for i in range(0, len(names), GROUP)]
+    blocks = [names] if len(groups) <= 2 else [x + y for x, y in combinations(groups, 2)]
+    found: dict[tuple[str, str], float | None] = {}
+    for block in blocks if len(names) > 1 and not df.limit(1).isEmpty() else []:
+        n = len(block)
+        sums = _pair_sums(df, block)
+        x, there, square = range(n), range(n, 2 * n), range(2 * n, 3 * n)
+        count = sums[np.ix_(there, there)]
+        sx, sxx = sums[np.ix_(x, there)], sums[np.ix_(square, there)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            covariance = sums[np.ix_(x, x)] - sx * sx.T / count
+            spread = np.maximum(sxx - sx * sx / count, 0)
+            # what rounding leaves of a constant column is no spread
+            spread = np.where(spread <= 1e-13 * sxx, 0, spread)
+            r = covariance / np.sqrt(spread * spread.T)
+        for i, j in combinations(range(n), 2):
+            found[block[i], block[j]] = float(np.clip(r[i, j], -1, 1)) if np.isfinite(r[i, j]) else None
+    rows = [(a, b, found.get((a, b))) for a, b in combinations(names, 2)]  # a row for each pair of columns
+    out = df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    return out.select("a", "b", F.round("r", 6).alias("r"))
 
 
 def correlation_map(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
