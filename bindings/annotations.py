@@ -319,6 +319,19 @@ def ann_mask_stats(spark, sf):
     return M.mask_stats(rect_masks(spark, sf)).drop("mask")
 
 
+@register("ann_validate_masks", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN bad THEN 'runs do not cover the mask'
+    WHEN o_orderkey % 3 = 1 THEN 'mask size differs from the image' END AS reason
+    FROM ({RECT}) r LEFT JOIN orders ON o_orderkey = l_orderkey""")
+def ann_validate_masks(spark, sf):
+    """Masks of 64 x 48 on images that have this size, another one, or none."""
+    none = F.lit(None).cast("double")
+    masks = rect_masks(spark, sf).withColumns({"asset_id": F.col("l_orderkey"), "kind": F.lit("mask"), "x": none, "y": none,
+                                               "w": none, "h": none, "points": F.lit(None).cast("array<array<double>>")})
+    width = F.when(F.col("o_orderkey") % 3 == 0, 64).when(F.col("o_orderkey") % 3 == 1, 65)
+    images = load(spark, sf, "orders").select(F.col("o_orderkey").alias("asset_id"), width.alias("width"), F.lit(48).alias("height"))
+    return A.validate(masks, images).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "reason")
+
+
 @register("ann_mask_polygons", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 AS ring,
     {flat_sql('l / 64', 't / 48', '(l + w - 1) / 64', 't / 48', '(l + w - 1) / 64', '(t + h - 1) / 48', 'l / 64', '(t + h - 1) / 48',
               'l / 64', '(t + 1) / 48')} AS points FROM ({RECT}) r WHERE NOT bad""")

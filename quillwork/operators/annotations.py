@@ -30,10 +30,11 @@ PALETTE = ("#f97316", "#3b82f6", "#22c55e", "#eab308", "#a855f7", "#ef4444",
 
 # ---- geometry -----------------------------------------------------------------------------------
 
-def validate(annotations: DataFrame) -> DataFrame:
+def validate(annotations: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Cleaned geometry plus ``reason`` (NULL when usable); boxes are trimmed, points clamped.
 
-    A mask column is checked only when there is one.
+    A mask column is checked only when there is one. With ``images`` (asset_id, width, height) a mask must have the
+    size of its image where that is known.
     """
     x, y, w, h, points = (F.col(c) for c in ("x", "y", "w", "h", "points"))
     x0, y0 = G.clamp01(x), G.clamp01(y)
@@ -50,9 +51,14 @@ def validate(annotations: DataFrame) -> DataFrame:
         masked = F.col("kind") == "mask"
         reason = reason.when(masked & F.col("mask").isNull(), "mask missing").when(
             masked & F.col("_m.problem").isNotNull(), F.col("_m.problem"))
+        if images is not None:
+            sizes = images.select(F.col("asset_id").alias("_a"), F.array(F.col("height").cast("int"), F.col("width").cast("int")).alias("_s"))
+            annotations = annotations.join(sizes, F.col("asset_id") == F.col("_a"), "left")
+            known = ~F.exists("_s", lambda v: v.isNull())
+            reason = reason.when(masked & known & (F.col("_s") != F.col("mask.size")), "mask size differs from the image")
     clean = {"x": F.when(box, x0), "y": F.when(box, y0), "w": F.when(box, x1 - x0), "h": F.when(box, y1 - y0),
              "points": F.when(polygon, G.clamp_points(points))}
-    return annotations.withColumn("reason", reason).withColumns(clean).drop("_m")
+    return annotations.withColumn("reason", reason).withColumns(clean).drop("_m", "_a", "_s")
 
 
 def with_rect(annotations: DataFrame, name: str = "rect") -> DataFrame:

@@ -16,7 +16,7 @@ def con():
     return connect(SF)
 
 
-PYTHON_QUERIES = ("ann_mask_", "exp_segmentation", "ail_", "src_encoding", "src_image_meta", "vec_")
+PYTHON_QUERIES = ("ann_mask_", "ann_validate_masks", "exp_segmentation", "ail_", "src_encoding", "src_image_meta", "vec_")
 
 
 def check_plan(name, df):
