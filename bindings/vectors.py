@@ -47,6 +47,15 @@ def vec_topk_join(spark, sf):
     return V.top_k_join(table, table.filter("vec_id % 4 = 0"), 10).withColumn("similarity", F.round("similarity", 6))
 
 
+@register("vec_topk_join_cells", f"""WITH {UNIT}, {PAIRS.format(where="a.vec_id % 4 = 0")}
+    SELECT q AS query_id, p AS point_id, round(s, 6) AS similarity, CAST(r AS INT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p) AS r FROM p) x WHERE r <= 10""")
+def vec_topk_join_cells(spark, sf):
+    """The same through many cells, several blocks each."""
+    table = vectors(spark, sf)
+    return V.top_k_join(table, table.filter("vec_id % 4 = 0"), 10, block=100, pivots=12).withColumn("similarity", F.round("similarity", 6))
+
+
 def propagated_sql(points: str) -> str:
     return f"""WITH {UNIT}, {PAIRS.format(where="a.known_label IS NULL" + points)},
     h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p) AS r FROM p),
@@ -222,6 +231,24 @@ def vec_density_clusters(spark, sf):
     return N.density_clusters(vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), RADIUS, 5)
 
 
+@register("vec_density_cells", f"""
+    WITH RECURSIVE {UNIT},
+    d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.v, b.v))) AS d FROM u a, u b),
+    core AS (SELECT a AS id FROM d WHERE d <= {RADIUS} GROUP BY a HAVING count(*) >= 5),
+    e AS (SELECT a, b FROM d WHERE d <= {RADIUS} AND a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    r AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    c AS (SELECT a AS id, min(b) AS comp FROM r GROUP BY a),
+    bo AS (SELECT a AS id, arg_min(b, d) AS near FROM d WHERE d <= {RADIUS} AND a NOT IN (SELECT id FROM core)
+           AND b IN (SELECT id FROM core) GROUP BY a),
+    m AS (SELECT * FROM c UNION ALL SELECT bo.id, comp FROM bo JOIN c ON near = c.id),
+    s AS (SELECT comp, min(id) AS cluster FROM m GROUP BY comp HAVING count(*) >= 5)
+    SELECT vec_id AS id, cluster FROM vectors LEFT JOIN m ON vec_id = m.id LEFT JOIN s USING (comp)""")
+def vec_density_cells(spark, sf):
+    """The same through many cells, several blocks each."""
+    return N.density_clusters(vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), RADIUS, 5,
+                              block=100, pivots=12)
+
+
 @register("vec_cluster_summary", """SELECT count(DISTINCT known_label) AS clusters, count(known_label) AS clustered,
     count(*) - count(known_label) AS unclustered FROM vectors""")
 def vec_cluster_summary(spark, sf):

@@ -196,10 +196,10 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 10, vector_id: st
 
 
 def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_id: str = "vec_id",
-               vector: str = "embedding") -> DataFrame:
+               vector: str = "embedding", **options) -> DataFrame:
     """(query_id, point_id, similarity, rank) for a table of queries (exact)."""
     points = vectors.select(F.col(vector_id).alias("id"), F.col(vector).alias("v"))
-    return knn_join(queries.select(F.col(vector_id).alias("id"), F.col(vector).alias("v")), points, k)
+    return knn_join(queries.select(F.col(vector_id).alias("id"), F.col(vector).alias("v")), points, k, **options)
 
 
 def propagate(vectors: DataFrame, k: int = 5, threshold: float = 0.7, candidates: str = "all",

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import with_rank
 
+MAX_COLUMNS = 10_000
+
 
 def wide_items(items: DataFrame, data: str = "data") -> DataFrame:
     """(item_id, one column per key of the data map, label, confidence); keys in alphabetical order.
 
-    The key list is as long as the result is wide, so it may reach the driver.
+    The key list is as long as the result is wide, so it may reach the driver; above MAX_COLUMNS keys this is an error.
     """
-    keys = sorted(r[0] for r in items.select(F.explode(F.map_keys(data))).distinct().collect())
+    keys = sorted(r[0] for r in items.select(F.explode(F.map_keys(data))).distinct().limit(MAX_COLUMNS + 1).collect())
+    if len(keys) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} different keys do not make a table; export them as JSON")
     return items.select("item_id", *[F.col(data)[k].alias(k) for k in keys], "label", "confidence")
 
 
