@@ -16,6 +16,8 @@ ship_by_value()  # tasks get the functions themselves; the package need not be i
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+SLICE = 1000  # rows that are strings in Python at once
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,11 +79,12 @@ def with_results(df: DataFrame, text: str, results: str,
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(results)
-    kept = [F.col(quoted(c)) for c in keep]
-    narrow = df.select(*kept, F.col(quoted(text)).alias("__text"))
-    schema = StructType(narrow.schema.fields[:-1] + fields.fields)
+    keep = list(keep)
+    n_keep = len(keep)
+    at = keep.index(text) if text in keep else n_keep  # the text is sent once
+    narrow = df.select(*[F.col(quoted(c)) for c in keep], *([] if at < n_keep else [F.col(quoted(text)).alias("__text")]))
+    schema = StructType(narrow.schema.fields[:n_keep] + fields.fields)
     arrow = to_arrow_schema(fields)
-    n_keep = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import deque
@@ -90,8 +93,9 @@ def with_results(df: DataFrame, text: str, results: str,
 
         def texts():
             for batch in batches:
-                waiting.append(batch)
-                yield from batch.column(n_keep).to_pylist()
+                for start in range(0, batch.num_rows, SLICE):
+                    waiting.append(batch.slice(start, SLICE))
+                    yield from waiting[-1].column(at).to_pylist()
 
         rows: list = []
         for row in compute(texts()):
@@ -100,8 +104,6 @@ def with_results(df: DataFrame, text: str, results: str,
                 batch = waiting.popleft()
                 yield _batch(batch, rows, n_keep, arrow)
                 rows = []
-            while waiting and waiting[0].num_rows == 0:
-                waiting.popleft()
 
     return narrow.mapInArrow(run, schema)
 
