@@ -50,7 +50,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """The tables of one vocabulary in one task."""
 
-    def __init__(self, path: str, pattern: str, steps: int = 48, cached: int = 400_000, memory: str = "400MB"):
+    def __init__(self, path: str, pattern: str, steps: int = 48, cached: int = 200_000, memory: str = "300MB"):
         import duckdb
         import regex
 
@@ -59,6 +59,8 @@ class Coder:
         self.byte_rank = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         self.words: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}  # what was known before the caches were last emptied
+        self.old_pieces: dict[str, bytes] = {}
         self.cached, self.steps = cached, steps
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() if len(t) > 1
@@ -121,14 +123,20 @@ class Coder:
         return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.words) > self.cached or len(self.pieces) > self.cached:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > self.cached or len(self.pieces) > self.cached:  # two generations bound the memory
+            self.old_words, self.old_pieces, self.words, self.pieces = self.words, self.pieces, {}, {}
         words, pieces = self.words, self.pieces  # pieces: what follows a blank -> tokens, the blank included
         parts = [self._pieces(t) for t in texts]
         firsts = [self.cut(p[0]) for p in parts]
         fresh = set(chain.from_iterable(p[1:] for p in parts)).difference(pieces)
+        for p in self.old_pieces.keys() & fresh:
+            pieces[p] = self.old_pieces[p]
+        fresh.difference_update(pieces)
         found = {p: self.cut(" " + p) for p in fresh}
         unseen = {w for ws in chain(firsts, found.values()) for w in ws}.difference(words)
+        for w in self.old_words.keys() & unseen:
+            words[w] = self.old_words[w]
+        unseen.difference_update(words)
         if unseen:
             self._contract(sorted(unseen))
         for p, ws in found.items():
@@ -152,8 +160,19 @@ class Coder:
         return out
 
 
+def worker_coder(path: str, pattern: str) -> Coder:
+    """The coder of this Python worker. Functions reach a worker by value, once a task; what tasks of one worker are
+    to share, here the words already contracted, must hang on something that the worker imports once."""
+    import duckdb
+
+    made = duckdb.__dict__.setdefault("_coders_of_this_worker", {})
+    if (path, pattern) not in made:
+        made[path, pattern] = Coder(path, pattern)
+    return made[path, pattern]
+
+
 def code_texts(texts: Iterable[str | None], path: str, pattern: str, group_chars: int) -> Iterator[tuple]:
-    coder = Coder(path, pattern)
+    coder = worker_coder(path, pattern)
 
     def coded(group: list[str]) -> Iterator[tuple]:
         ids = coder.encode(group)
@@ -171,7 +190,7 @@ def code_texts(texts: Iterable[str | None], path: str, pattern: str, group_chars
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text",
-                  keep: Sequence[str] = ("doc_id",), group_chars: int = 3_000_000) -> DataFrame:
+                  keep: Sequence[str] = ("doc_id",), group_chars: int = 2_000_000) -> DataFrame:
     """Columns ``keep`` plus ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` of each whole text.
 
     ``path`` is a rank file (token in base 64 and rank a line) and ``pattern`` the expression that cuts words; by
