@@ -42,6 +42,32 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean_memory() -> None:
+    """Let a Python worker give freed memory back: large blocks are mapped one by one, and what is free now is released.
+
+    Without it the allocator keeps what earlier tasks of the worker used, next to what the executor's JVM holds.
+    """
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD; otherwise it grows with the blocks freed
+        c.malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of ``rows`` where the session has Spark's default of ten times as many.
+
+    A batch is held by the JVM outside its heap and by the Python worker; thousands of long texts would be too much.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Working column names that do not clash (in any case) with the columns of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -78,6 +104,7 @@ def with_results(df: DataFrame, text: str, results: str,
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     fields = StructType.fromDDL(results)
     keep = list(keep)
     n_keep = len(keep)
@@ -89,6 +116,7 @@ def with_results(df: DataFrame, text: str, results: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import deque
 
+        lean_memory()
         waiting: deque = deque()
 
         def texts():
