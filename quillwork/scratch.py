@@ -6,6 +6,8 @@ shared folder named by ``spark.checkpoint.dir``. A lost executor then only costs
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    There is no fallback: a folder of one machine would hold a part of the rows on every executor.
+    A session of one process (master ``local``), as in tests, may leave it unset and gets a temporary one. On a
+    cluster that is an error: a folder of one machine would hold a part of the rows on every executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillwork-"))
+        configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 
