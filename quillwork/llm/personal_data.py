@@ -210,10 +210,14 @@ def joined(spans: Column) -> Column:
                                                                  s["end"].cast("string"))), ",")
 
 
+def of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 @register("op11_identifiers")
 def op11_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     both = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["start"] < b["start"], -1)
                         .when(a["start"] > b["start"], 1).otherwise(a["kind"] - b["kind"]))
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(both).alias("spans"))
