@@ -14,7 +14,7 @@ work, and a map too small for the corpus passes more phrases, never fewer.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +36,32 @@ PENDING = 1 << 20  # phrases that are sorted together before they go into the tr
 PART = 1 << 22  # bytes of a text that are words at once
 MAX_MAP = 28  # the largest bit map has two to this bits: 32 MB
 
+_END = re.compile(b"[" + SPACES + BREAKS + b"]")
 _FOLD = bytes(0xFF if i in BREAKS else 0x20 if i in SPACES else i for i in range(256))
 
 
-def tokens(data: bytes) -> list[bytes]:
-    """Words of lower-cased ``data``; a cut stands between pieces."""
-    return data.lower().translate(_FOLD).replace(CUT, b" \xff ").split()
-
-
-def parts(data: bytes, size: int = PART) -> Iterator[bytes]:
+def words_of(data: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray, int]:
+    """The words of lower-cased ``data`` as places in a list of distinct words, the number of cuts before each word, and
+    the number of all cuts."""
+    raw = np.frombuffer(data.lower().translate(_FOLD), np.uint8)
+    cut = raw == 0xFF
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~(cut | (raw == 0x20))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])  # a word begins at every other one
+    starts, ends, inside = edges[::2], edges[1::2], inside[1:-1]
+    cuts = np.cumsum(cut, dtype=np.int32)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), cuts[starts], int(cuts[-1]) if len(cuts) else 0
+
+
+def parts(data: bytes, size: int | None = None) -> Iterator[bytes]:
     """``data`` in parts that end where a word ends."""
-    at = 0
+    at, size = 0, size or PART
     while len(data) - at > size:
-        end = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]").search(data, at + size)
+        end = _END.search(data, at + size)
         if end is None:
             break
         yield data[at:end.start()]
@@ -151,9 +164,13 @@ class BitMap:
     """Membership of 64-bit hashes; may say yes to others, never no to a member."""
 
     def __init__(self, data: bytes):
-        self.bits = np.frombuffer(data, np.uint8)
+        self.data, self.bits = data, np.frombuffer(data, np.uint8)
         self.mask = np.uint64(8 * len(data) - 1)
 
+    def has_one(self, value: int) -> bool:
+        at = value & (8 * len(self.data) - 1)
+        return self.data[at >> 3] >> (at & 7) & 1 > 0
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes & self.mask
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -163,16 +180,15 @@ class Vocabulary(dict):
     """Numbers of the words of one language; -1 for a word that is not frequent."""
 
     def __init__(self, lang: bytes, names: list[bytes], hashes: list[int], frequent: BitMap | None):
-        super().__init__({CUT: -1})
+        super().__init__()
         self.lang, self.names, self.hashes, self.frequent = lang + LANG, names, hashes, frequent
 
     def __missing__(self, word: bytes) -> int:
         name = self.lang + word
         value = xxhash.xxh64_intdigest(name)
-        if self.frequent is not None:
-            if not self.frequent.has(np.array([value], np.uint64))[0]:
-                self[word] = -1
-                return -1
+        if self.frequent is not None and not self.frequent.has_one(value):
+            self[word] = -1
+            return -1
         self[word] = number = len(self.names)
         self.names.append(name)
         self.hashes.append(value)
@@ -203,30 +219,46 @@ class Counter:
         waiting, size = [], 0
         for text in texts:
             if len(text) > PART:
-                tail: list[bytes] = []
-                for data in parts(text):
-                    found = tail + tokens(data)
-                    yield from self._count(lang, found)
-                    tail = found[max(0, len(found) - self.length + 1):]
+                yield from self._count(lang, parts(text))
                 continue
             waiting.append(text)
             size += len(text)
             if size > PART:
-                yield from self._count(lang, tokens(CUT.join(waiting)))
+                yield from self._count(lang, [CUT.join(waiting)])
                 waiting, size = [], 0
-        yield from self._count(lang, tokens(CUT.join(waiting)))
-
-    def _count(self, lang: bytes, found: list[bytes]) -> Iterator[tuple]:
-        if len(self.names) + sum(map(len, self.known.values())) // 4 > WORDS:
-            yield from self.finish()
+        yield from self._count(lang, [CUT.join(waiting)])
+
+    def _count(self, lang: bytes, data: Iterable[bytes]) -> Iterator[tuple]:
+        """Count the phrases of one text that comes in parts."""
+        old_ids, old_cuts = np.zeros(0, np.int64), np.zeros(0, np.int32)  # of the last words of the part before
+        for part in data:
+            if len(self.names) + sum(map(len, self.known.values())) // 4 > WORDS:
+                before = [None if i < 0 else self.names[i] for i in old_ids]
+                yield from self.finish()
+                old_ids = np.array([-1 if name is None else self._number(name) for name in before], np.int64)
+            places, words, cuts, all_cuts = words_of(part)
+            known = self._vocabulary(lang)
+            numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            ids, cuts = np.concatenate([old_ids, numbers[places]]), np.concatenate([old_cuts, cuts])
+            yield from self._add(ids, cuts)
+            tail = max(0, len(ids) - self.length + 1)
+            old_ids, old_cuts = ids[tail:], cuts[tail:] - all_cuts
+
+    def _vocabulary(self, lang: bytes) -> Vocabulary:
         if lang not in self.known:
             self.known[lang] = Vocabulary(lang, self.names, self.hashes, self.words)
-        ids = np.fromiter(map(self.known[lang].__getitem__, found), np.int64, len(found))
+        return self.known[lang]
+
+    def _number(self, name: bytes) -> int:
+        lang, word = name.split(LANG, 1)
+        return self._vocabulary(lang)[word]
+
+    def _add(self, ids: np.ndarray, cuts: np.ndarray) -> Iterator[tuple]:
         n = len(ids) - self.length + 1
         if n <= 0:
             return
         good = ids >= 0
-        keys, whole = ids[:n], good[:n].copy()
+        keys, whole = ids[:n], good[:n] & (cuts[:n] == cuts[self.length - 1:])
         for k in range(1, self.length):
             keys = keys << BITS | ids[k:n + k]
             whole &= good[k:n + k]
