@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
 from ..operators.columnstats import cell, wide_stats
+from ..scratch import materialise
+from .encodings import decode_bytes, decode_lines, likeliest, pair_scores
+from .quoting import whole_records
 
 # Delimiters tried, cell texts read as missing by the table reader, and those counted as
 # empty by the file check.
@@ -33,6 +36,36 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                       F.monotonically_increasing_id().alias("line_no"), "value")
 
 
+def read_wide_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_lines`` for 16-bit text, whose line ends cannot be found byte by byte: each file is read as a whole."""
+    files = spark.read.format("binaryFile").load(path)
+    text = decode_bytes(F.col("content"))["text"]
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split(text, "\r\n|\n|\r")).alias("line_no", "value"))
+    return lines.select("file", F.lit(0).cast("long").alias("block"), F.col("line_no").cast("long").alias("line_no"), "value")
+
+
+def table_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a tabular file as text, whatever its encoding.
+
+    Files are read in splits. Those with a line that is no UTF-8 are decoded by the encoding that all their lines
+    together are likeliest in; valid UTF-8 is not touched.
+    """
+    lines = read_lines(spark, path)
+    raw = F.col("value").cast("binary")
+    marked = F.substring(raw, 1, 2).isin(bytearray(b"\xff\xfe"), bytearray(b"\xfe\xff")) | F.contains(raw, F.lit(bytearray(b"\x00")))
+    if head(lines).filter(marked).head(1):
+        return read_wide_lines(spark, path)
+    foreign = lines.filter(~F.is_valid_utf8("value"))
+    scores = pair_scores(raw)
+    files = foreign.groupBy("file").agg(*[F.sum(s).alias(n) for n, s in scores.items()])
+    named = materialise(files.select("file", likeliest({n: F.col(n) for n in scores}).alias("encoding")), "encodings")
+    if not named.head(1):
+        return lines
+    known = lines.join(named, "file", "left")  # one row a file
+    text = decode_lines(F.col("value"), F.coalesce("encoding", F.lit("utf-8")))
+    return known.select("file", "block", "line_no", text.alias("value"))
+
+
 def head(lines: DataFrame, n: int = HEAD_LINES) -> DataFrame:
     """First lines; for files only the first block is looked at."""
     if "block" in lines.columns:
@@ -40,20 +73,28 @@ def head(lines: DataFrame, n: int = HEAD_LINES) -> DataFrame:
     return lines.select("line_no", "value").orderBy("line_no").limit(n)
 
 
+def _quoted(sep: str) -> str:
+    """A pattern for a separator and the quoted text that begins a cell; it never goes back over what it has read."""
+    return re.escape(sep) + r'"[^"]*+(?:""[^"]*+)*+"'
+
+
 def field_count(line: Column, sep: str) -> Column:
     """Number of fields, separators inside quotes not counted."""
-    bare = F.regexp_replace(line, r'"[^"]*"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    led = F.concat(F.lit(sep), line)
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(led, _quoted(sep), sep.replace("$", r"\$"))).otherwise(led)
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
 
 
 def split_fields(line: Column, sep: str) -> Column:
-    """Cells of one line with quotes resolved; the costly pattern runs on quoted lines only."""
+    """Cells of one line with quotes resolved; the pattern runs on quoted lines only. A quote that does not begin a cell
+    or is never closed is an ordinary character."""
     plain = F.split(line, re.escape(sep), -1)
-    quoted = F.split(line, re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    cell_pattern = re.escape(sep) + r'((?:"[^"]*+(?:""[^"]*+)*+")?+[^' + re.escape(sep) + "]*+)"
+    quoted = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(cell_pattern), F.lit(1))
 
     def unquote(c: Column) -> Column:
         inside = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        return F.when(c.rlike(r'(?s)^".*"$') & (F.length(c) >= 2), inside).otherwise(c)
+        return F.when(F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) >= 2), inside).otherwise(c)
 
     return F.when(~F.contains(line, F.lit('"')), plain).otherwise(F.transform(quoted, unquote))
 
@@ -137,13 +178,18 @@ def typed(texts: DataFrame, columns: Sequence[str]) -> DataFrame:
                           if c in kinds else cell(c) for c in texts.columns])
 
 
-def header_names(line: str, sep: str) -> list[str]:
-    """Column names from a header line; repeated names get ``.1``, ``.2``."""
+def header_cells(line: str, sep: str) -> list[str]:
+    """The trimmed cells of a header line."""
     import csv
 
+    return [cell.strip() for cell in next(csv.reader([line], delimiter=sep), [])]
+
+
+def header_names(line: str, sep: str) -> list[str]:
+    """Column names from a header line; repeated names get ``.1``, ``.2``."""
     names: list[str] = []
-    for raw in next(csv.reader([line], delimiter=sep), []):
-        name, k = raw.strip(), 0
+    for name in header_cells(line, sep):
+        k = 0
         while (name if not k else f"{name}.{k}") in names:
             k += 1
         names.append(name if not k else f"{name}.{k}")
@@ -156,17 +202,27 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, exten
 
     The driver sees one sniffed line and the column kinds; rows are parsed by the executors.
     """
+    body, header, sep = open_delimited(spark, path, sep, extension)
+    if header is None:
+        raise ValueError(f"no header found in {path}")
+    columns = header_names(header, sep)
+    table = parse_lines(body, columns, sep).drop("line_no")
+    return typed(table, columns) if infer else table
+
+
+def open_delimited(spark: SparkSession, path: str, sep: str | None = None,
+                   extension: str | None = None) -> tuple[DataFrame, str | None, str]:
+    """The data records behind prelude and header, the header line and the separator; a record is one line of text
+    unless line breaks are quoted."""
     extension = extension or ("." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ".csv")
-    lines = read_lines(spark, path)
+    lines = table_lines(spark, path)
     sep = sep or sniff_delimiter(lines, extension).first()["delimiter"]
+    lines = whole_records(lines, sep)
     start = data_start(lines, sep).first()["start"]
     first = lines.filter((F.col("block") == 0) & (F.col("line_no") == start)).select("value").first()
     if first is None:
-        raise ValueError(f"no header found in {path}")
-    columns = header_names(first["value"].lstrip("﻿"), sep)
-    body = after_header(lines, start)
-    table = parse_lines(body, columns, sep).drop("line_no")
-    return typed(table, columns) if infer else table
+        return lines, None, sep
+    return after_header(lines, start), first["value"].lstrip("\ufeff"), sep
 
 
 def after_header(lines: DataFrame, start: int) -> DataFrame:
@@ -208,6 +264,24 @@ def header_problems(columns: Sequence[str]) -> list[str]:
     return [f"duplicate column name {n}" for n in sorted({n for n in low if low.count(n) > 1})]
 
 
+def check_delimited(spark: SparkSession, path: str, extension: str = ".csv", samples: int = 5) -> DataFrame:
+    """One row: the counts of ``validate_rows``, ``columns``, ``problems`` of the header, and ``sample``, the cells of the
+    first records."""
+    body, header, sep = open_delimited(spark, path, extension=extension)
+    columns = header_cells(header or "", sep)
+    first = body.orderBy("file", "block", "line_no").limit(samples).select(
+        F.struct("file", "block", "line_no").alias("at"), split_fields(F.col("value"), sep).alias("cells"))
+    sample = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cells"))), lambda r: r["cells"]).alias("sample"))
+    facts = validate_rows(body, columns, sep)
+    both = facts.unionByName(sample, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in facts.columns], F.max("sample").alias("sample")).withColumns(
+        {"columns": texts(columns), "problems": texts(header_problems(columns))})
+
+
+def texts(values: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
 def schema_hash(names: Column) -> Column:
     """SHA-256 of the sorted, trimmed, lower-cased names joined by ``|``."""
     return F.sha2(F.array_join(F.array_sort(F.transform(names, lambda n: F.lower(strip(n)))), "|"), 256)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import finite
 from ..operators.columnstats import FLOATING, cell, field_kinds, is_number
-from .delimited import read_delimited, read_lines, sniff_delimiter, validate_rows
+from .delimited import check_delimited, read_delimited, read_lines
+from .encodings import decode_bytes
 from .records import read_json, read_jsonl, validate_records
 
 # Fixed values.
@@ -40,13 +39,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 def validate_file(spark: SparkSession, path: str) -> DataFrame:
     """One-row check by extension; raises on an unsupported one."""
     ext = extension_of(path)
-    lines = read_lines(spark, path)
     if ext in (".csv", ".tsv"):
-        sep = sniff_delimiter(lines, ext).first()["delimiter"]
-        columns = read_delimited(spark, path, sep, ext, infer=False).columns
-        header = F.col("block") == 0
-        first = lines.filter(header).agg(F.min("line_no")).first()[0]
-        return validate_rows(lines.filter(~(header & (F.col("line_no") == first))), columns, sep)
+        return check_delimited(spark, path, ext).select("row_count", "inconsistent_rows", "null_cells", "duplicate_rows")
+    lines = read_lines(spark, path)
     if ext == ".jsonl":
         return validate_records(lines.filter(F.trim("value") != ""))
     if ext == ".json":
@@ -95,59 +90,7 @@ def preview(df: DataFrame, order_by: str, limit: int = 10, total: int | None = N
     return rows if total is None else rows.withColumn("truncated", F.lit(total > limit))
 
 
-# ---- decoding -----------------------------------------------------------------------------------
-
-# Marks at the start of a file with the names reported for them, the sample looked at for zero bytes and
-# the share of it from which a file without a mark is taken for 16-bit text, and the encodings tried last.
-MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
-ZERO_SAMPLE, ZERO_SHARE = 4096, 1 / 3
-UNMARKED = {"even": "utf-16-be", "odd": "utf-16-le"}
-LAST = ("utf-8", "cp1252", "latin-1")
-
-
-def _readings(raw: bytes) -> Iterator[tuple[str, str]]:
-    """(encoding, name) in the order in which they are tried."""
-    yield from ((name, name) for mark, name in MARKS if raw.startswith(mark))
-    sample = np.frombuffer(raw[:ZERO_SAMPLE], dtype=np.uint8) == 0
-    if sample.mean() > ZERO_SHARE if len(sample) else False:
-        # the high byte of most characters is zero: where it stands tells the byte order
-        zeros = {"even": sample[::2].sum(), "odd": sample[1::2].sum()}
-        yield from ((UNMARKED[place], f"{UNMARKED[place]} (no BOM)") for place in sorted(zeros, key=lambda k: (-zeros[k], k == "even")))
-    yield from ((name, name) for name in LAST)
-
-
-def _other_text(raw: bytes) -> tuple[str, str]:
-    for encoding, name in _readings(raw):
-        try:
-            text = raw.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-        if "\x00" in text and name.endswith("(no BOM)"):
-            continue
-        return text.replace("\x00", ""), name
-    raise AssertionError("latin-1 decodes everything")
-
-
-_TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())])
-
-
-@F.pandas_udf(_TEXT)
-def _decode_others(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_other_text(bytes(b)) if b is not None else (None, None) for b in content],
-                        columns=["text", "encoding"])
-
-
-def decode_bytes(content: Column) -> Column:
-    """Struct (text, encoding) of whole files: valid UTF-8 without marks and zero bytes stays in the engine, only the
-    rest is sent to Python."""
-    marked = F.lit(False)
-    for mark, _ in MARKS:
-        marked = marked | (F.substring(content, 1, len(mark)) == F.lit(bytearray(mark)))
-    text = F.try_validate_utf8(content.cast("string"))
-    plain = ~marked & text.isNotNull() & ~F.contains(text, F.lit("\x00"))
-    others = _decode_others(F.when(content.isNotNull() & ~F.coalesce(plain, F.lit(False)), content))
-    return F.when(plain, F.struct(text.alias("text"), F.lit("utf-8").alias("encoding"))).otherwise(others)
-
+# ---- text files ---------------------------------------------------------------------------------
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """(file_no, name, content, encoding) of whole text files in any encoding; one row per file."""
