@@ -57,6 +57,31 @@ def src_csv_tolerant(spark, sf):
     return D.parse_lines(csv_lines(spark, sf), COLUMNS)
 
 
+def quoted_file(spark, sf, charset):
+    """The path of a file of whole texts in quoted cells with their line breaks; the header leads it."""
+    path = new_path(spark, "source") + ".csv"
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", "doc_id", quoted, F.coalesce("lang", F.lit("")))
+    head = spark.range(1).select(F.lit("doc_id,text,lang").alias("value"))
+    lines = head.unionByName(load(spark, sf, "documents").select(F.encode(line, charset).cast("string").alias("value")))
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+QUOTED = "SELECT doc_id, CASE WHEN text <> '' THEN md5(text) END AS text, lang FROM documents"
+
+
+@register("src_csv_quoted", QUOTED)
+def src_csv_quoted(spark, sf):
+    return Fl.read_any(spark, quoted_file(spark, sf, "UTF-8")).select("doc_id", F.md5("text").alias("text"), "lang")
+
+
+@register("src_csv_encoding", QUOTED)
+def src_csv_encoding(spark, sf):
+    """One byte a character; the texts have none beyond Latin-1."""
+    return Fl.read_any(spark, quoted_file(spark, sf, "ISO-8859-1")).select("doc_id", F.md5("text").alias("text"), "lang")
+
+
 @register("src_csv_report", f"""WITH {FIELDS} SELECT count(*) AS preparse_rows, count(*) FILTER (fields > 4) AS skipped_rows FROM f""")
 def src_csv_report(spark, sf):
     return D.parse_report(csv_lines(spark, sf), COLUMNS)
@@ -128,6 +153,22 @@ def src_encoding(spark, sf):
     return out.select("doc_id", F.md5("d.text").alias("text"), "d.encoding")
 
 
+@register("src_validate_report", f"""WITH {FIELDS}, c AS (SELECT count(*) AS r FROM f)
+    SELECT r AS row_count, count(*) FILTER (fields <> 4) AS inconsistent_rows,
+           count(*) FILTER (note IS NULL OR note = ' None ') AS null_cells, count(*) FILTER (n = 1) AS duplicate_rows,
+           'key|code|note|KEY' AS columns, 'duplicate column name key' AS problems, 5 AS samples
+    FROM f, c GROUP BY r""")
+def src_validate_report(spark, sf):
+    """The check of a file with two lines before its header."""
+    path = new_path(spark, "source") + ".csv"
+    head = spark.createDataFrame([(-3, "made for"), (-2, "a check"), (-1, "key,code,note,KEY")], "line_no long, value string")
+    lines = head.unionByName(csv_lines(spark, sf)).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
+    lines.select("value").write.text(path)
+    found = D.check_delimited(spark, path)
+    return found.select("row_count", "inconsistent_rows", "null_cells", "duplicate_rows", F.array_join("columns", "|").alias("columns"),
+                        F.array_join("problems", "|").alias("problems"), F.size("sample").alias("samples"))
+
+
 @register("src_validate_csv", f"""WITH {FIELDS},
     c AS (SELECT count(*) AS r FROM f)
     SELECT r AS row_count, count(*) FILTER (fields <> 4) AS inconsistent_rows,

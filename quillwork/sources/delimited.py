@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, strip
 from ..operators.columnstats import cell, wide_stats
 from ..scratch import materialise
-from .encodings import decode_bytes, decode_lines, likeliest, pair_scores
+from .encodings import SAMPLES, decode_bytes, decode_lines, likeliest, pair_scores
 from .quoting import whole_records
 
 # Delimiters tried, cell texts read as missing by the table reader, and those counted as
@@ -56,11 +56,10 @@ def table_lines(spark: SparkSession, path: str) -> DataFrame:
     if head(lines).filter(marked).head(1):
         return read_wide_lines(spark, path)
     foreign = lines.filter(~F.is_valid_utf8("value"))
-    scores = pair_scores(raw)
-    files = foreign.groupBy("file").agg(*[F.sum(s).alias(n) for n, s in scores.items()])
-    named = materialise(files.select("file", likeliest({n: F.col(n) for n in scores}).alias("encoding")), "encodings")
-    if not named.head(1):
+    if not foreign.agg(F.count("*")).first()[0]:
         return lines
+    files = foreign.select("file", pair_scores(raw).alias("s")).groupBy("file").agg(*[F.sum(f"s.{n}").alias(n) for n in SAMPLES])
+    named = materialise(files.select("file", likeliest({n: F.col(n) for n in SAMPLES}).alias("encoding")), "encodings")
     known = lines.join(named, "file", "left")  # one row a file
     text = decode_lines(F.col("value"), F.coalesce("encoding", F.lit("utf-8")))
     return known.select("file", "block", "line_no", text.alias("value"))

@@ -38,6 +38,9 @@ SAMPLES = {
                 "公司的产品非常受欢迎,价格也不贵。他昨天去了上海,今天回到家里。姓名, 地址, 电话号码 第123号。"
                 "天气很好,大家都出去散步了。我们应该更加努力地工作,为了更好的生活。"),
 }
+#: Plain words stand in text of every encoding, apart from its own letters.
+PLAIN = ("The table has a name, an address and a phone number in each of its rows; some values are missing, others are not. "
+         "Please read the first lines of this file before you use the numbers in it. Total 100, price 25.50, code A7. ") * 2
 #: Classes of bytes: control and blank, digits and signs, letters, and the upper half in sixteenths.
 CLASSES = "bsl" + "89ABCDEF"
 
@@ -53,7 +56,7 @@ def pair_weights() -> dict[str, dict[str, float]]:
     """Log likelihood of each pair of classes with an upper byte in it, by encoding."""
     out = {}
     for name, text in SAMPLES.items():
-        kinds = "".join(map(class_of, text.encode(name)))
+        kinds = "".join(map(class_of, (text + PLAIN).encode(name)))
         seen, pairs = Counter(kinds[:-1]), Counter(zip(kinds, kinds[1:]))
         out[name] = {a + b: math.log((pairs[a, b] + 0.2) / (seen[a] + 0.2 * len(CLASSES)))
                      for a in CLASSES for b in CLASSES if not (a in "bsl" and b in "bsl")}
@@ -65,14 +68,28 @@ def bytes_as_chars(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
-def pair_scores(content: Column) -> dict[str, Column]:
-    """The log likelihood of the bytes under each encoding, to be added up over lines."""
+def pair_scores(content: Column) -> Column:
+    """Struct of the log likelihoods of the bytes under each encoding, to be added up over lines.
+
+    Pairs are counted by taking them out, each once: a pair of two classes cannot overlap itself, and of a class with
+    itself a run of n holds n - 1.
+    """
     kinds = F.translate(bytes_as_chars(content), "".join(map(chr, range(256))), "".join(map(class_of, range(256))))
-    pairs = list(next(iter(pair_weights().values())))
-    counts = F.transform(F.array(*map(F.lit, pairs)), lambda p: F.regexp_count(
-        kinds, F.concat(F.substring(p, 1, 1), F.lit("(?="), F.substring(p, 2, 1), F.lit(")"))))
-    return {name: F.aggregate(F.zip_with(counts, F.array(*[F.lit(w[p]) for p in pairs]), lambda n, x: n * x),
-                              F.lit(0.0), lambda s, x: s + x) for name, w in pair_weights().items()}
+    kinds = F.regexp_replace(kinds, "(?<=[bsl])[bsl]++(?=[bsl])|^[bsl]++(?=[bsl])|(?<=[bsl])[bsl]++$", "")  # away from upper bytes
+
+    def count(k: Column, pair: str) -> Column:
+        if pair[0] != pair[1]:
+            return (F.length(k) - F.length(F.replace(k, F.lit(pair), F.lit("")))) / 2
+        return F.length(k) - F.length(F.regexp_replace(k, f"{pair[0]}(?={pair[0]})", ""))
+
+    weights = pair_weights()
+    pairs = list(next(iter(weights.values())))
+    # one element, so that the classes are made once and the counts are, too
+    counted = F.transform(F.array(kinds), lambda k: F.array(*[count(k, p).cast("double") for p in pairs]))
+    added = F.transform(counted, lambda c: F.struct(*[
+        F.aggregate(F.zip_with(c, F.array(*[F.lit(w[p]) for p in pairs]), lambda n, x: n * x), F.lit(0.0), lambda t, x: t + x).alias(n)
+        for n, w in weights.items()]))
+    return F.get(added, F.lit(0))
 
 
 def likeliest(scores: dict[str, Column], lead: float = 10.0) -> Column:
@@ -82,24 +99,34 @@ def likeliest(scores: dict[str, Column], lead: float = 10.0) -> Column:
     return F.array_max(ranked)["name"]
 
 
+def likeliest_of(content: Column) -> Column:
+    found = F.transform(F.array(pair_scores(content)), lambda s: likeliest({n: s[n] for n in SAMPLES}))
+    return F.get(found, F.lit(0))
+
+
 def zeros(content: Column, odd: bool) -> Column:
     """Zero bytes at odd or at even places of the sample."""
     pairs = F.regexp_extract_all(F.hex(F.substring(content, 1, ZERO_SAMPLE)), F.lit("(..)(..)"), F.lit(2 if odd else 1))
     return F.size(F.filter(pairs, lambda b: b == "00"))
 
 
-def encoding_name(content: Column) -> Column:
-    """The name of the encoding of whole files: a mark, 16-bit text without one, UTF-8, or the likeliest other one."""
+def marked(content: Column) -> Column:
+    """The name that belongs to the mark a file begins with, or null."""
     name = None
     for mark, known in MARKS:
         starts = F.substring(content, 1, len(mark)) == F.lit(bytearray(mark))
         name = F.when(starts, known) if name is None else name.when(starts, known)
+    return name
+
+
+def encoding_name(content: Column) -> Column:
+    """The name of the encoding of whole files: a mark, 16-bit text without one, UTF-8, or the likeliest other one."""
     even, odd = zeros(content, False), zeros(content, True)
     sample = F.least(F.length(content), F.lit(ZERO_SAMPLE))
     wide = F.contains(content, F.lit(bytearray(b"\x00"))) & ((even + odd) > sample * F.lit(ZERO_SHARE))
-    valid = F.is_valid_utf8(content.cast("string"))
-    return (name.when(wide & (odd >= even), "utf-16-le (no BOM)").when(wide, "utf-16-be (no BOM)")
-            .when(valid, "utf-8").otherwise(likeliest(pair_scores(F.substring(content, 1, 64 * ZERO_SAMPLE)))))
+    other = (F.when(wide & (odd >= even), "utf-16-le (no BOM)").when(wide, "utf-16-be (no BOM)")
+             .when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise(likeliest_of(content)))
+    return F.coalesce(marked(content), other)
 
 
 _TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())])
@@ -124,11 +151,10 @@ def _decoded(content: pd.Series, name: pd.Series) -> pd.DataFrame:
 
 def decode_bytes(content: Column) -> Column:
     """Struct (text, encoding) of whole files; UTF-8 without a mark stays in the engine, only the rest goes to Python."""
-    name = encoding_name(content)
-    plain = name == "utf-8"
-    other = _decoded(F.when(~plain, content), F.when(~plain, name))
-    text = F.translate(content.cast("string"), "\x00", "")
-    return F.when(content.isNull(), F.lit(None)).when(plain, F.struct(text.alias("text"), F.lit("utf-8").alias("encoding"))).otherwise(other)
+    plain = marked(content).isNull() & F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.lit(bytearray(b"\x00")))
+    other = _decoded(F.when(~plain, content), F.when(~plain, encoding_name(content)))
+    return F.when(content.isNull(), F.lit(None)).when(
+        plain, F.struct(content.cast("string").alias("text"), F.lit("utf-8").alias("encoding"))).otherwise(other)
 
 
 @cache

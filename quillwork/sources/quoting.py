@@ -108,8 +108,8 @@ def whole_records(lines: DataFrame, sep: str) -> DataFrame:
     marked = lines.join(F.broadcast(starts.withColumn("inside", F.lit(True))), ["file", "block"], "left")  # a row a block at most
     marked = marked.select("file", "block", "line_no", "value", quote_step(F.col("value"), sep).alias("step"),
                            F.coalesce("inside", F.lit(False)).alias("inside"))
-    records = marked.mapInArrow(_joined, "file string, block long, line_no long, value string, part int")
-    crossing = materialise(records.filter("part > 0"), "record-parts")
+    records = materialise(marked.mapInArrow(_joined, "file string, block long, line_no long, value string, part int"), "records")
+    crossing = records.filter("part > 0")
     order = Window.partitionBy("file").orderBy("block", "line_no")  # only lines of records that cross a border
     chained = crossing.withColumn("chain", F.sum(F.when(F.col("part") == 1, 1).otherwise(0)).over(order))
     closed = chained.groupBy("file", "chain").agg(F.max("part").alias("upto"))

@@ -16,7 +16,8 @@ def con():
     return connect(SF)
 
 
-PYTHON_QUERIES = ("ann_mask_", "ann_validate_masks", "exp_segmentation", "ail_", "src_encoding", "src_image_meta", "vec_")
+PYTHON_QUERIES = ("ann_mask_", "ann_validate_masks", "exp_segmentation", "ail_", "src_encoding", "src_csv_quoted", "src_csv_encoding",
+                  "src_image_meta", "vec_")
 
 
 def check_plan(name, df):
