@@ -49,12 +49,17 @@ def _shingled_docs(docs: DataFrame, sizes: list[int], carry: list[str]) -> DataF
 
 def find_windows(docs: DataFrame, items: DataFrame, doc_key: list[str], text: str = "text", window: int = 10,
                  shingle: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_key, start, n, win): every place of a document where a window of an item occurs; start counts from 0."""
+    """(doc_key, start, n, win): every place of a document where a window of an item occurs; start counts from 0.
+
+    Beyond ``broadcast_rows`` windows the same rows come by a shuffle. Keys may be null and have any names; rows with the
+    same key and words may give a place several times.
+    """
     windows = stored(item_windows(items, text, window), "windows")
     sizes = sorted({min(shingle, r.n) for r in windows.select("n").distinct().collect()})  # at most `shingle` values
-    words = docs.select(*doc_key, words_of(column(text)).alias("words"))
+    inner = [f"__key{i}" for i in range(len(doc_key))]  # whatever the key is called
+    words = docs.select(*[column(c).alias(i) for i, c in zip(inner, doc_key)], words_of(column(text)).alias("words"))
     if not sizes:
-        return words.limit(0).select(*doc_key, F.lit(0).alias("start"), F.lit(0).alias("n"), F.col("words").alias("win"))
+        return words.limit(0).select(*[F.col(i).alias(c) for i, c in zip(inner, doc_key)], F.lit(0).alias("start"), F.lit(0).alias("n"), F.col("words").alias("win"))
 
     def sized(side: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(side) if rows <= broadcast_rows else side
@@ -76,13 +81,17 @@ def find_windows(docs: DataFrame, items: DataFrame, doc_key: list[str], text: st
 
     n_prefix = prefix.count()
     if n_prefix <= broadcast_rows:
-        near = _shingled_docs(words, sizes, doc_key).join(F.broadcast(prefix), ["k", "h"])
-    else:  # narrow rows travel; the words come back for candidates
-        near = _shingled_docs(words, sizes, doc_key).select(*doc_key, "pos", "k", "h").join(prefix, ["k", "h"])
-        near = near.filter("pos >= p").join(words.distinct(), doc_key)
+        near = _shingled_docs(words, sizes, inner).join(F.broadcast(prefix), ["k", "h"])
+    else:  # narrow rows travel; the words come back for candidates, a null key for a null key
+        near = _shingled_docs(words, sizes, inner).select(*inner, "pos", "k", "h").join(prefix, ["k", "h"])
+        near = near.filter("pos >= p").select(*[F.col(c).alias(f"{c}_") for c in inner], "pos", "p", "n", "win").distinct()
+        same_key = F.lit(True)
+        for c in inner:
+            same_key = same_key & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        near = near.join(words, same_key)
     fits = near.filter("pos >= p and pos - p + n <= size(words)")
     same = fits.filter(F.expr("slice(words, pos - p + 1, n) = win"))
-    return same.select(*doc_key, F.expr("pos - p").alias("start"), "n", "win")
+    return same.select(*[F.col(i).alias(c) for i, c in zip(inner, doc_key)], F.expr("pos - p").alias("start"), "n", "win")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -13,16 +13,19 @@ def id_remainder(doc_id: str, divisor: int) -> Column:
 
 
 def sample_by_label(rows: DataFrame, label: str, per_label: int, max_labels: int = 200) -> pd.DataFrame:
-    """About ``per_label`` rows of each label, chosen by a hash of the whole row, in a fixed order.
+    """About ``per_label`` different rows of each label, chosen by a hash of the whole row, in a fixed order.
 
-    The rows go to the driver, so their number is bounded: at most ``max_labels`` labels (the most frequent ones) are
-    taken, and each label's share is set from its count over all rows. Rows without a label are left out.
+    The rows go to the driver, so their number is bounded: at most ``max_labels`` labels are taken (those with most
+    different rows; the others are not learned), each label's share is set from the number of its different rows, equal
+    rows count once, and never more than twice the wanted number leave the executors. Rows without a label are left out.
     """
     rows = rows.filter(F.col(label).isNotNull())
-    counts = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
+    whole = F.xxhash64(F.lit(17), *[F.col(f"`{c}`") for c in rows.columns])
+    counts = rows.groupBy(label).agg(F.approx_count_distinct(whole, 0.02).alias("n")).orderBy(F.desc("n"), label).limit(max_labels).collect()
     if not counts:
         return rows.limit(0).toPandas()
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, per_label / r["n"]))])
-    draw = F.pmod(F.xxhash64(F.lit(17), *[F.col(f"`{c}`") for c in rows.columns]), F.lit(1 << 30)) / F.lit(1 << 30)
-    taken = rows.filter(draw < F.element_at(share, F.col(label))).toPandas()
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[label], min(1.0, per_label / max(r["n"], 1)))])
+    draw = F.pmod(whole, F.lit(1 << 30)) / F.lit(1 << 30)
+    chosen = rows.filter(draw < F.element_at(share, F.col(label))).distinct()
+    taken = chosen.orderBy(draw).limit(2 * per_label * len(counts)).toPandas()
     return taken.sort_values(list(rows.columns), kind="stable").reset_index(drop=True)

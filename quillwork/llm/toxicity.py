@@ -246,17 +246,20 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: Sequen
                         lambda texts: score_texts(texts, lexicon), keep)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, settings: Settings = Settings()) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 2500, settings: Settings = Settings(),
+          max_chars: int = 200_000) -> Lexicon:
     """A lexicon from about ``per_label`` toxic and as many other documents (a bounded sample, chosen by hash).
 
     Ids whose crc32 as text is divisible by 5 are held out. Rows of ``labels`` with a null label are left out. The
-    sample of ids is what is broadcast: ``per_label`` rows for each of the two labels, give or take chance.
+    sample of ids is what is broadcast: ``per_label`` rows for each of the two labels, give or take chance. An id with
+    several texts gives the least of them; texts above ``max_chars`` are not learned from, which bounds the bytes.
     """
     usable = labels.filter("toxic is not null").filter(id_remainder("doc_id", 5) != 0).select("doc_id", "toxic")
     chosen = sample_by_label(usable, "toxic", per_label)  # ids only; the texts of all labelled rows would be shuffled
     spark = docs.sparkSession
     wanted = spark.createDataFrame(chosen[["doc_id", "toxic"]].astype("int64").values.tolist(), "doc_id long, toxic int")
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    texts = (docs.filter(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+             .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # one text an id, so as many as ids
     return fit(texts.toPandas().sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True), settings)
 
 

@@ -56,11 +56,14 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int]) -> Column:
-    """Host suffixes (whole labels) joined with the path prefixes of the given lengths, longest key first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, depths: Sequence[int], path_lengths: Sequence[int]) -> Column:
+    """Host suffixes of the given numbers of labels joined with the path prefixes of the given lengths, longest key first.
+
+    The keys of a host are as many as the rules have depths and lengths, however many labels it has.
+    """
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    known = F.array(*[F.struct(F.lit(int(d)).alias("d"), F.substring_index(host, ".", -int(d)).alias("s")) for d in depths])
+    suffixes = F.transform(F.filter(known, lambda x: x["d"] <= labels), lambda x: x["s"])
     lengths = F.array(*[F.lit(int(n)) for n in path_lengths])
     fitting = F.filter(lengths, lambda n: n <= F.length(path))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(
@@ -188,9 +191,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", otherw
     host, path = url_host(F.col(f"`{url}`")), url_path(F.col(f"`{url}`"))
     pages = pages.drop(*[c for c in pages.columns if c.lower() in ("host", "path", "rule", "verdict") and c != url])
     keys, hits = free_names(pages, "__keys", "__hits")
-    lengths = sorted({len(r.path) for r in rules})
+    lengths, depths = sorted({len(r.path) for r in rules}), sorted({r.host.count(".") + 1 for r in rules})
     keyed = pages.withColumn("host", host).withColumn("path", path).withColumn(
-        keys, candidate_keys(F.col("host"), F.col("path"), lengths))
+        keys, candidate_keys(F.col("host"), F.col("path"), depths, lengths))
     universe = stored(keyed.select(F.explode(keys).alias("key")).distinct(), "url-keys")
     verdicts = {r.name: r.verdict for r in sorted(rules, key=lambda r: r.name)}
     listed = spark.createDataFrame([(k,) for k in verdicts], "key string").coalesce(1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillwork.llm import decontaminate, linededup, queries, sharding, simhash, suffix_dedup, urlfilter
 from quillwork.llm.base import table
+from quillwork.llm.samples import sample_by_label
 from quillwork.llm.components import components, local_roots
 
 SF = "/root/testdata/sf0.001"
@@ -284,3 +285,29 @@ def test_suffix_array_and_prefixes():
             a, b = whole[i], whole[order[place[i] - 1]]
             n = next((k for k in range(min(len(a), len(b), 50)) if a[k] != b[k]), min(len(a), len(b), 50))
             assert prefix[i] == n
+
+
+# --- null keys, long hosts, bounded samples -------------------------------------------------------------------
+
+@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
+def test_windows_of_null_keys_on_both_paths(spark, broadcast_rows):
+    words = "one two three four five six seven eight nine ten eleven"
+    docs = raw(spark, [(1, words), (None, words), (None, "other words"), (2, None), (1, words)]).withColumnRenamed("doc_id", "k")
+    items = spark.createDataFrame([(7, words)], "item_id long, text string")
+    found = decontaminate.find_windows(docs, items, ["k"], broadcast_rows=broadcast_rows).select("k", "start", "n").distinct()
+    assert sorted((r.k or 0, r.start, r.n) for r in found.collect()) == [(0, 0, 10), (0, 1, 10), (1, 0, 10), (1, 1, 10)]
+
+
+def test_host_of_many_labels(spark):
+    urls = ["http://" + "a." * 100_000 + "com/de/x", "http://" + "." * 100_000, "http://example.org./es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(pages, urlfilter.RULES).collect()}
+    assert got == {0: ("com/de/", "block"), 1: (None, "allow"), 2: (None, "allow")}
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    for text in ("a", "b", "c", "d", "e"):  # one of them has a hash that is drawn
+        rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'x', 'y') as lang", f"if(id % 4 < 2, '{text}', cast(id as string)) as text")
+        taken = sample_by_label(rows, "lang", 500)
+        assert 700 < len(taken) < 1300 and not taken.duplicated().any()
+    assert len(sample_by_label(rows.limit(0), "lang", 5)) == 0
