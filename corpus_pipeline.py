@@ -15,14 +15,21 @@ from quillwork.llm.base import column, free_names, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the lexicon is learned from a sample of the labelled ones."""
+    """Documents whose toxicity score is below one half; the lexicon is learned from a sample of the labelled ones.
+
+    A null or empty text has no toxic word and stays, as do all documents where nothing is labelled; repeated rows share
+    their fate, an empty table gives none, and columns of any name are kept.
+    """
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.toxicity(docs, lexicon, keep=docs.columns)
     return scored.filter("predicted = 0").select(*[column(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier line equals or resembles; n_chars follows the text."""
+    """All documents, without the lines that an earlier line equals or resembles; n_chars follows the text.
+
+    A null text stays null. Of equal rows all are kept with the same lines. An empty table gives none.
+    """
     out = linededup.dedup_lines(docs)
     length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*[length.alias(c) if c == "n_chars" else column(c) for c in docs.columns])
@@ -35,23 +42,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay where no document with an id has a linked fingerprint.
     """
     digest, = free_names(docs, "__digest")
-    rows = docs.withColumn(digest, F.xxhash64(*[column(c) for c in docs.columns]))
+    cells = [column(c) for c in docs.columns]
+    # 128 bits and the id, so that different rows do not meet by chance
+    rows = docs.withColumn(digest, F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b"),
+                                            F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("c")))
     found = simhash.near_duplicates(rows, keep=[digest])
     first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min(digest).alias(digest)).select(digest)
     stays = first.unionByName(found.filter("doc_id is null and component_id is null").select(digest)).distinct()
-    whole = F.struct(*[column(c) for c in docs.columns]).alias("row")
+    whole = F.struct(*cells).alias("row")
     once = rows.groupBy(digest).agg(F.first(whole).alias("row"))  # the same row several times, combined before the shuffle
     return once.join(stays, digest, "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten consecutive words of a benchmark item."""
+    """Documents without any ten consecutive words of a benchmark item.
+
+    Texts without words (null, empty) stay, as do all where the benchmark is empty; repeated rows share their fate.
+    """
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.filter("n_hit = 0").select(*[column(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and a digest of the text decoded from them."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and a digest of the text decoded from them.
+
+    A null text is empty and has no ids; every row gives one, repeated rows equal ones, and an empty table none.
+    """
     coded = byte_bpe.encode_decode(docs, keep=("doc_id", "lang", "source"))
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
