@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillwork.operators import neighbors as N
 from quillwork.operators import rules as R
 from quillwork.operators import scoring as S
+from quillwork.operators import vector_index as I
 from quillwork.operators import vectors as V
 from quillwork.operators.cleaning import CleaningPlan, fill_nulls
 from quillwork.plans import flows
@@ -56,6 +57,46 @@ def vec_topk_join_cells(spark, sf):
     return V.top_k_join(table, table.filter("vec_id % 4 = 0"), 10, block=100, pivots=12).withColumn("similarity", F.round("similarity", 6))
 
 
+@register("vec_topk_catalog", f"""WITH {UNIT}, {PAIRS.format(where="a.vec_id = 0")},
+    h AS (SELECT p AS vec_id, round(s, 6) AS score FROM p ORDER BY s DESC, p LIMIT 20)
+    SELECT vec_id, score, file_name, width, height FROM h JOIN assets ON asset_id = vec_id WHERE dataset_id = 1""")
+def vec_topk_catalog(spark, sf):
+    """The hits of a search that belong to one data set of the catalog."""
+    assets = load(spark, sf, "assets").filter("dataset_id = 1")
+    return V.in_catalog(vec_topk(spark, sf), assets, "vec_id", "asset_id").select("vec_id", "score", "file_name", "width", "height")
+
+
+def near(spark, sf):
+    return vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@register("vec_index_recall", """SELECT count(*) AS queries, 10 AS k, true AS reached, true AS exact_scores FROM embeddings
+    WHERE vec_id % 50 = 0""")
+def vec_index_recall(spark, sf):
+    """Recall of the index against the exact join, after the number of cells to visit was found by it."""
+    points = near(spark, sf)
+    queries = points.filter("id % 50 = 0")
+    index = I.tuned(I.build_index(points), queries, 10)
+    found = I.recall(index, queries, 10)
+    every = I.search(index, queries, 10).select("query_id", "point_id", "similarity")
+    both = every.join(points.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id").join(
+        points.select(F.col("id").alias("point_id"), F.col("v").alias("b")), "point_id")
+    wrong = both.filter(F.abs(F.col("similarity") - V.cosine(F.col("a"), F.col("b"))) > 1e-6).count()
+    return found.select("queries", "k", (F.col("recall") >= 0.95).alias("reached"), F.lit(wrong == 0).alias("exact_scores"))
+
+
+@register("vec_propagate_index", "SELECT true AS agrees")
+def vec_propagate_index(spark, sf):
+    """Labels by way of the index agree with those of the exact join for nineteen items of twenty."""
+    points = near(spark, sf)
+    index = I.tuned(I.build_index(points), points.filter("id % 50 = 0"), 10)
+    table = vectors(spark, sf)
+    by_index = V.propagate(table, index=index).select("item_id", F.col("label").alias("other"))
+    exact = V.propagate(table)
+    both = exact.join(by_index, "item_id", "full")
+    return both.agg((F.count_if(F.col("label").eqNullSafe(F.col("other"))) >= 0.95 * F.count("*")).alias("agrees"))
+
+
 def propagated_sql(points: str) -> str:
     return f"""WITH {UNIT}, {PAIRS.format(where="a.known_label IS NULL" + points)},
     h AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p) AS r FROM p),

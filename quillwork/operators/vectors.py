@@ -17,6 +17,7 @@ from pyspark.storagelevel import StorageLevel
 from ..scratch import balance, materialise
 from .columnstats import cell, field_kinds, numeric_columns, present, text_columns, wide_stats
 from .neighbors import knn_join
+from .vector_index import Index, search
 
 # Fixed values.
 MIN_TEXT_LENGTH = 20
@@ -195,6 +196,11 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int = 10, vector_id: st
     return scored.orderBy(F.desc("score"), vector_id).limit(k)
 
 
+def in_catalog(hits: DataFrame, catalog: DataFrame, hit_id: str, asset_id: str) -> DataFrame:
+    """Hits joined to their catalog rows; hits whose asset is gone are left out. ``hits`` is a bounded page."""
+    return catalog.join(F.broadcast(hits), catalog[asset_id] == hits[hit_id])
+
+
 def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_id: str = "vec_id",
                vector: str = "embedding", **options) -> DataFrame:
     """(query_id, point_id, similarity, rank) for a table of queries (exact)."""
@@ -204,9 +210,11 @@ def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_id: s
 
 def propagate(vectors: DataFrame, k: int = 5, threshold: float = 0.7, candidates: str = "all",
               vector_id: str = "vec_id", vector: str = "embedding", label: str = "known_label",
-              block: int | None = None, pivots: int | None = None) -> DataFrame:
+              block: int | None = None, pivots: int | None = None, index: Index | None = None) -> DataFrame:
     """(item_id, label, confidence, source_id, similarity) for unlabelled items whose neighbours agree.
 
+    With an ``index`` of the candidates their neighbours are searched there, else by the exact join.
+
     ``candidates='all'`` looks at the k nearest points and keeps the labelled ones among them;
     ``'labeled'`` looks at the k nearest labelled points.
     """
@@ -216,7 +224,8 @@ def propagate(vectors: DataFrame, k: int = 5, threshold: float = 0.7, candidates
     known = flat.filter("label is not null")
     points = known if candidates == "labeled" else flat
     options = {k_: v for k_, v in (("block", block), ("pivots", pivots)) if v is not None}
-    hits = knn_join(flat.filter("label is null"), points, k, **options)
+    unknown = flat.filter("label is null")
+    hits = search(index, unknown, k) if index else knn_join(unknown, points, k, **options)
     named = hits.join(known.select(F.col("id").alias("point_id"), "label"), "point_id")
     votes = named.groupBy("query_id", "label").agg(
         F.sum("similarity").alias("weight"), F.min("rank").alias("first"),
