@@ -147,12 +147,11 @@ def value_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     ties = materialise(counted.filter("digest is not null").join(F.broadcast(tops), (F.col("column") == F.col("bc"))
                        & (-F.col("n") == F.col("bn")) & (F.col("start") == F.col("bs"))).select(
         F.col("column").alias("tc"), F.col("digest").alias("td")), "mode-ties")  # ``tops``: one row a column
-    longest = None
-    for name in texts:
-        rows = df.select(F.lit(name).alias("column"), cell(name).alias("text")).filter(F.length("text") > SHORT_TEXT)
-        found = rows.join(ties.filter(F.col("tc") == name), F.md5("text") == F.col("td"), "left_semi").groupBy("column").agg(
-            F.min("text").alias("long"))
-        longest = found if longest is None else longest.unionByName(found)
+    cells = F.filter(F.array(*[F.struct(F.lit(c).alias("column"), cell(c).alias("text")) for c in texts]),
+                     lambda x: F.length(x["text"]) > SHORT_TEXT)
+    rows = df.select(F.explode(cells).alias("c")).select("c.*")  # one more scan, for all text columns together
+    longest = (rows.join(ties, (F.col("column") == F.col("tc")) & (F.md5("text") == F.col("td")), "left_semi")
+               .groupBy("column").agg(F.min("text").alias("long")))
     # a short value that ties with long ones of the same beginning is that beginning, and so the smallest
     joined = best.join(longest.withColumnRenamed("column", "lc"), F.col("column") == F.col("lc"), "left")
     return joined.select("column", "distinct", F.coalesce(

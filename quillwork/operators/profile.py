@@ -94,12 +94,37 @@ def _pair_sums(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     return RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v")).computeGramianMatrix().toArray()
 
 
+NARROW = 8
+
+
+def _few_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``correlations`` of few columns: one aggregate with one running covariance a pair, one pass over the table."""
+    kinds = field_kinds(df)
+    cells = {n: present(n, kinds[n]).cast("double") for n in names}
+    pairs = list(combinations(names, 2))
+    sums = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.when(cells[b].isNotNull(), cells[a]), F.when(cells[a].isNotNull(), cells[b])
+        vary = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # what rounding leaves of a constant is no spread
+        sums += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"x{i}"), F.stddev_pop(y).alias(f"y{i}"), vary.alias(f"v{i}")]
+    found = df.agg(*sums)
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        spread = F.col(f"x{i}") * F.col(f"y{i}")
+        r = F.when(F.col(f"v{i}") & (spread > 0), F.greatest(F.least(F.try_divide(f"c{i}", spread), F.lit(1.0)), F.lit(-1.0)))
+        rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(r, 6).alias("r")))
+    rows = F.array(*rows)
+    return found.select(F.explode(rows).alias("p")).select("p.*")
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(a, b, r) for a before b: Pearson on the rows where both are present.
 
     Up to ``2 * GROUP`` columns take one pass over the table; wider tables one for each pair of column groups.
     """
     names = list(columns or _numbers(df))
+    if 1 < len(names) <= NARROW:
+        return _few_correlations(df, names)
     groups = [names[i:i + GROUP] for i in range(0, len(names), GROUP)]
     blocks = [names] if len(groups) <= 2 else [x + y for x, y in combinations(groups, 2)]
     found: dict[tuple[str, str], float | None] = {}

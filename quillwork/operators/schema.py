@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from ..scratch import materialise
 from .cleaning import looks_like_date
 from .columnstats import (INTEGRAL, distinct_stats, field_kinds, is_number, is_number_or_bool, present, text_columns,
                           wide_stats)
@@ -109,23 +110,39 @@ def schema_report(df: DataFrame) -> DataFrame:
         F.when(measured, F.col("max_value")).alias("max_value"))
 
 
+HEAD_ROWS = 1000
+
+
 def sample_values(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:
     """(column, sample_values): the first ``n`` non-missing values of each column in key order.
 
-    The order key travels with the value, and each column keeps only ``n`` pairs per partition.
+    Most columns are served by the first rows of the table, found by one scan; the others, with few values in those,
+    share one more scan of their non-missing cells, of which each task keeps ``n`` a column.
     """
     kinds = field_kinds(df)
-    picks = []
-    for c, t in kinds.items():
-        value = present(c, t)
-        head = (df.select(F.col(order_by).alias("k"), value.cast("string").alias("v"))
-                .filter("v is not null").orderBy("k", "v").limit(n))
-        picks.append(head.agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
-                     .select(F.lit(c).alias("column"), F.transform("s", lambda x: x["v"]).alias("sample_values")))
-    out = picks[0]
-    for p in picks[1:]:
-        out = out.unionAll(p)
-    return out
+    keyed = df.select(F.col(order_by).alias("k"), *[present(c, t).cast("string").alias(f"v{i}") for i, (c, t) in enumerate(kinds.items())])
+    top = materialise(keyed.orderBy("k").limit(HEAD_ROWS), "first-rows")
+    facts = top.agg(F.count("*").alias("rows"), F.max("k").alias("last")).first()
+    if facts["rows"] == HEAD_ROWS:  # rows that share the last key may be missing
+        top = top.filter(F.col("k") < F.lit(facts["last"]))
+    filled = top.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(kinds))]).first()
+    sparse = [i for i in range(len(kinds)) if facts["rows"] == HEAD_ROWS and filled[f"v{i}"] < n]
+
+    def cells(rows: DataFrame, places: list[int]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(i).alias("i"), F.col("k"), F.col(f"v{i}").alias("v")) for i in places])
+        return rows.select(F.explode(F.filter(each, lambda c: c["v"].isNotNull())).alias("c")).select("c.*")
+
+    picked = cells(top, [i for i in range(len(kinds)) if i not in sparse] or [0])
+    if sparse:
+        picked = picked.filter(~F.col("i").isin(sparse)).unionByName(cells(keyed, sparse))
+    first = Window.partitionBy("i").orderBy("k", "v")
+    taken = picked.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= n)
+    lists = taken.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(kinds) for x in (i, c)])
+    every = df.sparkSession.range(len(kinds)).select(F.col("id").cast("int").alias("j"))
+    none = F.array().cast("array<string>")
+    return every.join(lists, F.col("i") == F.col("j"), "left").select(
+        F.element_at(names, F.col("j")).alias("column"), F.coalesce(F.transform("s", lambda x: x["v"]), none).alias("sample_values"))
 
 
 def type_summary(report: DataFrame) -> DataFrame:

@@ -167,3 +167,32 @@ def test_advice(spark):
     got = {(r["column"], r["kind"]) for r in C.recommend(df).collect()}
     assert {("uid", "drop"), ("mixed", "trim_whitespace"), ("mixed", "encode_onehot"), ("mixed", "lower_case"),
             ("x", "handle_outliers"), ("day", "parse_date")} <= got
+
+
+def test_first_values_of_sparse_columns(spark):
+    from quillwork.operators import schema
+
+    df = spark.range(3000).selectExpr("3000 - id as k", "if(id % 700 = 3, concat('s', id), null) as rare", "cast(null as string) as none",
+                                      "concat('v', id) as full")
+    got = {r["column"]: r["sample_values"] for r in schema.sample_values(df, "k", 3).collect()}
+    assert got == {"k": ["1", "2", "3"], "rare": ["s2803", "s2103", "s1403"], "none": [], "full": ["v2999", "v2998", "v2997"]}
+
+
+def test_modes_of_several_long_texts_take_one_scan(spark):
+    from quillwork.operators.columnstats import value_stats
+
+    df = spark.range(40).selectExpr(*[f"concat(repeat('x', 60), id % {m}) as t{m}" for m in (3, 4, 7)], "if(id < 30, null, 'a') as s")
+    stats = value_stats(df)
+    got = {r["column"]: (r["distinct"], r["mode"], r["mode_count"]) for r in stats.collect()}
+    assert got == {"t3": (3, "x" * 60 + "0", 14), "t4": (4, "x" * 60 + "0", 10), "t7": (7, "x" * 60 + "0", 6), "s": (1, "a", 10)}
+
+
+def test_correlations_of_few_and_many_columns_agree(spark):
+    from quillwork.operators import profile
+
+    base = spark.range(400).selectExpr("id * 1.5 as a", "if(id % 7 = 0, null, sin(id)) as b", "pow(id, 2) as c", "7.0 as d",
+                                       "if(id % 3 = 0, null, cos(id) + id) as e")
+    wide = base.selectExpr("*", *[f"cos(a * {i}) as x{i}" for i in range(1, 6)])
+    few = {(r.a, r.b): r.r for r in profile.correlations(base).collect()}
+    many = {(r.a, r.b): r.r for r in profile.correlations(wide).collect()}
+    assert len(few) == 10 and all(many[k] == v or abs(many[k] - v) < 2e-6 for k, v in few.items())
