@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillwork.operators import hierarchy as H
 from quillwork.operators import neighbors as N
 from quillwork.operators import rules as R
 from quillwork.operators import scoring as S
@@ -290,6 +291,23 @@ def vec_density_cells(spark, sf):
                               block=100, pivots=12)
 
 
+@register("vec_density_hierarchy")
+def vec_density_hierarchy(spark, sf):
+    """Clusters without a radius; a plain version in the tests gives the same."""
+    return H.density_hierarchy(near(spark, sf), 5)
+
+
+@register("vec_core_distances", f"""WITH {UNIT},
+    d AS (SELECT a.vec_id AS id, sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.v, b.v))) AS d FROM u a, u b WHERE a.vec_id <> b.vec_id),
+    r AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS r FROM d)
+    SELECT id, round(d, 6) AS core FROM r WHERE r = 4""")
+def vec_core_distances(spark, sf):
+    """The distance to the fifth point around each, itself included, which the hierarchy is built on."""
+    reps = near(spark, sf).withColumn("weight", F.lit(1).cast("long"))
+    cores, _ = H.core_distances(N.unit(reps, "v"), 5, N.BLOCK, None)
+    return cores.select("id", F.round("core", 6).alias("core"))
+
+
 @register("vec_cluster_summary", """SELECT count(DISTINCT known_label) AS clusters, count(known_label) AS clustered,
     count(*) - count(known_label) AS unclustered FROM vectors""")
 def vec_cluster_summary(spark, sf):
