@@ -1,7 +1,9 @@
 """Vectors, clustering and compositions."""
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from quillwork.operators import clusters as C
 from quillwork.operators import hierarchy as H
 from quillwork.operators import neighbors as N
 from quillwork.operators import rules as R
@@ -254,6 +256,43 @@ def vec_silhouette(spark, sf):
     return spark.createDataFrame([(facts["n_clusters"], V.silhouette(clustered))], "clusters int, silhouette_sq double")
 
 
+@register("vec_kmeans_checks", """SELECT count(*) AS points, 5 AS clusters, 0 AS misplaced, true AS inertia_agrees, true AS centred
+    FROM lineitem""")
+def vec_kmeans_checks(spark, sf):
+    """What holds for any k-means result: no point is nearer to another centre, centres are the means of their points,
+    the inertia is the sum of the squared distances."""
+    clustered, facts = V.kmeans(load(spark, sf, "lineitem").select(*PARTS), 5)
+    rows = V.features_array(clustered).select("features", "cluster")
+    centres = spark.createDataFrame([(i, c) for i, c in enumerate(facts["centers"])], "other int, centre array<double>")
+    far = F.aggregate(F.zip_with("features", "centre", lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda t, x: t + x)
+    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(len(facts["centers"]) - 1)))).join(F.broadcast(centres), "other")
+    own = F.when(F.col("cluster") == F.col("other"), far)
+    per_pair = every.withColumn("own", F.aggregate(F.zip_with("features", F.element_at(
+        F.array(*[F.array(*map(F.lit, c)) for c in facts["centers"]]), F.col("cluster") + 1), lambda a, b: F.pow(a - b, 2)),
+        F.lit(0.0), lambda t, x: t + x))
+    found = per_pair.agg(F.count_if(F.col("other") == 0).alias("points"), F.count_if(far < F.col("own") - 1e-9).cast("int").alias("misplaced"),
+                         F.sum(own).alias("inertia"))
+    means = rows.groupBy("cluster").agg(*[F.avg(F.get("features", F.lit(i))).alias(f"m{i}") for i in range(len(PARTS))]).collect()
+    moved = max(abs(r[f"m{i}"] - facts["centers"][r["cluster"]][i]) for r in means for i in range(len(PARTS)))
+    return found.select("points", F.lit(facts["n_clusters"]).alias("clusters"), "misplaced",
+                        (F.abs(F.col("inertia") - facts["inertia"]) <= 1e-6 * facts["inertia"]).alias("inertia_agrees"),
+                        F.lit(moved < 0.02).alias("centred"))
+
+
+@register("vec_silhouette_euclidean", """
+    WITH u AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    d AS (SELECT a.id, a.c, b.c AS o, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM u a, u b GROUP BY a.id, a.c, b.c),
+    i AS (SELECT id, c, s / greatest(n - 1, 1) AS a, n FROM d WHERE c = o),
+    o AS (SELECT id, min(s / n) AS b FROM d WHERE c <> o GROUP BY id)
+    SELECT CAST(count(DISTINCT c) AS INT) AS clusters, count(*) AS points,
+           round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette, true AS exact FROM i JOIN o USING (id)""")
+def vec_silhouette_euclidean(spark, sf):
+    """The silhouette of the known labels, exact as the table is small."""
+    rows = load(spark, sf, "embeddings").select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
+                                                F.col("label").alias("cluster"))
+    return C.euclidean_silhouette(rows, 5000).select("clusters", "points", F.round("silhouette", 6).alias("silhouette"), "exact")
+
+
 RADIUS = 0.7
 
 

@@ -6,15 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..scratch import balance, materialise
+from .clusters import best_of_starts, nearest_centre
 from .columnstats import cell, field_kinds, numeric_columns, present, text_columns, wide_stats
 from .neighbors import knn_join
 from .vector_index import Index, search
@@ -277,11 +276,11 @@ def reduce_features(features: DataFrame, components: int) -> tuple[DataFrame, li
 
 
 def kmeans(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, max_features: int = MAX_FEATURES,
-           seed: int = 42, restarts: int = 1) -> tuple[DataFrame, dict]:
+           seed: int = 42, restarts: int = 10) -> tuple[DataFrame, dict]:
     """(rows with ``cluster``, facts): standardise, reduce wide input, cluster.
 
-    Facts hold n_clusters, inertia, centers and explained variance. The scaled rows are kept for the rounds of
-    the fit. ``restarts`` keeps the best of several seeds.
+    Facts hold n_clusters, inertia, centers and explained variance. The scaled rows are written for the rounds of
+    the fit. Of ``restarts`` starts, fitted together, the best is kept.
     """
     columns = list(columns or numeric_columns(df))
     count = cluster_count(df, columns, k) if columns else 0
@@ -292,17 +291,11 @@ def kmeans(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, max_
     variance: list[float] = []
     if len(columns) > max_features:
         scaled, variance = reduce_features(scaled, min(2 * count, len(columns), df.limit(2 * count).count()))
-    scaled = balance(scaled).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # Done when the squared shifts of all centres add up to at most 1e-4.
-        fits = [KMeans(k=count, maxIter=300, tol=(1e-4 / count) ** 0.5, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(scaled)
-                for i in range(restarts)]
-    finally:
-        scaled.unpersist()
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    facts = {"n_clusters": count, "inertia": float(best.summary.trainingCost),
-             "centers": [[float(x) for x in c] for c in best.clusterCenters()], "explained_variance": variance}
-    return best.transform(scaled), facts
+    scaled = materialise(balance(scaled), "scaled")
+    centres, inertia = best_of_starts(scaled, count, restarts, seed)
+    facts = {"n_clusters": count, "inertia": float(inertia), "centers": [[float(x) for x in c] for c in centres],
+             "explained_variance": variance}
+    return nearest_centre(scaled, centres), facts
 
 
 def silhouette(clustered: DataFrame) -> float:
