@@ -1,10 +1,14 @@
 """Export formats over images and annotations, and over labelled items."""
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillwork.operators import cleaning as C
 from quillwork.operators import masks as M
 from quillwork.scratch import new_path
+from quillwork.sinks import files as Fi
 from quillwork.sinks import image_formats as X
 from quillwork.sinks import items as I
 
@@ -69,6 +73,36 @@ def exp_yolo(spark, sf):
     return X.yolo(images(spark, sf), anns(spark, sf), classes(spark, sf))
 
 
+def written_files(spark, pieces):
+    """The files, written and read back as bytes: path below the folder, size and digest."""
+    folder = new_path(spark, "files")
+    Fi.write_files(pieces, folder)
+
+    def look(batches):
+        system, root = Fi.file_system(folder)
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{root}/{name}") as file:
+                    content = file.read()
+                rows.append((name, len(content), hashlib.md5(content).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["path", "size", "digest"])
+
+    return pieces.select("path").distinct().mapInArrow(look, "path string, size long, digest string")
+
+
+@register("exp_yolo_files", f"""WITH {KEPT}, {RECT},
+    t AS (SELECT asset_id, ann_key, class_index || ' ' || format('{{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', x + w / 2, y + h / 2, w, h)
+          AS line FROM obj),
+    p AS (SELECT asset_id, sp || '/labels/' || stem || '.txt' AS path FROM img),
+    c AS (SELECT path, coalesce(string_agg(line || chr(10), '' ORDER BY ann_key, line), '') AS content FROM p LEFT JOIN t USING (asset_id) GROUP BY path
+      UNION ALL SELECT 'data.yaml', 'train: train/images' || chr(10) || 'val: valid/images' || chr(10) || 'test: test/images' || chr(10) || chr(10)
+        || 'nc: ' || count(*) || chr(10) || 'names: [' || string_agg(chr(39) || name || chr(39), ', ' ORDER BY class_index) || ']' || chr(10) FROM classes)
+    SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS size, md5(content) AS digest FROM c""")
+def exp_yolo_files(spark, sf):
+    return written_files(spark, X.yolo_dataset(images(spark, sf), anns(spark, sf), classes(spark, sf)))
+
+
 COCO = f"""WITH {KEPT}, {RECT},
     num AS (SELECT *, row_number() OVER (PARTITION BY sp ORDER BY asset_id) - 1 AS id FROM img WHERE width IS NOT NULL)"""
 
@@ -78,6 +112,25 @@ def exp_coco_images(spark, sf):
     return X.coco_images(images(spark, sf))
 
 
+@register("exp_coco_files", COCO + f""", b AS (SELECT o.*, num.id AS image_id, round(x * wd, 2) AS bx, round(y * ht, 2) AS b_y,
+        round(w * wd, 2) AS bw, round(h * ht, 2) AS bh FROM obj o JOIN num USING (asset_id)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY sp ORDER BY image_id, ann_key, class_index, bx, b_y, bw, bh) - 1 AS id FROM b),
+    i AS (SELECT sp, string_agg('{{"id":' || id || ',"file_name":"' || stem || ext || '","width":' || width || ',"height":' || height || '}}',
+                                chr(10) || ',' ORDER BY id) AS lines FROM num GROUP BY sp),
+    a AS (SELECT sp, string_agg('{{"id":' || id || ',"image_id":' || image_id || ',"category_id":' || (class_index + 1) || ',"bbox":[' || bx || ','
+            || b_y || ',' || bw || ',' || bh || '],"area":' || round(bw * bh, 2) || ',"segmentation":' || CASE WHEN kind = 'polygon' THEN '[['
+            || round({c01('px')} * wd, 2) || ',' || round({c01('py')} * ht, 2) || ',' || round({c01('px + 0.2')} * wd, 2) || ','
+            || round({c01('py')} * ht, 2) || ',' || round({c01('px')} * wd, 2) || ',' || round({c01('py + 0.3')} * ht, 2) || ']]' ELSE '[]' END
+            || ',"iscrowd":0}}', chr(10) || ',' ORDER BY id) AS lines FROM n GROUP BY sp),
+    c AS (SELECT '[' || string_agg('{{"id":' || (class_index + 1) || ',"name":"' || name || '","supercategory":"none"}}', ',' ORDER BY class_index)
+            || ']' AS named FROM classes),
+    f AS (SELECT i.sp || '/_annotations.coco.json' AS path, '{{"images":[' || chr(10) || i.lines || chr(10) || '],"annotations":[' || chr(10)
+            || coalesce(a.lines || chr(10), '') || '],"categories":' || named || '}}' || chr(10) AS content FROM i LEFT JOIN a USING (sp), c)
+    SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS size, md5(content) AS digest FROM f""")
+def exp_coco_files(spark, sf):
+    return written_files(spark, X.coco_documents(images(spark, sf), anns(spark, sf), classes(spark, sf)))
+
+
 @register("exp_coco", COCO + f""", b AS (SELECT o.*, num.id AS image_id, round(x * wd, 2) AS bx, round(y * ht, 2) AS b_y,
         round(w * wd, 2) AS bw, round(h * ht, 2) AS bh FROM obj o JOIN num USING (asset_id))
     SELECT sp AS split, row_number() OVER (PARTITION BY sp ORDER BY image_id, ann_key, class_index, bx, b_y, bw, bh) - 1 AS id, image_id,

@@ -182,6 +182,47 @@ def coco_annotations(numbered: DataFrame, images: DataFrame, annotations: DataFr
                          "segmentation", F.lit(0).alias("iscrowd"))
 
 
+def yolo_dataset(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str = "ann_key") -> DataFrame:
+    """Pieces of the label files and of ``data.yaml``, which names the classes in order of their index."""
+    names = [r["name"] for r in classes.orderBy("class_index").collect()]  # a row a class
+    labels = yolo(images, annotations, classes, seq)
+    yaml = images.sparkSession.range(1).select(F.lit("data.yaml").alias("path"))
+    return P.joined(labels, P.frame(yaml, 0, F.lit(data_yaml(names).rstrip("\n")), "path"))
+
+
+def _split_path(name: str) -> Column:
+    return F.concat("split", F.lit(f"/_annotations.{name}.json"))
+
+
+def coco_documents(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str = "ann_key") -> DataFrame:
+    """(path, place, seq, line): pieces of one COCO document per split."""
+    numbered = coco_images(images)
+    numbered = materialise(numbered, "coco-images")
+    shapes = coco_annotations(numbered, images, annotations, classes, seq)
+    splits = numbered.select("split").distinct().withColumn("path", _split_path("coco"))
+    image_lines = numbered.select(_split_path("coco").alias("path"), F.col("id").alias("seq"),
+                                  F.to_json(F.struct("id", "file_name", "width", "height")).alias("line"))
+    shape = F.concat(F.lit('{"id":'), "id", F.lit(',"image_id":'), "image_id", F.lit(',"category_id":'), "category_id", F.lit(',"bbox":'),
+                     F.to_json("bbox"), F.lit(',"area":'), F.col("area").cast("string"), F.lit(',"segmentation":'), "segmentation",
+                     F.lit(',"iscrowd":'), "iscrowd", F.lit("}"))
+    shape_lines = shapes.select(_split_path("coco").alias("path"), F.col("id").alias("seq"), shape.alias("line"))
+    named = coco_categories(classes).agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "name", "supercategory")))).alias("named"))
+    tails = splits.withColumn("named", F.lit(named.first()["named"]))  # a row a class
+    return P.joined(P.frame(splits, 0, F.lit('{"images":['), "path"), P.body(splits, P.separated(image_lines, "path"), "path", 1, "path"),
+                    P.frame(splits, 2, F.lit('],"annotations":['), "path"), P.body(splits, P.separated(shape_lines, "path"), "path", 3, "path"),
+                    P.frame(tails, 4, F.concat(F.lit('],"categories":'), "named", F.lit("}")), "path"))
+
+
+def createml_documents(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str = "ann_key") -> DataFrame:
+    """(path, place, seq, line): pieces of one CreateML document, a list of records, per split."""
+    records = materialise(createml(images, annotations, classes, seq).withColumn("path", _split_path("createml")), "createml")
+    first = records.groupBy("path").agg(F.min("image").alias("first"))
+    glued = records.join(first, "path").withColumn("line", F.when(
+        (F.col("place") == 0) & (F.col("image") > F.col("first")), F.concat(F.lit(","), "line")).otherwise(F.col("line")))
+    body = glued.select("path", F.lit(1).alias("place"), F.struct("image", F.col("place").alias("part"), "seq").alias("seq"), "line")
+    return P.joined(P.frame(first, 0, F.lit("["), "path"), body, P.frame(first, 2, F.lit("]"), "path"))
+
+
 def _corners(low_x: int, low_y: int, min_side: int) -> dict[str, Column]:
     """Integer pixel corners inside the image, half-even rounding, never closer than ``min_side``."""
     width, height = F.col("width").cast("int"), F.col("height").cast("int")

@@ -156,3 +156,53 @@ def test_items(spark, tmp_path):
     assert {r["content"] for r in I.yolo_items(images, ["cat"]).collect()} == {"0\n", "-1\n"}
     I.write_lines(I.json_items(images), str(tmp_path / "lines"), ["item_id"])
     assert spark.read.json(str(tmp_path / "lines")).count() == 2
+
+
+def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    import json
+    import os
+
+    from pyspark.sql import functions as F
+
+    from quillwork.sinks import files as Fi
+
+    pieces = spark.range(400).selectExpr("concat('d', id % 3, '/f', id % 7, '.txt') as path", "1 as place", "id as seq",
+                                         "concat('line ', id, ' é') as line").repartition(5)
+    heads = spark.createDataFrame([("empty.txt", 0, None, None), ("d0/f0.txt", 0, None, "head"), (None, 0, None, "lost")],
+                                  "path string, place int, seq long, line string")
+    assert Fi.write_files(pieces.unionByName(heads), str(tmp_path / "out")) == 22
+    found = {os.path.relpath(os.path.join(d, f), tmp_path / "out"): open(os.path.join(d, f), encoding="utf-8").read()
+             for d, _, fs in os.walk(tmp_path / "out") for f in fs}
+    expected = {"empty.txt": ""}
+    for i in range(400):
+        expected.setdefault(f"d{i % 3}/f{i % 7}.txt", "head\n" if i % 21 == 0 else "")
+        expected[f"d{i % 3}/f{i % 7}.txt"] += f"line {i} é\n"
+    assert found == expected
+    broken = pieces.withColumn("line", F.when(F.col("seq") < 390, F.col("line")).otherwise(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        Fi.write_files(broken, str(tmp_path / "none"))
+    assert [f for _, _, fs in os.walk(tmp_path / "none") for f in fs] == []
+    assert Fi.write_files(pieces.limit(0), str(tmp_path / "nothing")) == 0
+
+
+def test_documents_per_split_are_json(spark, tmp_path):
+    import json
+
+    from quillwork.sinks import files as Fi
+    from quillwork.sinks import image_formats as X
+
+    images = spark.createDataFrame([(1, "a", ".jpg", "train", 100, 50), (2, "b", ".jpg", None, 10, 10), (3, "c", ".png", "test", 20, 20)],
+                                   "asset_id long, stem string, ext string, split string, width int, height int")
+    anns = spark.createDataFrame([(1, "k1", "bbox", "cat", 0.1, 0.2, 0.3, 0.4), (1, "k2", "bbox", "dog", 0.0, 0.0, 0.5, 0.5),
+                                  (3, "k3", "bbox", "cat", 0.5, 0.5, 0.5, 0.5)],
+                                 "asset_id long, ann_key string, kind string, class_name string, x double, y double, w double, h double")
+    anns = anns.selectExpr("*", "cast(null as array<array<double>>) as points")
+    classes = spark.createDataFrame([(0, "cat"), (1, "dog")], "class_index int, name string")
+    for pieces in (X.coco_documents(images, anns, classes), X.createml_documents(images, anns, classes)):
+        Fi.write_files(pieces, str(tmp_path / "out"))
+    coco = json.loads((tmp_path / "out/train/_annotations.coco.json").read_text())
+    assert [i["file_name"] for i in coco["images"]] == ["a.jpg", "b.jpg"] and [a["bbox"] for a in coco["annotations"]] == [[10, 10, 30, 20], [0, 0, 50, 25]]
+    assert [c["name"] for c in coco["categories"]] == ["cat", "dog"]
+    records = json.loads((tmp_path / "out/train/_annotations.createml.json").read_text())
+    assert [(r["image"], len(r["annotations"])) for r in records] == [("a.jpg", 2), ("b.jpg", 0)]
+    assert len(json.loads((tmp_path / "out/test/_annotations.createml.json").read_text())) == 1

@@ -17,6 +17,7 @@ def con():
 
 
 PYTHON_QUERIES = ("ann_mask_", "ann_validate_masks", "exp_segmentation", "ail_", "src_encoding", "src_csv_quoted", "src_csv_encoding",
+                  "exp_yolo_files", "exp_coco_files",
                   "src_image_meta", "vec_")
 
 
