@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillwork.operators import annotations as A
 from quillwork.operators import masks as M
+from quillwork.operators.ranking import store_pages
 
 from .base import INPUTS, load, register
 
@@ -177,11 +178,22 @@ def ann_findings(spark, sf):
 
 # ---- queue and tags -----------------------------------------------------------------------------
 
-@register("ann_queue", """
+QUEUE = """
     WITH p AS (SELECT a.*, coalesce(status, 'unannotated') AS status, split FROM assets a LEFT JOIN states s USING (asset_id)
                WHERE status = 'annotated' AND split = 'train' ORDER BY created_at, asset_id LIMIT 200 OFFSET 100)
     SELECT asset_id, file_name, status, split, (SELECT count(*) FROM annotations n WHERE n.asset_id = p.asset_id)
-           AS annotation_count FROM p""")
+           AS annotation_count FROM p"""
+
+
+@register("ann_queue_stored", QUEUE)
+def ann_queue_stored(spark, sf):
+    rows = A.queued(assets(spark, sf), states(spark, sf), "annotated", "train")
+    out = A.queue(assets(spark, sf), states(spark, sf), load(spark, sf, "annotations"), "annotated", "train", 100, 200,
+                  store_pages(rows, A.BY_AGE, rows_per_part=150))
+    return out.select("asset_id", "file_name", "status", "split", "annotation_count")
+
+
+@register("ann_queue", QUEUE)
 def ann_queue(spark, sf):
     out = A.queue(assets(spark, sf), states(spark, sf), load(spark, sf, "annotations"), "annotated", "train", 100, 200)
     return out.select("asset_id", "file_name", "status", "split", "annotation_count")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillwork.operators import catalog as C
+from quillwork.operators.ranking import store_pages
 
 from .base import INPUTS, load, register
 
@@ -24,10 +25,20 @@ def datasets(spark, sf):
     return load(spark, sf, "datasets")
 
 
-@register("cat_list", """
+LISTED = """
     WITH p AS (SELECT * FROM datasets WHERE status = 'ready' ORDER BY created_at DESC, dataset_id LIMIT 50 OFFSET 20)
     SELECT p.*, arg_max(v.row_count, v.version_number) AS row_count, count(v.dataset_id) AS version_count
-    FROM p LEFT JOIN versions v USING (dataset_id) GROUP BY ALL""")
+    FROM p LEFT JOIN versions v USING (dataset_id) GROUP BY ALL"""
+
+
+@register("cat_list_stored", LISTED)
+def cat_list_stored(spark, sf):
+    """A page by the directory of the stored order; the small parts make it span several."""
+    pages = store_pages(C.visible_datasets(datasets(spark, sf), "ready"), C.NEWEST, rows_per_part=15)
+    return C.list_datasets(datasets(spark, sf), versions(spark, sf), "ready", 20, 50, pages)
+
+
+@register("cat_list", LISTED)
 def cat_list(spark, sf):
     return C.list_datasets(datasets(spark, sf), versions(spark, sf), "ready", 20, 50)
 
@@ -96,6 +107,12 @@ def _gallery(spark, sf):
         F.when(F.col("asset_id") % 4 != 0, F.col("asset_id")).alias("embedding_id"))
 
 
+@register("cat_gallery_stored", f"SELECT * FROM ({GALLERY}) g WHERE cluster_id = 3 ORDER BY created_at, asset_id LIMIT 50 OFFSET 100")
+def cat_gallery_stored(spark, sf):
+    assets = _gallery(spark, sf)
+    return C.gallery(assets, 3, 100, 50, store_pages(assets.filter("cluster_id = 3"), C.BY_AGE, rows_per_part=40))
+
+
 @register("cat_gallery", f"SELECT * FROM ({GALLERY}) g WHERE cluster_id = 3 ORDER BY created_at, asset_id LIMIT 50 OFFSET 100")
 def cat_gallery(spark, sf):
     return C.gallery(_gallery(spark, sf), 3, 100, 50)
@@ -121,6 +138,14 @@ def cat_runs(spark, sf):
     return C.runs(load(spark, sf, "runs"), None, "profile", "completed", 20, 100)
 
 
+@register("cat_runs_stored", """SELECT * FROM runs WHERE run_type = 'profile' AND status = 'completed'
+    ORDER BY completed_at DESC, run_id LIMIT 100 OFFSET 20""")
+def cat_runs_stored(spark, sf):
+    runs = load(spark, sf, "runs")
+    pages = store_pages(C.chosen_runs(runs, None, "profile", "completed"), C.LATEST_RUNS, rows_per_part=70)
+    return C.runs(runs, None, "profile", "completed", 20, 100, pages)
+
+
 @register("cat_latest_report", """SELECT dataset_id, run_type, arg_max(run_id, completed_at) AS run_id,
     arg_max(report, completed_at) AS report FROM runs WHERE status = 'completed' GROUP BY dataset_id, run_type""")
 def cat_latest_report(spark, sf):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.text import newlines
 from quillwork.operators import documents as D
+from quillwork.operators.ranking import store_pages
 
 from .base import INPUTS, load, register
 
@@ -81,14 +82,24 @@ def txt_search(spark, sf):
     return found.select("doc_id", "name")
 
 
-@register("txt_list", f"""
+TEXT_PAGE = f"""
     WITH page AS (SELECT * FROM text_docs WHERE contains(lower(name || content), 'e') ORDER BY doc_index LIMIT 100 OFFSET 50)
     SELECT doc_id, doc_index, name, length(content) AS char_count,
            substr(regexp_replace({STRIP.format('content')}, '\\s+', ' ', 'g'), 1, 180) AS preview,
            coalesce((SELECT string_agg(class_name || ':' || n, ',' ORDER BY class_name) FROM (SELECT class_name, count(*) AS n
                      FROM text_spans s WHERE s.doc_id = page.doc_id AND kind = 'doc' GROUP BY class_name) l), '') AS labels,
            (SELECT count(*) FROM text_spans s WHERE s.doc_id = page.doc_id AND kind = 'span') AS span_count
-    FROM page""")
+    FROM page"""
+
+
+@register("txt_list_stored", TEXT_PAGE)
+def txt_list_stored(spark, sf):
+    found = D.search(docs(spark, sf), "e")
+    out = D.listing(found, spans(spark, sf), 50, 100, store_pages(found, D.IN_ORDER, rows_per_part=60))
+    return out.withColumn("labels", F.array_join("labels", ","))
+
+
+@register("txt_list", TEXT_PAGE)
 def txt_list(spark, sf):
     out = D.listing(D.search(docs(spark, sf), "e"), spans(spark, sf), 50, 100)
     return out.withColumn("labels", F.array_join("labels", ","))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.text import collapse
 from .masks import mask_facts
-from .ranking import page, with_neighbors, with_rank
+from .ranking import Pages, page, with_neighbors, with_rank
 
 STATUSES = ("unannotated", "annotated", "approved", "rejected")
 SPLITS = ("train", "valid", "test")
@@ -213,17 +213,22 @@ def with_state(assets: DataFrame, states: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.coalesce("status", F.lit("unannotated")))
 
 
+BY_AGE = ["created_at", "asset_id"]
+
+
+def queued(assets: DataFrame, states: DataFrame, status: str | None = None, split: str | None = None) -> DataFrame:
+    rows = with_state(assets, states)
+    if status:
+        rows = rows.filter(F.col("status") == status)
+    return rows.filter(F.col("split") == split) if split else rows
+
+
 def queue(assets: DataFrame, states: DataFrame, annotations: DataFrame, status: str | None = None,
-          split: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
+          split: str | None = None, skip: int = 0, limit: int = 100, pages: Pages | None = None) -> DataFrame:
     """One page (at most 500 rows) in created order; only the page's annotations are counted."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be 1..500")
-    rows = with_state(assets, states)
-    if status:
-        rows = rows.filter(F.col("status") == status)
-    if split:
-        rows = rows.filter(F.col("split") == split)
-    shown = page(rows, ["created_at", "asset_id"], skip, limit, "asset_id")
+    shown = page(queued(assets, states, status, split), BY_AGE, skip, limit, "asset_id", pages)
     counts = annotations.join(F.broadcast(shown.select("asset_id")), "asset_id", "left_semi").groupBy("asset_id").agg(
         F.count("*").alias("annotation_count"))
     return shown.join(counts, "asset_id", "left").withColumn(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import page
+from .ranking import Pages, page
 
 # Allowed status moves, and the mark of a deleted dataset.
 TRANSITIONS = {"labeled": ("reviewed",), "reviewed": ("ready",)}
@@ -26,18 +26,23 @@ def latest_version(versions: DataFrame, version: int | None = None) -> DataFrame
     return newest.select("dataset_id", "v.*")
 
 
+NEWEST, BY_AGE, LATEST_RUNS = ["-created_at", "dataset_id"], ["created_at", "asset_id"], ["-completed_at", "run_id"]
+
+
+def visible_datasets(datasets: DataFrame, status: str | None = None) -> DataFrame:
+    visible = datasets.filter(~F.col("name").startswith(DELETED))
+    return visible.filter(F.col("status") == status) if status else visible
+
+
 def list_datasets(datasets: DataFrame, versions: DataFrame, status: str | None = None, skip: int = 0,
-                  limit: int = 20) -> DataFrame:
+                  limit: int = 20, pages: Pages | None = None) -> DataFrame:
     """Newest first, with the newest version's row count and the number of versions.
 
     The page is cut before the join, so only versions of at most ``limit`` datasets are aggregated.
     """
     if not 1 <= limit <= 500:
         raise ValueError("limit must be 1..500")
-    visible = datasets.filter(~F.col("name").startswith(DELETED))
-    if status:
-        visible = visible.filter(F.col("status") == status)
-    head = page(visible, ["-created_at", "dataset_id"], skip, limit, "dataset_id")
+    head = page(visible_datasets(datasets, status), NEWEST, skip, limit, "dataset_id", pages)
     facts = versions.join(F.broadcast(head.select("dataset_id")), "dataset_id", "left_semi").groupBy("dataset_id").agg(
         F.max_by("row_count", "version_number").alias("row_count"), F.count("*").alias("version_count"))
     return head.join(facts, "dataset_id", "left").withColumn("version_count", F.coalesce("version_count", F.lit(0)))
@@ -94,9 +99,9 @@ def rule_sets(table: DataFrame) -> DataFrame:
         F.desc("created_at"), "rule_set_id")
 
 
-def gallery(assets: DataFrame, cluster: int | None = None, skip: int = 0, limit: int = 50) -> DataFrame:
+def gallery(assets: DataFrame, cluster: int | None = None, skip: int = 0, limit: int = 50, pages: Pages | None = None) -> DataFrame:
     chosen = assets if cluster is None else assets.filter(F.col("cluster_id") == cluster)
-    return page(chosen, ["created_at", "asset_id"], skip, limit, "asset_id")
+    return page(chosen, BY_AGE, skip, limit, "asset_id", pages)
 
 
 def gallery_counts(assets: DataFrame) -> DataFrame:
@@ -117,11 +122,15 @@ def detail(datasets: DataFrame, versions: DataFrame, metadata: DataFrame, datase
 
 
 def runs(table: DataFrame, dataset_id: int | None = None, run_type: str | None = None, status: str | None = None,
-         skip: int = 0, limit: int = 20) -> DataFrame:
+         skip: int = 0, limit: int = 20, pages: Pages | None = None) -> DataFrame:
+    return page(chosen_runs(table, dataset_id, run_type, status), LATEST_RUNS, skip, limit, "run_id", pages)
+
+
+def chosen_runs(table: DataFrame, dataset_id: int | None = None, run_type: str | None = None, status: str | None = None) -> DataFrame:
     for column, value in (("dataset_id", dataset_id), ("run_type", run_type), ("status", status)):
         if value is not None:
             table = table.filter(F.col(column) == value)
-    return page(table, ["-completed_at", "run_id"], skip, limit, "run_id")
+    return table
 
 
 def latest_report(table: DataFrame) -> DataFrame:

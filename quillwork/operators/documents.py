@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, is_blank, json_text, newlines, strip
 from ..scratch import balance, materialise
 from ..sinks import pieces as P
-from .ranking import page, with_neighbors, with_running_total
+from .ranking import Pages, page, with_neighbors, with_running_total
 
 SNIPPET_CHARS = 200
 PREVIEW_CHARS = 180
@@ -92,14 +92,17 @@ def search(docs: DataFrame, q: str | None = None, status: str | None = None) ->
     return docs
 
 
-def listing(docs: DataFrame, annotations: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
+IN_ORDER = ["doc_index", "doc_id"]
+
+
+def listing(docs: DataFrame, annotations: DataFrame, skip: int = 0, limit: int = 50, pages: Pages | None = None) -> DataFrame:
     """One page with preview, doc labels (each with its count) and span count.
 
     The page is cut first and is at most ``limit`` (200) rows, so it is the broadcast side.
     """
     if not 1 <= limit <= 200:
         raise ValueError("limit must be 1..200")
-    shown = page(docs, ["doc_index", "doc_id"], skip, limit, "doc_id")
+    shown = page(docs, IN_ORDER, skip, limit, "doc_id", pages)
     keys = F.broadcast(shown.select("doc_id"))
     found = annotations.join(keys, "doc_id", "left_semi")
     by_class = found.groupBy("doc_id", "class_name").agg(

@@ -9,11 +9,12 @@ data size; that bound is why it may be broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, new_path
 
 
 def _staged(df: DataFrame, group_by: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
@@ -92,12 +93,60 @@ def with_neighbors(df: DataFrame, id_col: str, order_by: Sequence[Column],
                   *[f"_g{i}" for i in range(len(groups))]))
 
 
-def page(df: DataFrame, order_by: Sequence[str], skip: int, limit: int, key: str) -> DataFrame:
+@dataclass(frozen=True)
+class Pages:
+    """Rows stored in their order, and the directory of the stored parts: one (part, rows before it, rows) each."""
+    path: str
+    order_by: tuple[str, ...]
+    rows: DataFrame
+    parts: tuple[tuple[int, int, int], ...]
+
+    def page(self, skip: int, limit: int) -> DataFrame:
+        """Rows skip+1 .. skip+limit, read from the parts that hold them: one or two, or as many as a page spans."""
+        held = {part: before for part, before, n in self.parts if before < skip + limit and before + n > skip}
+        order = _order(self.order_by)
+        if not held:
+            return self.rows.drop("_part").limit(0)
+        before = F.element_at(F.create_map(*[F.lit(x) for pair in held.items() for x in pair]), F.col("_part"))
+        place = before + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+        found = self.rows.filter(F.col("_part").isin(list(held))).withColumn("_place", place)
+        return found.filter((F.col("_place") > skip) & (F.col("_place") <= skip + limit)).drop("_place", "_part").orderBy(*order)
+
+
+def _order(order_by: Sequence[str]) -> list[Column]:
+    return [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order_by]
+
+
+def store_pages(df: DataFrame, order_by: Sequence[str], path: str | None = None, rows_per_part: int = 100_000) -> Pages:
+    """Store ``df`` once in the (total) order for pages at any depth; ``-name`` stands for descending.
+
+    The directory has one entry per part, so one for ``rows_per_part`` rows.
+    """
+    spark = df.sparkSession
+    parts = max(1, -(-df.count() // rows_per_part))
+    order = _order(order_by)
+    path = path or new_path(spark, "pages")
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)
+    ranged.write.partitionBy("_part").parquet(path)
+    kept = spark.read.schema(ranged.schema).parquet(path)
+    sizes, before = [], 0
+    for r in kept.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row a part
+        sizes.append((r["_part"], before, r["n"]))
+        before += r["n"]
+    return Pages(path, tuple(order_by), kept, tuple(sizes))
+
+
+def page(df: DataFrame, order_by: Sequence[str], skip: int, limit: int, key: str, pages: Pages | None = None) -> DataFrame:
     """Rows skip+1 .. skip+limit in a total order; ``-name`` stands for descending.
 
     The first page is a bounded heap per partition. Behind it, ``key`` (unique) and the order columns alone are ranked
-    over all partitions, so no task holds the rows skipped.
+    over all partitions, so no task holds the rows skipped. With ``pages``, stored from the same rows in the same order,
+    only the parts that hold the page are read.
     """
+    if pages is not None:
+        if pages.order_by != tuple(order_by):
+            raise ValueError(f"stored in order {pages.order_by}, asked for {tuple(order_by)}")
+        return pages.page(skip, limit)
     names = [n.lstrip("-") for n in order_by]
     order = [F.desc(n) if o.startswith("-") else F.asc(n) for n, o in zip(names, order_by)]
     if not skip:

@@ -139,3 +139,19 @@ def test_components_of_a_long_path_and_a_star(spark):
     df = spark.createDataFrame(path + star + loose, "a long, b long").repartition(7)
     got = {r["node"]: r["component"] for r in N.connected_components(df).collect()}
     assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(150)} == {1000} and got[5000] == 5000
+
+
+def test_stored_pages_equal_slices_and_read_their_parts_only(spark):
+    from quillwork.operators.ranking import store_pages
+
+    df = spark.range(1000).selectExpr("id", "id % 17 as k", "if(id % 5 = 0, null, id * 3 % 101) as v")
+    pages = store_pages(df, ["-k", "v", "id"], rows_per_part=90)
+    rows = sorted(df.collect(), key=lambda r: (-r.k, r.v is not None, r.v or 0, r.id))
+    assert sum(n for _, _, n in pages.parts) == 1000 and len(pages.parts) >= 8
+    for skip, limit in ((0, 5), (85, 20), (440, 200), (995, 50), (1000, 5)):
+        got = pages.page(skip, limit)
+        assert [r.id for r in got.collect()] == [r.id for r in rows[skip:skip + limit]]
+    assert "PartitionFilters: [_part" in pages.page(440, 20)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        from quillwork.operators.ranking import page
+        page(df, ["id"], 0, 5, "id", pages)
