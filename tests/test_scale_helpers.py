@@ -1,5 +1,7 @@
 """Ranks, neighbours, quantiles, parts, neighbour joins and components over many partitions."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -40,7 +42,7 @@ def test_neighbors_across_borders(spark):
 
 
 def test_no_global_window(spark):
-    plan = R.with_rank(spark.range(100), [F.col("id")])._jdf.queryExecution().executedPlan().toString()
+    plan = R.with_rank(spark.range(100), [F.col("id")])._jdf.queryExecution().executedPlan().toString())
     assert "Exchange SinglePartition" not in plan
 
 
@@ -151,7 +153,7 @@ def test_stored_pages_equal_slices_and_read_their_parts_only(spark):
     for skip, limit in ((0, 5), (85, 20), (440, 200), (995, 50), (1000, 5)):
         got = pages.page(skip, limit)
         assert [r.id for r in got.collect()] == [r.id for r in rows[skip:skip + limit]]
-    assert "PartitionFilters: [_part" in pages.page(440, 20)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_part", pages.page(440, 20)._jdf.queryExecution().executedPlan().toString())
     with pytest.raises(ValueError):
         from quillwork.operators.ranking import page
         page(df, ["id"], 0, 5, "id", pages)
