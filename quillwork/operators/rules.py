@@ -222,7 +222,7 @@ def rule_warnings(df: DataFrame, rules: RuleSet) -> list[str]:
 
 
 def rule_report(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """(section, name, count): totals, matches per rule and label distribution, from one aggregate.
+    """(section, name, count): totals, matches per rule, label distribution, and warnings such as columns that do not exist.
 
     Labels come from the rule set, so the distribution is a fixed set of conditional counts and needs
     no shuffle of rows.
@@ -256,6 +256,8 @@ def rule_report(df: DataFrame, rules: RuleSet) -> DataFrame:
                        for i, (_, _, e) in enumerate(entries)])
     rows = [F.struct(F.lit(s).alias("section"), F.lit(k).alias("name"), F.col(f"e{i}").alias("count"))
             for i, (s, k, _) in enumerate(entries)]
+    rows += [F.struct(F.lit("warning").alias("section"), F.lit(note).alias("name"), F.lit(1).cast("long").alias("count"))
+             for note in rule_warnings(df, rules)]
     long = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return long.filter("section <> 'label' or count > 0")
 

@@ -36,6 +36,25 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_delimited(spark, path)
 
 
+def read_recorded(spark: SparkSession, folder: str, recorded: str | None = None) -> DataFrame:
+    """The table of a data set's folder: the file recorded for it if it is there, else the first by name that is no
+    output of a cleaning run (``cleaned_...``) and not hidden."""
+    from pyarrow import fs
+
+    from ..sinks.files import file_system
+
+    if recorded is not None:
+        system, path = file_system(recorded)
+        if system.get_file_info(path).type != fs.FileType.NotFound:
+            return read_any(spark, recorded)
+    system, path = file_system(folder)
+    names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)))
+    names = [n for n in names if not n.startswith(("cleaned_", ".", "_"))]
+    if not names:
+        raise FileNotFoundError(f"no table in {folder}")
+    return read_any(spark, f"{folder.rstrip('/')}/{names[0]}")
+
+
 def validate_file(spark: SparkSession, path: str) -> DataFrame:
     """One-row check by extension; raises on an unsupported one."""
     ext = extension_of(path)

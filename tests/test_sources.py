@@ -135,6 +135,50 @@ def test_stream_embeds_each_asset_once(spark, tmp_path):
     assert sorted(r["vec_id"] for r in spark.read.parquet(store).collect()) == list(range(8))
 
 
+def test_stream_by_state_embeds_each_asset_once(spark, tmp_path):
+    from quillwork.streaming.incremental import embed_stream_by_state, state_size
+
+    source, store = tmp_path / "in", str(tmp_path / "vectors")
+
+    def run(lose=None):
+        def embed(df):
+            if lose:
+                raise RuntimeError(lose)
+            return df.select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"))
+
+        query = embed_stream_by_state(spark.readStream.schema("id long").parquet(str(source)), store, str(tmp_path / "cp"), "id", embed)
+        query.awaitTermination(120)
+        return query
+
+    spark.range(0, 6).union(spark.range(0, 3)).write.parquet(str(source))
+    run()
+    spark.range(4, 9).write.mode("append").parquet(str(source))
+    with pytest.raises(Exception, match="power cut"):
+        run("power cut")  # in the middle of the second batch
+    spark.range(8, 12).write.mode("append").parquet(str(source))
+    size = state_size(run())
+    assert sorted(r["vec_id"] for r in spark.read.parquet(store).collect()) == list(range(12))
+    assert size["rows"] == 12 and size["bytes"] > 0
+
+
+def test_recorded_path_comes_first(spark, tmp_path):
+    for name, rows in (("cleaned_a.csv", "a\n9\n"), ("b.csv", "a\n1\n"), ("c.csv", "a\n2\n")):
+        (tmp_path / name).write_text(rows)
+    assert Fl.read_recorded(spark, str(tmp_path), str(tmp_path / "c.csv")).first().a == 2
+    assert Fl.read_recorded(spark, str(tmp_path), str(tmp_path / "gone.csv")).first().a == 1
+    with pytest.raises(FileNotFoundError):
+        Fl.read_recorded(spark, str(tmp_path / "nothing"))
+
+
+def test_rules_on_missing_columns_are_reported(spark):
+    from quillwork.operators import rules
+
+    found = rules.load_rules([{"label": "x", "column": "gone", "operator": "equals", "value": 1},
+                              {"label": "y", "column": "id", "operator": "equals", "value": 1}])
+    rows = [tuple(r) for r in rules.rule_report(spark.range(3), found).filter("section = 'warning'").collect()]
+    assert rows == [("warning", "rule 0: columns ['gone'] do not exist, their conditions never match", 1)]
+
+
 def test_steps(spark):
     handlers = {"structuring": lambda df, c: df.filter("id > 1"), "export": lambda df, c: 1 / 0}
     steps = [{"step_type": "structuring", "name": "a", "config": {}}, {"step_type": "labeling", "name": "b", "config": {}},
