@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 SEEDS = 10_000  # rows that first centres are drawn from
 SAMPLED = 2000  # points whose silhouette is computed
 
@@ -41,26 +43,29 @@ def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray
     return np.array(chosen)
 
 
-def _round(df: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Of each start: sums and counts of the points nearest to each centre, and the inertia. One pass for all starts."""
-    shared = df.sparkSession.sparkContext.broadcast(centres)
+def _round(flat: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Of each start: sums and counts of the points nearest to each centre, and the inertia. One pass for all starts.
+
+    ``flat`` has one plain column for each feature, which reaches a task as one array.
+    """
+    shared = flat.sparkSession.sparkContext.broadcast(centres)
     k, d = next(iter(centres.values())).shape
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {s: np.zeros((k, d)) for s in shared.value}
         counts, costs = {s: np.zeros(k) for s in shared.value}, {s: np.zeros(k) for s in shared.value}
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy())
+            x = batch.to_numpy(np.float64)
             for s, c in shared.value.items():
                 far = _square_distances(x, c)
                 near = far.argmin(axis=1)
-                np.add.at(sums[s], near, x)
+                sums[s] += (near[:, None] == np.arange(k)).T.astype(np.float64) @ x
                 counts[s] += np.bincount(near, minlength=k)
                 costs[s] += np.bincount(near, far[np.arange(len(x)), near], minlength=k)
         rows = [(s, j, [*sums[s][j], counts[s][j], costs[s][j]]) for s in sums for j in range(k) if counts[s][j]]
         yield pd.DataFrame(rows, columns=["start", "cluster", "sums"])
 
-    parts = df.select(vector_to_array("features").alias("x")).mapInPandas(work, "start int, cluster int, sums array<double>")
+    parts = flat.mapInPandas(work, "start int, cluster int, sums array<double>")
     added = parts.groupBy("start", "cluster").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(d + 2)]).collect()
     out = {s: (np.zeros((k, d)), np.zeros(k), 0.0) for s in centres}
     for r in added:  # a row for each start and cluster
@@ -79,6 +84,8 @@ def best_of_starts(df: DataFrame, k: int, starts: int = 10, seed: int = 42, roun
     squared and added up) is left out of later rounds. A centre without points stays where it is.
     """
     x = _rows_of(df, SEEDS, seed)
+    wide = df.select(vector_to_array("features").alias("x"))
+    df = materialise(wide.select(*[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(x.shape[1])]), "features")
     open_ = {s: first_centres(x, k, np.random.default_rng(seed + s)) for s in range(starts)}
     done: dict[int, np.ndarray] = {}
     for _ in range(rounds):
