@@ -41,17 +41,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id are one document: one of them stays, the one with the smallest digest. Rows with a null id
     stay where no document with an id has a linked fingerprint.
     """
-    digest, = free_names(docs, "__digest")
+    key = free_names(docs, "__one", "__two", "__which")
     cells = [column(c) for c in docs.columns]
     # 128 bits and the id, so that different rows do not meet by chance
-    rows = docs.withColumn(digest, F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b"),
-                                            F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("c")))
-    found = simhash.near_duplicates(rows, keep=[digest])
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min(digest).alias(digest)).select(digest)
-    stays = first.unionByName(found.filter("doc_id is null and component_id is null").select(digest)).distinct()
+    rows = docs.withColumns(dict(zip(key, (F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells),
+                                           F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))))
+    found = simhash.near_duplicates(rows, keep=key)
+    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("key")).select("key.*")
+    stays = first.unionByName(found.filter("doc_id is null and component_id is null").select(*key)).distinct()
     whole = F.struct(*cells).alias("row")
-    once = rows.groupBy(digest).agg(F.first(whole).alias("row"))  # the same row several times, combined before the shuffle
-    return once.join(stays, digest, "left_semi").select("row.*")
+    once = rows.groupBy(*key).agg(F.first(whole).alias("row"))  # the same row several times, combined before the shuffle
+    return once.join(stays, key, "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
