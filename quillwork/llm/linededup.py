@@ -5,10 +5,12 @@
 2. Character shingles of each line fill a one-permutation MinHash signature; empty cells copy a cell chosen by a
    fixed probing order. Bands of the signature become bucket entries. They travel packed, 12 bytes each, and never
    with the text.
-3. In each bucket every line is paired with the smallest and with the next one, which spans the bucket.
+3. In each bucket every line is first paired with the smallest and with the next one, which spans the bucket.
 4. The lines that are in some pair (few) are fetched, and the exact Jaccard similarity of their shingle sets is
    computed; pairs at or above the threshold are links.
-5. Connected components of the links. The first occurrence of a component stays, all other occurrences of its lines go.
+5. Buckets that these links do not join into one component are settled: all pairs of different components are checked,
+   in buckets of more than ``CROWD`` lines those that an exact join by the rarest shingles (prefix filter) leaves.
+6. Connected components of the links. The first occurrence of a component stays, all other occurrences of its lines go.
 
 With 16 bands of 6 cells a pair of similarity 0.8 is found with probability 0.992, of 0.85 with 0.9995.
 """
@@ -28,6 +30,7 @@ from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 16, 6
 CELLS = BANDS * ROWS
+CROWD = 32  # lines of a bucket that are all paired where its first links leave it apart
 EMPTY = np.uint32(0xFFFFFFFF)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -160,7 +163,10 @@ def _entries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
 
 
 def bucket_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs that span every bucket: each line with the bucket's smallest id and with the next one."""
+    """(a, b, more): pairs that span every bucket, each line with the bucket's smallest id and with the next one.
+
+    ``more`` tells that the bucket has other pairs too; its lines are those paired with the smallest id.
+    """
     bucket = np.frombuffer(b"".join(rows["buckets"]), dtype="<u4")
     ids = np.frombuffer(b"".join(rows["ids"]), dtype="<i8")
     order = np.argsort(bucket, kind="stable")
@@ -172,14 +178,65 @@ def bucket_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     first[1:] = bucket[1:] != bucket[:-1]
     new = first.copy()
     new[1:] |= ids[1:] != ids[:-1]
-    bucket, ids, first = bucket[new], ids[new], first[new]
+    ids, first = ids[new], first[new]
     starts = np.flatnonzero(first)
-    least = np.repeat(ids[starts], np.diff(np.append(starts, len(ids))))
+    sizes = np.diff(np.append(starts, len(ids)))
+    least, many = np.repeat(ids[starts], sizes), np.repeat(sizes > 3, sizes)
     at = np.flatnonzero(~first)
-    pairs = pd.DataFrame({"a": np.concatenate([least[at], ids[at - 1]]), "b": np.concatenate([ids[at], ids[at]])})
+    pairs = pd.DataFrame({"a": np.concatenate([least[at], ids[at - 1]]), "b": np.concatenate([ids[at], ids[at]]),
+                          "more": np.concatenate([many[at], np.zeros(len(at), dtype=bool)])})
     return pairs.drop_duplicates()
 
 
+def _unsettled(pairs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(least, n, node, root) of the lines of buckets that the links do not join into one component.
+
+    Buckets with the same smallest line are taken as one.
+    """
+    more = pairs.filter("more").select(F.col("a").alias("least"), F.col("b").alias("h1"))
+    members = more.unionByName(more.select("least", F.col("least").alias("h1")).distinct())
+    rooted = texts.select("h1", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = stored(members.join(rooted, "h1").drop("h1"), "line-buckets")
+    apart = placed.groupBy("least").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high")
+    return stored(placed.join(apart.select("least", "n"), "least"), "line-crowds")
+
+
+def _open_pairs(apart: DataFrame, texts: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """(a, b): the pairs of different components that may be linked, of the buckets of ``_unsettled``."""
+    few = apart.filter(F.col("n") <= crowd)
+    one, two = (few.select("least", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
+    pairs = one.join(two, "least").filter("a < b and root_a <> root_b").select("a", "b")
+    crowded = apart.filter(F.col("n") > crowd).select("node", "root").distinct()
+    return pairs.unionByName(prefix_pairs(crowded.join(texts.select("node", "line"), "node"), threshold)).distinct()
+
+
+def prefix_pairs(lines: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of ``lines`` (node, root, line) of different roots, among them all that reach the threshold.
+
+    Shingle sets of that similarity share one of their first shingles in any common order, of ``size`` shingles the
+    first ``size - ceil(threshold * size) + 1``. The rarest come first, so that few lines meet.
+    """
+    size = F.greatest(F.length("line") - SHINGLE + 1, F.lit(1))
+    sets = lines.select("node", "root", F.array_distinct(F.transform(
+        F.sequence(F.lit(1), size), lambda i: F.col("line").substr(i, F.lit(SHINGLE)))).alias("set"))
+    each = stored(sets.select("node", "root", F.size("set").alias("size"), F.explode("set").alias("shingle")), "line-shingles", "zstd")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    ranked = each.join(counts, "shingle").groupBy("node", "root", "size").agg(
+        F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    rest = F.ceil(F.col("size") * threshold - 1e-9).cast("int") - 1
+    heads = stored(ranked.select("node", "root", "size", F.explode(F.slice("all", F.lit(1), F.col("size") - F.greatest(rest, F.lit(0))))
+                                 .alias("s")).select("node", "root", "size", "s.shingle"), "line-prefixes", "zstd")
+    one = heads.select(F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("size").alias("size_a"), "shingle")
+    two = heads.select(F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), "shingle")
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
+    met = one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near)
+    common = met.groupBy("a", "b").agg(F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.count("*").alias("common"))
+    # a shingle that both have but not both have in front lies behind the front part of one of them
+    behind = F.ceil(F.greatest("size_a", "size_b") * threshold - 1e-9) - 1
+    wanted = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
+    return common.filter(F.col("common") + behind >= wanted).select("a", "b")
+
+
 def _lines(keyed: DataFrame, text: str, key: list[str]) -> DataFrame:
     """(key, line_no, line, h1, h2) of the non-blank lines."""
     lines = keyed.select(*key, F.posexplode(F.split(column(text), "\n")).alias("line_no", "raw"))
@@ -188,11 +245,13 @@ def _lines(keyed: DataFrame, text: str, key: list[str]) -> DataFrame:
                         F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def similar_lines(lines: DataFrame, n_distinct: int, threshold: float, broadcast_rows: int) -> DataFrame:
+def similar_lines(lines: DataFrame, n_distinct: int, threshold: float, broadcast_rows: int,
+                  crowd: int = CROWD) -> DataFrame:
     """(h1, h2, node, root): the lines that are linked to others, with the smallest node of their component."""
     parts = max(8, -(-n_distinct * BANDS // 400_000))
     entries = lines.select("h1", "line").mapInArrow(lambda b: _entries(b, parts), "part int, buckets binary, ids binary")
-    pairs = stored(entries.groupBy("part").applyInPandas(bucket_pairs, "a long, b long").distinct(), "line-pairs")
+    paired = entries.groupBy("part").applyInPandas(bucket_pairs, "a long, b long, more boolean")
+    pairs = stored(paired.groupBy("a", "b").agg(F.max("more").alias("more")), "line-pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
     few = wanted.count() <= broadcast_rows  # long ids only: 8 bytes a row
     some = lines.select("h1", "h2", "line").join(F.broadcast(wanted) if few else wanted, F.col("h1") == F.col("id"), "left_semi")
@@ -213,17 +272,25 @@ def similar_lines(lines: DataFrame, n_distinct: int, threshold: float, broadcast
     checked = pairs.join(one, "a").join(two, "b").filter(alike("line_a", "line_b"))
     links = stored(checked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "line-links")
     roots = components(links)
+    if pairs.filter("more").limit(1).count():
+        apart = _unsettled(pairs, texts, roots)
+        if apart.limit(1).count():
+            left, right = (texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
+            checked = _open_pairs(apart, texts, threshold, crowd).join(left, "a").join(right, "b").filter(alike("line_a", "line_b"))
+            more = stored(checked.select("a", "b"), "line-links")
+            if more.limit(1).count():
+                roots = components(stored(links.unionByName(more), "line-links"))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     return texts.drop("line").join(linked, "node")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8,
-                broadcast_rows: int = 4_000_000) -> DataFrame:
+                broadcast_rows: int = 4_000_000, crowd: int = CROWD) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
 
     Of all lines that are equal or linked (trimmed, lower-cased, similarity of the shingle sets at least
     ``threshold``), the one that comes first by doc_id and line stays, everywhere else they are removed. Blank lines
-    stay. A null text stays null; a text whose lines all go becomes empty. Null ids come first in the order. Rows that
+    stay. ``crowd`` bounds the buckets whose lines are all paired. A null text stays null; a text whose lines all go becomes empty. Null ids come first in the order. Rows that
     repeat id and text count as one document and get the same result; rows that share only the id are ordered by a
     digest. Columns of ``docs`` named like the new ones are replaced.
     """
@@ -235,7 +302,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     place = F.struct(*key, "line_no")
     places = stored(lines.select(*key, "line_no", "h1", "h2"), "line-places")
     firsts = stored(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines")
-    linked = stored(similar_lines(lines, firsts.count(), threshold, broadcast_rows), "linked-lines")
+    linked = stored(similar_lines(lines, firsts.count(), threshold, broadcast_rows, crowd), "linked-lines")
     roots = stored(linked.join(firsts, ["h1", "h2"]).groupBy("root").agg(F.min("first").alias("stays")), "line-roots")
     stays = stored(linked.join(roots, "root").select("h1", "h2", "stays"), "staying-lines")
     # a line that occurs once and is linked to nothing needs no decision

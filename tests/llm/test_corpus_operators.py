@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import DOCS, ODD, documents, raw
 from oracle import compare, connect
@@ -140,6 +141,39 @@ def test_lines_of_repeated_rows_and_empty_tables(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_pairs_of_a_bucket_that_stays_apart_are_checked(spark):
+    base = "the quick brown fox jumps over the lazy dog"
+    lines = {1: "one " * 9, 2: base, 3: "two " * 9, 4: base + "s", 5: "six " * 9}  # 2 and 4 are neither least nor neighbours
+    rows = pd.DataFrame({"buckets": [np.full(5, 7, "<u4").tobytes()], "ids": [np.array([4, 2, 1, 3, 5], "<i8").tobytes()]})
+    pairs = spark.createDataFrame(linededup.bucket_pairs(rows))
+    texts = spark.createDataFrame([(i, i, t) for i, t in lines.items()], "h1 long, node long, line string")
+    apart = linededup._unsettled(pairs, texts, spark.createDataFrame([], "node long, root long"))
+    for crowd in (2, 32):
+        assert (2, 4) in {(r.a, r.b) for r in linededup._open_pairs(apart, texts, 0.8, crowd).collect()}
+
+
+def test_links_in_crowded_buckets_are_found(spark):
+    rng, texts = np.random.default_rng(3), []
+    for _ in range(3):  # lines too far from their base to be linked to it, each with a near copy
+        base = rng.choice(list("abcdefgh "), 90)
+        for _ in range(12):
+            far = base.copy()
+            far[rng.integers(0, 90, 5)] = rng.choice(list("uvwxyz"), 5)
+            near = far.copy()
+            near[int(rng.integers(6, 84))] = "0"
+            texts += ["".join(far) + ".", "".join(near) + "."]
+    order = rng.permutation(len(texts)).tolist()
+    texts = [texts[i] for i in order]
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    for crowd in (2, 32):
+        got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, texts), crowd=crowd).collect()}
+        assert got == plain_lines(rows)
+    lines = spark.createDataFrame([(i, i, t) for i, t in rows], "node long, root long, line string")
+    sets = [linededup.shingles(t) for t in texts]
+    linked = {(a + 1, b + 1) for b in range(len(sets)) for a in range(b) if linededup.jaccard(sets[a], sets[b]) >= 0.8}
+    assert linked <= {(r.a, r.b) for r in linededup.prefix_pairs(lines, 0.8).collect()} and len(linked) >= 20
+
+
 def test_signature_recall():
     rng = np.random.default_rng(4)
     found = total = 0
