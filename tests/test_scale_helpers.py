@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,3 +158,24 @@ def test_stored_pages_equal_slices_and_read_their_parts_only(spark):
     with pytest.raises(ValueError):
         from quillwork.operators.ranking import page
         page(df, ["id"], 0, 5, "id", pages)
+
+
+def test_a_pair_of_parts_gives_k_rows_a_query_over_all_its_cells():
+    """Not k rows for each cell, whose number grows with the table."""
+    rng = np.random.default_rng(2)
+    p = rng.normal(size=(600, 8))
+    p[::7] = p[0]  # copies: equal similarities go by id
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    ids = rng.permutation(600)
+    points = pd.DataFrame({"id": ids, "v": list(p)})
+    rows = np.arange(1500) % 600
+    queries = pd.DataFrame({"id": ids[rows], "v": list(p[rows])})
+    meetings = ((np.arange(a, min(a + N.SLICE, 1500)), p[rows[a:a + N.SLICE]], slice(b, b + 20))
+                for a in range(0, 1500, N.SLICE) for b in range(0, 600, 20))
+    got = N._nearest_of(3)(points, queries, meetings)
+    assert len(got) == 3 * 1500
+    for i in (0, 7, 601, 1499):
+        mine = got.iloc[3 * i:3 * i + 3]
+        order = sorted((-round(float(p[rows[i]] @ p[j]), 12), ids[j]) for j in range(600) if ids[j] != ids[rows[i]])[:3]
+        assert mine["query_id"].tolist() == [ids[rows[i]]] * 3
+        assert [(-round(x, 12), y) for x, y in zip(mine["similarity"], mine["point_id"])] == order
