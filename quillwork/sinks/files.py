@@ -1,8 +1,8 @@
 """Files from pieces, by a data source writer that leaves either all files or none.
 
-Every path is written by one task, which streams its sorted pieces into a file under the job's own folder and holds one
-line at a time. When all tasks are done, a second job moves the files to their places; a job that fails takes its folder
-with it. A task that is tried again writes a folder of its own, and only the folders named by the tasks that
+Each task has a stretch of the sorted pieces, which it streams into files under the job's own folder, and holds one line
+at a time. A long file is cut over many tasks. When all tasks are done, a second job moves the files to their places and
+copies those that were cut together, in order; a job that fails takes its folder with it. A task that is tried again writes a folder of its own, and only the folders named by the tasks that
 succeeded are moved. ``folder`` may be on any file system that pyarrow reaches by its address.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -34,6 +35,10 @@ def file_system(folder: str):
 @dataclass
 class Written(WriterCommitMessage):
     attempt: str | None
+    part: int = 0
+    files: int = 0
+    first: str | None = None
+    last: str | None = None
 
 
 class PieceWriter(DataSourceArrowWriter):
@@ -44,7 +49,7 @@ class PieceWriter(DataSourceArrowWriter):
         system, root = file_system(self.folder)
         attempt = uuid.uuid4().hex
         base, names, path, out = f"{root}/{JOBS}/{self.job}/{attempt}", 0, None, None
-        listed = None
+        listed, first = None, None
         try:
             for batch in iterator:
                 for here, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
@@ -55,6 +60,7 @@ class PieceWriter(DataSourceArrowWriter):
                             system.create_dir(base, recursive=True)
                             listed = system.open_output_stream(f"{base}/names")
                         path = here
+                        first = here if names == 0 else first
                         out = system.open_output_stream(f"{base}/{names}")
                         listed.write((json.dumps(path) + "\n").encode())
                         names += 1
@@ -64,19 +70,34 @@ class PieceWriter(DataSourceArrowWriter):
             for stream in (out, listed):
                 if stream:
                     stream.close()
-        return Written(attempt if names else None)
+        return Written(attempt, TaskContext.get().partitionId(), names, first, path) if names else Written(None)
 
     def commit(self, messages: list[Written | None]) -> None:
         """Name the folders of the tasks that succeeded; only their files are moved."""
         system, root = file_system(self.folder)
         system.create_dir(f"{root}/{JOBS}/{self.job}", recursive=True)
         with system.open_output_stream(f"{root}/{JOBS}/{self.job}/done") as out:
-            out.write("\n".join(m.attempt for m in messages if m and m.attempt).encode())
+            out.write(json.dumps(moves(messages)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         remove_job(self.folder, self.job)
 
 
+def moves(messages: list[Written | None]) -> list[dict]:
+    """For each task in order: its folder, whether its first file goes on one of a task before it, and the folders of
+    the tasks that go on with its last file."""
+    tasks = sorted((m for m in messages if m and m.attempt), key=lambda m: m.part)
+    out, owner = [], None
+    for before, m in zip([None, *tasks], tasks):
+        goes_on = before is not None and before.last == m.first
+        out.append({"attempt": m.attempt, "skip": int(goes_on), "more": []})
+        if goes_on:
+            owner["more"].append(m.attempt)
+        if not goes_on or m.files > 1:
+            owner = out[-1]
+    return out
+
+
 def remove_job(folder: str, job: str) -> None:
     from pyarrow import fs
 
@@ -106,31 +127,43 @@ def write_files(pieces: DataFrame, folder: str) -> int:
     spark.dataSource.register(PieceFiles)
     job = uuid.uuid4().hex
     keys = ["path", "place", "seq", "line"]
-    ordered = pieces.filter("path is not null").select(*keys).repartition("path").sortWithinPartitions(*keys).select("path", "line")
+    ordered = pieces.filter("path is not null").select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).select("path", "line")
     try:
         ordered.write.format(FORMAT).mode("append").option("folder", folder).option("job", job).save()
         system, root = file_system(folder)
         with system.open_input_stream(f"{root}/{JOBS}/{job}/done") as done:
-            attempts = done.read().decode().split()
-        if not attempts:
+            tasks = json.loads(done.read())
+        if not tasks:
             return 0
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             there, base = file_system(folder)
             for batch in batches:
                 moved = 0
-                for attempt in batch.column(0).to_pylist():
+                for attempt, skip, more in zip(*(c.to_pylist() for c in batch.columns)):
                     own = f"{base}/{JOBS}/{job}/{attempt}"
                     with there.open_input_stream(f"{own}/names") as listed:
                         names = [json.loads(x) for x in listed.read().decode().splitlines()]
                     for i, name in enumerate(names):
-                        if there.get_file_info(f"{own}/{i}").type == fs.FileType.File:  # else moved by an earlier try
+                        if i < skip:
+                            continue
+                        if i == len(names) - 1 and more:
+                            with there.open_output_stream(f"{own}/whole") as out:
+                                for part in [f"{own}/{i}", *[f"{base}/{JOBS}/{job}/{m}/0" for m in more]]:
+                                    with there.open_input_stream(part) as piece:
+                                        while content := piece.read(1 << 22):
+                                            out.write(content)
+                            source = f"{own}/whole"
+                        else:
+                            source = f"{own}/{i}"
+                        if there.get_file_info(source).type == fs.FileType.File:  # else moved by an earlier try
                             there.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
-                            there.move(f"{own}/{i}", f"{base}/{name}")
-                    moved += len(names)
+                            there.move(source, f"{base}/{name}")
+                    moved += len(names) - skip
                 yield pa.RecordBatch.from_arrays([pa.array([moved], pa.int64())], names=["n"])
 
-        tasks = spark.createDataFrame([(a,) for a in attempts], "attempt string").repartition(len(attempts))
-        return tasks.mapInArrow(move, "n long").agg(F.sum("n")).first()[0]
+        rows = [(t["attempt"], t["skip"], t["more"]) for t in tasks]
+        todo = spark.createDataFrame(rows, "attempt string, skip int, more array<string>").repartition(len(rows))
+        return todo.mapInArrow(move, "n long").agg(F.sum("n")).first()[0]
     finally:
         remove_job(folder, job)

@@ -185,6 +185,27 @@ def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
     assert Fi.write_files(pieces.limit(0), str(tmp_path / "nothing")) == 0
 
 
+def test_a_long_file_is_written_by_many_tasks(spark, tmp_path):
+    from quillwork.sinks import files as Fi
+
+    lines = spark.range(4000).selectExpr("if(id < 3900, 'a/long.txt', concat('b', id % 3, '.txt')) as path", "cast(id >= 2000 as int) as place",
+                                         "id as seq", "concat('line ', id) as line")
+    w = Fi.Written
+    got = Fi.moves([w("d", 7, 1, "x", "x"), None, w("a", 0, 2, "p", "x"), w(None), w("b", 3, 1, "x", "x"), w("e", 9, 3, "x", "z")])
+    assert got == [{"attempt": "a", "skip": 0, "more": ["b", "d", "e"]}, {"attempt": "b", "skip": 1, "more": []},
+                   {"attempt": "d", "skip": 1, "more": []}, {"attempt": "e", "skip": 1, "more": []}]
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert Fi.write_files(lines, str(tmp_path / "out")) == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (tmp_path / "out/a/long.txt").read_text().splitlines() == [f"line {i}" for i in range(3900)]
+    for i in range(3):
+        assert (tmp_path / f"out/b{i}.txt").read_text().splitlines() == [f"line {j}" for j in range(3900, 4000) if j % 3 == i]
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["_writing", "a", "b0.txt", "b1.txt", "b2.txt"]
+    assert not list((tmp_path / "out/_writing").iterdir())
+
+
 def test_documents_per_split_are_json(spark, tmp_path):
     import json
 
