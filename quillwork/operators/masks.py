@@ -85,20 +85,90 @@ def grid_of(runs: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.repeat(values, runs).reshape(width, height).T
 
 
+def batch_facts(sizes, texts) -> pd.DataFrame:
+    """``FACTS`` of many masks, whose runs are decoded as one array; reasons as in ``checked_runs``."""
+    n = len(sizes)
+    problem, height, width, kept, bodies = [None] * n, np.ones(n, np.int64), np.ones(n, np.int64), [], []
+    for i, (size, text) in enumerate(zip(sizes, texts)):
+        if size is None and text is None:
+            continue
+        if size is None or len(size) != 2 or any(x is None or int(x) <= 0 for x in size):
+            problem[i] = "size must be two positive numbers"
+        elif not text or len(text) > MAX_COUNTS_CHARS:
+            problem[i] = "counts missing or too long"
+        else:
+            try:
+                body = text.encode("latin-1")
+            except ValueError as e:
+                problem[i] = str(e)
+                continue
+            if (body[-1] - 48) & 0x20:
+                problem[i] = "truncated runs"
+            else:
+                height[i], width[i] = int(size[0]), int(size[1])
+                kept.append(i)
+                bodies.append(body)
+    out, sound = np.zeros((n, 5), np.int64), np.zeros(n, dtype=bool)
+    for part in _parts_of(kept, bodies):
+        rows, joined = np.array(part[0]), part[1]
+        digits = np.frombuffer(b"".join(joined), dtype=np.uint8).astype(np.int64) - 48
+        last = np.flatnonzero((digits & 0x20) == 0)
+        first = np.concatenate(([0], last[:-1] + 1))
+        length = last - first + 1
+        place = np.arange(len(digits)) - np.repeat(first, length)
+        runs = np.add.reduceat((digits & 0x1F) << (5 * place), first)
+        runs -= np.where(digits[last] & 0x10, np.int64(1) << (5 * length), 0)
+        row = np.searchsorted(np.cumsum([len(x) for x in joined]), last, side="right")
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        at = np.arange(len(row)) - starts[row]
+        odd = at % 2 == 1
+        for which in (odd, ~odd & (at >= 2)):  # differences to the number two places before
+            total = np.cumsum(np.where(which, runs, 0))
+            before = total[starts] - np.where(which, runs, 0)[starts]
+            runs = np.where(which, total - before[row], runs)
+        negative = np.minimum.reduceat(runs, starts) < 0
+        covers = np.add.reduceat(runs, starts) == height[rows] * width[rows]
+        for i in np.flatnonzero(negative | ~covers):
+            problem[rows[i]] = "negative run" if negative[i] else "runs do not cover the mask"
+        good = ~negative & covers
+        sound[rows[good]] = True
+        out[rows, 0] = np.add.reduceat(np.where(odd, runs, 0), starts)
+        ends = np.cumsum(runs)
+        ends -= (ends[starts] - runs[starts])[row]
+        lit = np.flatnonzero(odd & (runs != 0) & good[row])
+        if not len(lit):
+            continue
+        high, start, stop = height[rows][row[lit]], ends[lit - 1], ends[lit] - 1
+        c0, c1 = start // high, stop // high
+        whole = c0 != c1  # a run over a column border touches both the top and the bottom row
+        groups = np.flatnonzero(np.diff(row[lit], prepend=-1))
+        x, right = np.minimum.reduceat(c0, groups), np.maximum.reduceat(c1, groups)
+        top = np.minimum.reduceat(np.where(whole, 0, start % high), groups)
+        bottom = np.maximum.reduceat(np.where(whole, high - 1, stop % high), groups)
+        out[rows[row[lit][groups]], 1:] = np.stack([x, top, right - x + 1, bottom - top + 1], axis=1)
+    columns = {name: pd.array(np.where(sound, out[:, j], 0).astype(kind), dtype=kind.capitalize())
+               for j, (name, kind) in enumerate((("area", "int64"), ("x", "int32"), ("y", "int32"), ("w", "int32"), ("h", "int32")))}
+    frame = pd.DataFrame(columns)
+    frame[~sound] = pd.NA
+    frame["problem"] = pd.Series(problem, dtype=object)
+    return frame
+
+
+def _parts_of(rows: list[int], bodies: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts of at most ``limit`` bytes in all, or one longer text, at a time."""
+    start = size = 0
+    for end, body in enumerate(bodies):
+        if size and size + len(body) > limit:
+            yield rows[start:end], bodies[start:end]
+            start, size = end, 0
+        size += len(body)
+    if start < len(bodies):
+        yield rows[start:], bodies[start:]
+
+
 @F.pandas_udf(FACTS)
 def mask_facts(size: pd.Series, counts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for s, c in zip(size, counts):
-        if s is None and c is None:
-            rows.append((None,) * 6)
-            continue
-        try:
-            runs, height, _ = checked_runs(s, c)
-            rows.append((int(runs[1::2].sum()), *_extent(runs, height), None))
-        except ValueError as e:
-            rows.append((None,) * 5 + (str(e),))
-    out = pd.DataFrame(rows, columns=[f.name for f in FACTS.fields])
-    return out.astype({"area": "Int64", "x": "Int32", "y": "Int32", "w": "Int32", "h": "Int32"})
+    return batch_facts(size, counts)
 
 
 def mask_stats(df: DataFrame, mask: str = "mask") -> DataFrame:

@@ -1,10 +1,11 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from bindings.maskdata import counts_text
+from bindings.maskdata import HEIGHT, WIDTH, counts_text, rectangle_texts
 from quillwork.operators import masks as M
 from quillwork.sources.files import _image_facts
 
@@ -122,3 +123,38 @@ def test_fill_covers_the_area():
 def test_columns(spark):
     df = masks(spark, np.ones((3, 4), bool)).withColumn("m2", M.mask_column(F.lit(3), F.lit(4), F.col("mask.counts")))
     assert M.mask_stats(df, "m2").first()["area"] == 12
+
+
+def test_facts_of_a_batch_are_those_of_single_masks():
+    rng = np.random.default_rng(6)
+    sizes, texts = [], []
+    for i in range(400):
+        h, w = rng.integers(1, 40, 2).tolist()
+        cuts = np.sort(rng.integers(0, h * w + 1, rng.integers(0, 9)))
+        sizes.append([h, w])
+        texts.append(counts_text(np.diff([0, *cuts, h * w]).tolist()))
+    texts[5:60:5] = [t + "1" for t in texts[5:60:5]]
+    texts[6:60:7] = [t[:-1] + "\x7f" for t in texts[6:60:7]]
+    texts[7:60:11] = ["".join(map(chr, rng.integers(40, 120, 6))) for _ in texts[7:60:11]]
+    sizes += [None, None, [3], [0, 4], [3, None], [4, 4], [4, 4], [4, 4]]
+    texts += [None, "1", "1", "1", "1", None, "", "日"]
+    got = M.batch_facts(sizes, texts)
+    for i, (size, text) in enumerate(zip(sizes, texts)):
+        try:
+            runs, height, _ = M.checked_runs(size, text)
+            expected = [int(runs[1::2].sum()), *M._extent(runs, height), None]
+        except ValueError as e:
+            expected = [None] * 5 + [None if size is None and text is None else str(e)]
+        assert [None if x is pd.NA else x for x in got.iloc[i]] == expected
+    assert len(M.batch_facts([], [])) == 0
+    joined = [b"".join(p) for _, p in M._parts_of(list(range(5)), [b"aa", b"bbb", b"c", b"dddddd", b"e"], 4)]
+    assert joined == [b"aa", b"bbbc", b"dddddd", b"e"]
+
+
+def test_texts_of_rectangles_are_those_of_their_runs():
+    x, y, w, h = (a.ravel() for a in np.meshgrid([0, 1, 19], [0, 3, 14], [1, 2, 4, 33], [4, 17, 28]))
+    expected = []
+    for a, b, c, d in zip(x.tolist(), y.tolist(), w.tolist(), h.tolist()):
+        runs = [a * HEIGHT + b] + [d, HEIGHT - d] * (c - 1) + [d]
+        expected.append(counts_text(runs + [HEIGHT * WIDTH - sum(runs)]))
+    assert rectangle_texts(x, y, w, h) == expected and rectangle_texts(x[:0], y[:0], w[:0], h[:0]) == []
