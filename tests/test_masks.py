@@ -158,3 +158,35 @@ def test_texts_of_rectangles_are_those_of_their_runs():
         runs = [a * HEIGHT + b] + [d, HEIGHT - d] * (c - 1) + [d]
         expected.append(counts_text(runs + [HEIGHT * WIDTH - sum(runs)]))
     assert rectangle_texts(x, y, w, h) == expected and rectangle_texts(x[:0], y[:0], w[:0], h[:0]) == []
+
+
+def test_zeros_that_lead_a_picture_are_compressed_once():
+    rng = np.random.default_rng(8)
+    M._after_zeros.cache_clear()
+    for top in (0, 40, 200, 210, 300):
+        picture = np.zeros((300, 400), np.uint8)
+        picture[top:top + 30, 100:200] = rng.integers(0, 9, (len(picture[top:top + 30]), 100))
+        body = np.concatenate((np.zeros((300, 1), np.uint8), picture), axis=1).tobytes()
+        assert zlib.compress(body, 6) in M.png_bytes(picture)
+    kept = M._after_zeros.cache_info()
+    assert kept.hits >= 1 and kept.misses == 2
+
+
+def test_only_painted_rows_of_a_layer_are_compressed():
+    rng = np.random.default_rng(9)
+    for top, bottom in ((0, 0), (0, 50), (50, 50), (13, 29), (0, 7), (44, 50)):
+        layer = np.zeros((50, 70), np.uint8)
+        layer[top:bottom] = rng.integers(0, 9, (bottom - top, 70))
+        assert zlib.decompress(M._packed(layer, top, bottom)) == layer.tobytes()
+
+
+def test_pixels_around_a_polygon_are_those_of_the_whole_picture():
+    rng = np.random.default_rng(10)
+    for _ in range(40):
+        points = rng.normal(15, 20, (4, 2))
+        x, y = np.meshgrid(np.arange(37) + 0.5, np.arange(23) + 0.5)
+        odd = np.zeros((23, 37), bool)
+        for (x0, y0), (x1, y1) in zip(points, np.roll(points, -1, axis=0)):
+            odd ^= ((y0 <= y) != (y1 <= y)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
+        rows, columns, inside = M._filled(points, 23, 37)
+        assert (M.fill_polygon(points, 23, 37) == odd).all() and (inside == odd[rows, columns]).all()
