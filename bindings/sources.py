@@ -57,14 +57,22 @@ def src_csv_tolerant(spark, sf):
     return D.parse_lines(csv_lines(spark, sf), COLUMNS)
 
 
+def headed(lines, head):
+    """The lines (value) with the head before the first one of every partition, so in every file written from them; there
+    is a file with the head alone, too."""
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # the lower 33 bits count the rows of a partition
+    text = F.coalesce("value", F.lit(""))
+    led = lines.select(F.when(first, F.concat(F.lit(head + "\n"), text)).otherwise(text).alias("value"))
+    return lines.sparkSession.range(1, numPartitions=1).select(F.lit(head).alias("value")).unionByName(led)
+
+
 def quoted_file(spark, sf, charset):
-    """The path of a file of whole texts in quoted cells with their line breaks; the header leads it."""
+    """The path of files of whole texts in quoted cells with their line breaks; the header leads each."""
     path = new_path(spark, "source") + ".csv"
     quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", "doc_id", quoted, F.coalesce("lang", F.lit("")))
-    head = spark.range(1).select(F.lit("doc_id,text,lang").alias("value"))
-    lines = head.unionByName(load(spark, sf, "documents").select(F.encode(line, charset).cast("string").alias("value")))
-    lines.coalesce(1).write.text(path)
+    lines = load(spark, sf, "documents").select(F.encode(line, charset).cast("string").alias("value"))
+    headed(lines, "doc_id,text,lang").write.text(path)
     return path
 
 
@@ -159,11 +167,10 @@ def src_encoding(spark, sf):
            'key|code|note|KEY' AS columns, 'duplicate column name key' AS problems, 5 AS samples
     FROM f, c GROUP BY r""")
 def src_validate_report(spark, sf):
-    """The check of a file with two lines before its header."""
+    """The check of files with two lines before their header."""
     path = new_path(spark, "source") + ".csv"
-    head = spark.createDataFrame([(-3, "made for"), (-2, "a check"), (-1, "key,code,note,KEY")], "line_no long, value string")
-    lines = head.unionByName(csv_lines(spark, sf)).repartitionByRange(1, "line_no").sortWithinPartitions("line_no")
-    lines.select("value").write.text(path)
+    lines = csv_lines(spark, sf).repartitionByRange("line_no").sortWithinPartitions("line_no")
+    headed(lines, "made for\na check\nkey,code,note,KEY").write.text(path)
     found = D.check_delimited(spark, path)
     return found.select("row_count", "inconsistent_rows", "null_cells", "duplicate_rows", F.array_join("columns", "|").alias("columns"),
                         F.array_join("problems", "|").alias("problems"), F.size("sample").alias("samples"))

@@ -74,8 +74,8 @@ def pair_scores(content: Column) -> Column:
     Pairs are counted by taking them out, each once: a pair of two classes cannot overlap itself, and of a class with
     itself a run of n holds n - 1.
     """
-    kinds = F.translate(bytes_as_chars(content), "".join(map(chr, range(256))), "".join(map(class_of, range(256))))
-    kinds = F.regexp_replace(kinds, "(?<=[bsl])[bsl]++(?=[bsl])|^[bsl]++(?=[bsl])|(?<=[bsl])[bsl]++$", "")  # away from upper bytes
+    edges = F.regexp_replace(bytes_as_chars(content), r"([\x00-\x7f])[\x00-\x7f]*([\x00-\x7f])", "$1$2")  # of runs away from upper bytes
+    kinds = F.translate(edges, "".join(map(chr, range(256))), "".join(map(class_of, range(256))))
 
     def count(k: Column, pair: str) -> Column:
         if pair[0] != pair[1]:
@@ -166,9 +166,12 @@ def upper_half(name: str) -> str:
 def decode_lines(value: Column, name: Column) -> Column:
     """Lines whose bytes are in the encoding ``name``, as text; single-byte encodings stay in the engine."""
     raw = value.cast("binary")
-    upper = "".join(map(chr, range(0x80, 0x100)))
+    chars = bytes_as_chars(raw)
     text = F.when(name == "utf-8", value)
     for single in ("cp1252", "cp1251"):
-        text = text.when(name == single, F.translate(bytes_as_chars(raw), upper, upper_half(single)))
+        known = [(chr(b), c) for b, c in zip(range(0x80, 0x100), upper_half(single)) if chr(b) != c]
+        met = F.translate(chars, "".join(a for a, _ in known), "".join(c for _, c in known))
+        # most lines have none of the characters that differ from Latin-1, and need no step for each character
+        text = text.when(name == single, F.when(F.regexp_like(chars, F.lit("[" + "".join(f"\\x{ord(a):02x}" for a, _ in known) + "]")), met).otherwise(chars))
     others = ~name.isin("utf-8", "cp1252", "cp1251")
     return text.otherwise(_decoded(F.when(others, raw), F.when(others, name))["text"])

@@ -193,3 +193,42 @@ def test_steps(spark):
 def test_records(spark):
     lines = spark.createDataFrame([(0, '{"a": 1}'), (1, "[1]"), (2, '{"a": null}')], "line_no int, value string")
     assert [r["a"] for r in R.parse_records(lines, "a int").orderBy("line_no").collect()] == [1, None]
+
+
+def test_headed_lines_fill_many_files_that_each_have_the_head(spark, tmp_path):
+    from bindings.sources import headed
+
+    rows = spark.range(40, numPartitions=4).select(F.concat(F.lit("r"), "id").alias("value"))
+    headed(rows, "made for\nkey").write.text(str(tmp_path / "many"))
+    headed(rows.limit(0), "key").write.text(str(tmp_path / "none"))
+    texts = [p.read_text() for p in sorted((tmp_path / "many").glob("part*"))]
+    assert len(texts) == 5 and all(t.startswith("made for\nkey\n") and t.count("key") == 1 for t in texts)
+    assert sorted("".join(texts).split()) == sorted([f"r{i}" for i in range(40)] + 5 * ["made", "for", "key"])
+    assert [p.read_text() for p in (tmp_path / "none").glob("part*")] == ["key\n"]
+
+
+def test_pair_scores_are_those_of_all_pairs(spark):
+    import math
+    from collections import Counter
+
+    from quillwork.sources import encodings as E
+
+    texts = [b"", b"plain only", "é".encode("latin-1"), "caf\xe9 \xfc, a\xe9\xe9 b 12 \xdf".encode("latin-1") * 3, b"\xe9 " + b"word " * 4000 + b"\xff"]
+    found = [r["s"] for r in spark.createDataFrame([(bytearray(t),) for t in texts], "b binary").select(E.pair_scores(F.col("b")).alias("s")).collect()]
+    for t, row in zip(texts, found):
+        kinds = "".join(map(E.class_of, t))
+        counted = Counter(zip(kinds, kinds[1:]))
+        for name, weights in E.pair_weights().items():
+            assert math.isclose(row[name], sum(counted[a, b] * w for (a, b), w in weights.items()), abs_tol=1e-6)
+
+
+def test_pair_scores_keep_no_long_runs(spark, monkeypatch):
+    """What pairs are counted in holds two characters at most of a run without upper bytes."""
+    from quillwork.sources import encodings as E
+
+    seen = []
+    translate = F.translate
+    monkeypatch.setattr(E.F, "translate", lambda c, a, b: seen.append(c) or translate(c, a, b))
+    E.pair_scores(F.col("b"))
+    df = spark.createDataFrame([(bytearray(b"\xe9" + b"word " * 400 + b"\xff" + b"tail " * 400),)], "b binary")
+    assert len(df.select(seen[0]).first()[0]) == 6
