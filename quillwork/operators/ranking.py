@@ -117,13 +117,23 @@ def _order(order_by: Sequence[str]) -> list[Column]:
     return [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order_by]
 
 
-def store_pages(df: DataFrame, order_by: Sequence[str], path: str | None = None, rows_per_part: int = 100_000) -> Pages:
+PARTS, PART_ROWS = 256, 100_000  # stored parts up to which few rows a part are kept to, and rows a part beyond
+
+
+def part_count(rows: int, rows_per_part: int) -> int:
+    """Parts of ``rows_per_part`` rows, but more than ``PARTS`` only as far as they have ``PART_ROWS`` rows."""
+    wanted = -(-rows // rows_per_part)
+    return max(1, min(wanted, max(PARTS, -(-rows // PART_ROWS))))
+
+
+def store_pages(df: DataFrame, order_by: Sequence[str], path: str | None = None, rows_per_part: int = PART_ROWS) -> Pages:
     """Store ``df`` once in the (total) order for pages at any depth; ``-name`` stands for descending.
 
-    The directory has one entry per part, so one for ``rows_per_part`` rows.
+    The directory has one entry per part. Parts have ``rows_per_part`` rows, or more where that would make very many
+    small files.
     """
     spark = df.sparkSession
-    parts = max(1, -(-df.count() // rows_per_part))
+    parts = part_count(df.count(), rows_per_part)
     order = _order(order_by)
     path = path or new_path(spark, "pages")
     ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)

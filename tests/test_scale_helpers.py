@@ -179,3 +179,11 @@ def test_a_pair_of_parts_gives_k_rows_a_query_over_all_its_cells():
         order = sorted((-round(float(p[rows[i]] @ p[j]), 12), ids[j]) for j in range(600) if ids[j] != ids[rows[i]])[:3]
         assert mine["query_id"].tolist() == [ids[rows[i]]] * 3
         assert [(-round(x, 12), y) for x, y in zip(mine["similarity"], mine["point_id"])] == order
+
+
+def test_small_parts_do_not_make_ever_more_files():
+    from quillwork.operators.ranking import PART_ROWS, PARTS, part_count
+
+    assert [part_count(n, 40) for n in (0, 1, 40, 41, 4000)] == [1, 1, 1, 2, 100]
+    assert part_count(40 * PARTS * 50, 40) == PARTS and part_count(PART_ROWS * PARTS * 3, 40) == PARTS * 3
+    assert part_count(PART_ROWS * 10, PART_ROWS) == 10
