@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialise
 
 SEEDS = 10_000  # rows that first centres are drawn from
+ROWS = 1024  # points whose distances are held at once
 SAMPLED = 2000  # points whose silhouette is computed
 
 
@@ -31,6 +33,16 @@ def _square_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, norms: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each start, for the points that are the columns of ``x``: the nearest of its centres and its squared distance."""
+    far = np.maximum((x * x).sum(axis=0) - 2 * (centres @ x) + norms, 0).reshape(starts, -1, x.shape[1])
+    near, cost = np.zeros((starts, x.shape[1]), dtype=np.int32), far[:, 0].copy()
+    for j in range(1, far.shape[1]):  # a later centre only where it is nearer
+        np.copyto(near, j, where=far[:, j] < cost)
+        np.minimum(cost, far[:, j], out=cost)
+    return near, cost
+
+
 def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """``k`` rows, each drawn with a chance that grows with the squared distance to those drawn before."""
     chosen = [x[rng.integers(len(x))]]
@@ -51,21 +63,23 @@ def _round(flat: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, tuple[n
     shared = flat.sparkSession.sparkContext.broadcast(centres)
     k, d = next(iter(centres.values())).shape
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {s: np.zeros((k, d)) for s in shared.value}
-        counts, costs = {s: np.zeros(k) for s in shared.value}, {s: np.zeros(k) for s in shared.value}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, all_ = list(shared.value), np.concatenate(list(shared.value.values()))
+        norms, numbers = (all_ * all_).sum(axis=1)[:, None], np.arange(k, dtype=np.int32)[:, None]
+        total = np.zeros((len(all_), d + 2))
         for batch in batches:
-            x = batch.to_numpy(np.float64)
-            for s, c in shared.value.items():
-                far = _square_distances(x, c)
-                near = far.argmin(axis=1)
-                sums[s] += (near[:, None] == np.arange(k)).T.astype(np.float64) @ x
-                counts[s] += np.bincount(near, minlength=k)
-                costs[s] += np.bincount(near, far[np.arange(len(x)), near], minlength=k)
-        rows = [(s, j, [*sums[s][j], counts[s][j], costs[s][j]]) for s in sums for j in range(k) if counts[s][j]]
-        yield pd.DataFrame(rows, columns=["start", "cluster", "sums"])
-
-    parts = flat.mapInPandas(work, "start int, cluster int, sums array<double>")
+            whole = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for begin in range(0, whole.shape[1], ROWS):
+                x = np.ascontiguousarray(whole[:, begin:begin + ROWS])
+                near, cost = _nearest(x, all_, norms, len(starts))
+                mine = (near[:, None, :] == numbers).astype(np.float64)
+                total[:, :d + 1] += mine.reshape(len(all_), -1) @ np.vstack([x, np.ones(x.shape[1])]).T
+                total[:, d + 1] += (mine @ cost[:, :, None]).ravel()
+        rows = [(starts[i // k], i % k, total[i].tolist()) for i in range(len(all_)) if total[i, d]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (
+            pa.int32(), pa.int32(), pa.list_(pa.float64())))], names=["start", "cluster", "sums"])
+
+    parts = flat.mapInArrow(work, "start int, cluster int, sums array<double>")
     added = parts.groupBy("start", "cluster").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(d + 2)]).collect()
     out = {s: (np.zeros((k, d)), np.zeros(k), 0.0) for s in centres}
     for r in added:  # a row for each start and cluster
