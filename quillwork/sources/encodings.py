@@ -11,7 +11,7 @@ import math
 from collections import Counter
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,21 +132,27 @@ def encoding_name(content: Column) -> Column:
 _TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())])
 
 
-@F.pandas_udf(_TEXT)
-def _decoded(content: pd.Series, name: pd.Series) -> pd.DataFrame:
+DECODED = 256  # files whose text is held beside their bytes
+
+
+@F.arrow_udf(_TEXT)
+def _decoded(content: pa.Array, name: pa.Array) -> pa.Array:
     """Text by the codec named; where that fails UTF-8, where that fails Latin-1, which never does."""
-    rows = []
-    for raw, first in zip(content, name):
-        row = (None, None)
-        for known in (first, "utf-8", LAST) if raw is not None else ():
-            try:
-                text = bytes(raw).decode(known.removesuffix(" (no BOM)"))
-            except UnicodeDecodeError:
-                continue
-            row = (text.replace("\x00", ""), known)
-            break
-        rows.append(row)
-    return pd.DataFrame(rows, columns=["text", "encoding"])
+    parts = []
+    for begin in range(0, len(content), DECODED):
+        rows = []
+        for raw, first in zip(content.slice(begin, DECODED).to_pylist(), name.slice(begin, DECODED).to_pylist()):
+            row = (None, None)
+            for known in (first, "utf-8", LAST) if raw is not None else ():
+                try:
+                    text = raw.decode(known.removesuffix(" (no BOM)"))
+                except UnicodeDecodeError:
+                    continue
+                row = (text.replace("\x00", ""), known)
+                break
+            rows.append(row)
+        parts.append(pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["text", "encoding"]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("encoding", pa.string())]))
 
 
 def decode_bytes(content: Column) -> Column:
