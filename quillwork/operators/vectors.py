@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import balance, materialise
+from ..scratch import balance, materialise, spread
 from .clusters import best_of_starts, nearest_centre
 from .columnstats import cell, field_kinds, numeric_columns, present, text_columns, wide_stats
 from .neighbors import knn_join
@@ -23,6 +24,7 @@ MIN_TEXT_LENGTH = 20
 MAX_TERMS = 5000  # size of a vocabulary unless the caller asks for more
 SVD_SIZE = 128
 MAX_FEATURES = 50
+ENCODED = 512  # items an encoder is given at once
 PAYLOAD_CHARS = 500
 MAX_WIDTH = 50_000  # bound of what is sent to every task
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -42,8 +44,10 @@ def stop_words() -> list[str]:
 
 def term_counts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, term, tf) without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
-    flat = balance(df.select(doc_id, text)).select(cell(doc_id).alias("doc_id"), F.explode_outer(words).alias("term")).filter("term is not null")
+    words = F.regexp_extract_all(F.lower("_text"), F.lit(f"({WORD})"), F.lit(1))
+    # texts travel once to the tasks of their documents, where all that follows for a document is done
+    placed = spread(df.select(cell(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null"), "doc_id")
+    flat = placed.select("doc_id", F.explode_outer(words).alias("term")).filter("term is not null")
     stops = [w for w in stop_words() if len(w) > 1]
     return flat.filter(~F.col("term").isin(stops)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
@@ -139,11 +143,11 @@ def embed(df: DataFrame, item_id: str, item: str, encoder: Encoder, tasks: int |
     The encoder is made once per task. Items that cannot be encoded are dropped by id; a failing batch is
     retried item by item.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
-            batch = batch[batch[item].notna()]
-            items = list(batch[item])
+        for batch in (b.slice(begin, ENCODED) for b in batches for begin in range(0, b.num_rows, ENCODED)):
+            given = batch.column(1).to_pandas()
+            items = list(given[given.notna()])
             try:
                 found = list(encode(items))
             except Exception:  # noqa: BLE001
@@ -153,12 +157,13 @@ def embed(df: DataFrame, item_id: str, item: str, encoder: Encoder, tasks: int |
                         found.append(encode([one])[0])
                     except Exception:  # noqa: BLE001
                         found.append(None)
-            rows = [(i, [float(x) for x in v]) for i, v in zip(batch[item_id], found) if v is not None]
-            yield pd.DataFrame(rows, columns=["item_id", "vector"])
+            rows = [(i, [float(x) for x in v]) for i, v in zip(np.flatnonzero(given.notna()), found) if v is not None]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())),
+                                              pa.array([v for _, v in rows], pa.list_(pa.float64()))], names=["item_id", "vector"])
 
     kind = df.schema[item_id].dataType.simpleString()
     picked = df.select(item_id, item)
-    raw = (picked.repartition(tasks) if tasks else balance(picked)).mapInPandas(run, f"item_id {kind}, vector array<double>")
+    raw = (picked.repartition(tasks) if tasks else balance(picked)).mapInArrow(run, f"item_id {kind}, vector array<double>")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     return raw.withColumn("_n", norm).select("item_id", F.when(
         F.col("_n") > 0, F.transform("vector", lambda x: x / F.col("_n"))).otherwise(F.col("vector")).alias("vector"))
