@@ -35,3 +35,26 @@ def test_sampled_silhouette_lies_within_its_bound(spark):
     assert abs(exact.silhouette - part.silhouette) <= part.bound
     one = placed.withColumn("cluster", F.lit(1))
     assert C.euclidean_silhouette(one).first().silhouette == -1
+
+
+def test_nearest_centres_of_all_starts_at_once():
+    rng = np.random.default_rng(4)
+    x, centres = rng.normal(size=(300, 3)), rng.normal(size=(4, 5, 3))
+    centres[2, 3] = centres[2, 1]  # a tie goes to the first
+    flat = centres.reshape(20, 3)
+    near, cost = C._nearest(x.T.copy(), flat, (flat * flat).sum(axis=1)[:, None], 4)
+    plain = ((x[None, :, None, :] - centres[:, None, :, :]) ** 2).sum(axis=3)
+    assert (near == plain.argmin(axis=2)).all() and np.allclose(cost, plain.min(axis=2))
+
+
+def test_a_round_adds_up_the_points_of_each_centre(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 2))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "x0 double, x1 double").repartition(3)
+    centres = {1: x[:4].copy(), 7: np.vstack([x[4:7], [[99.0, 99.0]]])}
+    for s, (sums, counts, cost) in C._round(df, centres).items():
+        far = ((x[:, None, :] - centres[s]) ** 2).sum(axis=2)
+        near = far.argmin(axis=1)
+        assert counts.tolist() == np.bincount(near, minlength=4).tolist() and np.isclose(cost, far.min(axis=1).sum())
+        assert np.allclose(sums, [x[near == j].sum(axis=0) for j in range(4)])
+    assert {s: c.sum() for s, (_, c, _) in C._round(df.limit(0), centres).items()} == {1: 0, 7: 0}

@@ -232,3 +232,16 @@ def test_pair_scores_keep_no_long_runs(spark, monkeypatch):
     E.pair_scores(F.col("b"))
     df = spark.createDataFrame([(bytearray(b"\xe9" + b"word " * 400 + b"\xff" + b"tail " * 400),)], "b binary")
     assert len(df.select(seen[0]).first()[0]) == 6
+
+
+def test_files_are_decoded_in_slices_of_a_batch():
+    import pyarrow as pa
+
+    from quillwork.sources import encodings as E
+
+    texts = [None if i % 7 == 0 else f"é {i}" for i in range(2 * E.DECODED + 3)]
+    raw = pa.array([None if t is None else t.encode("utf-16") for t in texts], pa.binary())
+    found = E._decoded.func(raw, pa.array(["utf-16"] * len(texts)))
+    assert found.field("text").to_pylist() == texts and set(found.field("encoding").to_pylist()) == {None, "utf-16"}
+    assert E._decoded.func(pa.array([b"\xff\xe9"]), pa.array(["cp1251"])).to_pylist()[0]["text"] == "яй"
+    assert len(E._decoded.func(raw[:0], pa.array([], pa.string()))) == 0

@@ -156,3 +156,29 @@ def test_kmeans_edges(spark):
     out, facts = V.kmeans(two, 5)
     assert facts["n_clusters"] == 2 and facts["inertia"] == pytest.approx(0) and V.silhouette(out) == pytest.approx(1)
     assert sorted(r["size"] for r in V.cluster_sizes(out).collect()) == [5, 5]
+
+
+def test_encoders_get_few_items_at_once(spark):
+    from quillwork.operators import vectors as V
+
+    def encoder():
+        def encode(items):
+            if any(i == "t13" for i in items):
+                raise ValueError("cannot be read")
+            return [[float(len(items)), 1.0] for _ in items]
+        return encode
+
+    df = spark.range(2000, numPartitions=1).selectExpr("id", "if(id % 50 = 0, null, concat('t', id)) as t")
+    rows = V.embed(df, "id", "t", encoder, 1).collect()
+    assert sorted(r["item_id"] for r in rows) == [i for i in range(2000) if i % 50 and i != 13]
+    assert max(r["vector"][0] / r["vector"][1] for r in rows) <= V.ENCODED + 0.01
+
+
+def test_texts_travel_and_their_terms_do_not(spark):
+    from quillwork.operators import vectors as V
+
+    df = spark.createDataFrame([(1, "red red fish"), (1, "fish pond"), (2, None), (None, "red")], "d long, t string")
+    counts = V.term_counts(df, "d", "t")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "_text" in plan
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted([(1, "red", 2), (1, "fish", 2), (1, "pond", 1), (None, "red", 1)], key=str)
