@@ -8,8 +8,9 @@
 3. In each bucket every line is first paired with the smallest and with the next one, which spans the bucket.
 4. The lines that are in some pair (few) are fetched, and the exact Jaccard similarity of their shingle sets is
    computed; pairs at or above the threshold are links.
-5. Buckets that these links do not join into one component are settled: all pairs of different components are checked,
-   in buckets of more than ``CROWD`` lines those that an exact join by the rarest shingles (prefix filter) leaves.
+5. Buckets that these links do not join into one component are settled: all pairs of different components are checked.
+   Buckets of more than ``CROWD`` lines are cut into blocks: every block of lines outside the bucket's largest component
+   meets every block of the bucket in a task, which counts the shingles in common and keeps the links that span.
 6. Connected components of the links. The first occurrence of a component stays, all other occurrences of its lines go.
 
 With 16 bands of 6 cells a pair of similarity 0.8 is found with probability 0.992, of 0.85 with 0.9995.
@@ -31,6 +32,7 @@ from .components import components
 SHINGLE, BANDS, ROWS = 5, 16, 6
 CELLS = BANDS * ROWS
 CROWD = 32  # lines of a bucket that are all paired where its first links leave it apart
+BLOCK = 1024  # lines of a larger bucket that meet as many others in one task
 EMPTY = np.uint32(0xFFFFFFFF)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -72,8 +74,8 @@ def _probes(tries: int = 96) -> np.ndarray:
     return np.random.default_rng(11).integers(0, CELLS, (tries, CELLS), dtype=np.int16)
 
 
-def signatures(lines: list[str], probes: np.ndarray) -> np.ndarray:
-    """(lines, CELLS) of 32-bit minima."""
+def hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of all shingles, repeats included, and the line of each; short lines are filled up with zeros."""
     sizes = np.array([len(x) for x in lines], dtype=np.int64)
     joined = "".join(x + "\0" * max(0, SHINGLE - len(x)) for x in lines)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -91,7 +93,12 @@ def signatures(lines: list[str], probes: np.ndarray) -> np.ndarray:
     for i in range(1, SHINGLE):
         inside[ends - i] = False  # would reach into the next line
     inside = inside[:n]
-    hashed, line = hashed[inside], line[inside]
+    return hashed[inside], line[inside]
+
+
+def signatures(lines: list[str], probes: np.ndarray) -> np.ndarray:
+    """(lines, CELLS) of 32-bit minima."""
+    hashed, line = hashed_shingles(lines)
     cell = ((hashed >> np.uint64(32)) * np.uint64(CELLS)) >> np.uint64(32)
     out = np.full(len(lines) * CELLS, EMPTY, dtype=np.uint32)
     np.minimum.at(out, line * CELLS + cell.astype(np.int64), (hashed & np.uint64(0x7FFFFFFF)).astype(np.uint32))
@@ -201,13 +208,103 @@ def _unsettled(pairs: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFram
     return stored(placed.join(apart.select("least", "n"), "least"), "line-crowds")
 
 
+def common_shingles(rows: list[str], columns: list[str], at_once: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles that every row has in common with every column, and how many each row and column has.
+
+    ``at_once`` shingles are counted together, so the indicator matrices take little room.
+    """
+    lines, n = [*rows, *columns], len(rows)
+    number, line = hashed_shingles(lines)
+    # a short line is its own shingle, whatever a longer one with zeros has
+    number = number ^ np.array([len(x) < SHINGLE for x in lines])[line] * _M2
+    order = np.lexsort((line, number))
+    number, line = number[order], line[order]
+    new = np.concatenate([[True], (number[1:] != number[:-1]) | (line[1:] != line[:-1])])
+    number, line = number[new], line[new]
+    sizes = np.bincount(line, minlength=len(lines))
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    left = line < n
+    rank = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(number))))
+    both = np.minimum(np.bincount(rank[left], minlength=len(starts)), np.bincount(rank[~left], minlength=len(starts))) > 0
+    place = np.cumsum(both) - 1
+    keep = both[rank]
+    rank, line = place[rank[keep]], line[keep]
+    common = np.zeros((n, len(columns)), dtype=np.float32)
+    for a in range(0, int(both.sum()), at_once):
+        some = slice(*np.searchsorted(rank, (a, a + at_once)))
+        has = np.zeros((len(lines), at_once), dtype=np.float32)
+        has[line[some], rank[some] - a] = 1
+        common += has[:n] @ has[n:].T
+    return common, sizes[:n], sizes[n:]
+
+
+def block_links(key: tuple, rows: pa.Table, threshold: float) -> pa.Table:
+    """(a, b): of the lines (side, node, root, line) of two blocks, links that join as many roots as all their links do."""
+    side = np.array(rows["side"])
+    node, root = (np.array(rows[c]) for c in ("node", "root"))
+    lines = rows["line"].to_pylist()
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(one) and len(two):
+        common, n, m = common_shingles([lines[i] for i in one], [lines[i] for i in two])
+        near = common >= threshold * (n[:, None] + m[None, :] - common) - 1e-6
+        i, j = np.nonzero(near & (root[one][:, None] != root[two][None, :]))
+        a, b = one[i], two[j]
+    if len(a):
+        _, number = np.unique(root, return_inverse=True)
+        low, high = np.minimum(number[a], number[b]), np.maximum(number[a], number[b])
+        _, first = np.unique(low * len(number) + high, return_index=True)  # one link for two roots
+        a, b, low, high = a[first], b[first], low[first], high[first]
+        label = np.arange(len(number))
+        spans = []
+        for at, (x, y) in enumerate(zip(low.tolist(), high.tolist())):
+            while label[x] != x:
+                label[x] = x = label[label[x]]
+            while label[y] != y:
+                label[y] = y = label[label[y]]
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                spans.append(at)
+        a, b = node[a[spans]], node[b[spans]]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def crowded_pairs(crowded: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join what all links between different roots of a bucket (least, n, node, root) join.
+
+    Every line is compared with every line of its bucket but those of its root; lines of the bucket's largest root need
+    not be compared with each other. No task has more than about ``block`` lines of either side.
+    """
+    main = crowded.groupBy("least", "root").agg(F.count("*").alias("size")).groupBy("least").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"), (F.sum("size") - F.max("size")).alias("others"))
+    # written, so that nothing is done to the lines of other buckets
+    whole = stored(crowded.join(texts.select("node", "line"), "node").join(main, "least"), "line-blocks", "zstd")
+
+    def cut(count: str):
+        return F.ceil(F.col(count) / block).cast("int")
+
+    def own(count: str):
+        return F.pmod(F.xxhash64("node"), cut(count)).cast("int")
+
+    def all_of(count: str):
+        return F.explode(F.sequence(F.lit(0), cut(count) - 1))
+
+    one = whole.filter("root <> main").select("least", own("others").alias("i"), all_of("n").alias("j"), F.lit(0).alias("side"), "node", "root", "line")
+    two = whole.select("least", all_of("others").alias("i"), own("n").alias("j"), F.lit(1).alias("side"), "node", "root", "line")
+    found = one.unionByName(two).groupBy("least", "i", "j").applyInArrow(
+        lambda key, rows: block_links(key, rows, threshold), "a long, b long")
+    return found.distinct()
+
+
 def _open_pairs(apart: DataFrame, texts: DataFrame, threshold: float, crowd: int) -> DataFrame:
-    """(a, b): the pairs of different components that may be linked, of the buckets of ``_unsettled``."""
+    """(a, b): the pairs of different components that may be linked, of the buckets of ``_unsettled``.
+
+    Of buckets with more than ``crowd`` lines those that span what is linked are enough.
+    """
     few = apart.filter(F.col("n") <= crowd)
     one, two = (few.select("least", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
     pairs = one.join(two, "least").filter("a < b and root_a <> root_b").select("a", "b")
-    crowded = apart.filter(F.col("n") > crowd).select("node", "root").distinct()
-    return pairs.unionByName(prefix_pairs(crowded.join(texts.select("node", "line"), "node"), threshold)).distinct()
+    return pairs.unionByName(crowded_pairs(apart.filter(F.col("n") > crowd), texts, threshold)).distinct()
 
 
 def prefix_pairs(lines: DataFrame, threshold: float) -> DataFrame:

@@ -174,6 +174,39 @@ def test_links_in_crowded_buckets_are_found(spark):
     assert linked <= {(r.a, r.b) for r in linededup.prefix_pairs(lines, 0.8).collect()} and len(linked) >= 20
 
 
+def test_blocks_of_a_crowded_bucket_give_spanning_links(spark):
+    """Links of any two blocks are found, and no more pairs come out than are needed to join what they link."""
+    rng, lines = np.random.default_rng(5), {}
+    for _ in range(4):
+        base = rng.choice(list("abcdefgh "), 120)
+        for _ in range(25):
+            line = base.copy()
+            line[rng.integers(0, 120, 3)] = rng.choice(list("uvwxyz"), 3)
+            lines[len(lines) + 1] = "".join(line)
+    lines |= {901: "ab", 902: "ab\0\0\0", 903: "abc", 904: "ab\U0001F600" * 9, 905: "ab\U0001F600" * 9 + "b"}
+    texts = spark.createDataFrame(list(lines.items()), "node long, line string")
+    crowded = texts.selectExpr("1L as least", f"{len(lines)}L as n", "node", "if(node between 1 and 20, 1L, node) as root")
+    sets = {i: linededup.shingles(t) for i, t in lines.items()}
+    want = Union(1000)
+    for i in range(2, 21):
+        want.join(1, i)
+    for a in lines:
+        for b in lines:
+            if a < b and linededup.jaccard(sets[a], sets[b]) >= 0.8:
+                want.join(a, b)
+    for block in (7, 40, 1024):
+        found = [(r.a, r.b) for r in linededup.crowded_pairs(crowded, texts, 0.8, block).collect()]
+        assert all(linededup.jaccard(sets[a], sets[b]) >= 0.8 for a, b in found)
+        got = Union(1000)
+        for i in range(2, 21):
+            got.join(1, i)
+        for a, b in found:
+            got.join(a, b)
+        assert {(a, b) for a in lines for b in lines if got.find(a) == got.find(b)} == {
+            (a, b) for a in lines for b in lines if want.find(a) == want.find(b)}
+        assert block < 1024 or len(found) < len(lines)  # one task: a forest
+
+
 def test_signature_recall():
     rng = np.random.default_rng(4)
     found = total = 0
