@@ -337,6 +337,13 @@ def test_repeats_of_empty_tables(spark):
     assert suffix_rows(spark.createDataFrame([], DOCS)) == Counter()
 
 
+def test_anchors_fill_all_parts_alike():
+    data = np.random.default_rng(2).integers(97, 123, 400_000, dtype=np.uint8).tobytes()
+    hashed, anchor, exists = suffix_dedup.window_anchors(data, np.array([len(data)]), 50)
+    sizes = np.bincount(suffix_dedup._part(hashed[np.unique(anchor[exists])], 64), minlength=64)
+    assert sizes.min() > 0.7 * sizes.mean() and sizes.max() < 1.3 * sizes.mean()
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(8)
     texts = [bytes(rng.integers(97, 99, rng.integers(50, 90), dtype=np.uint8)) for _ in range(30)] * 2
