@@ -337,6 +337,21 @@ def test_repeats_of_empty_tables(spark):
     assert suffix_rows(spark.createDataFrame([], DOCS)) == Counter()
 
 
+def test_places_travel_packed_for_groups_of_documents():
+    """A part gives a row a group of documents, not one a document, and documents come back whole."""
+    rng = np.random.default_rng(6)
+    ids = np.stack([rng.integers(-500, 500, 5000), rng.integers(0, 2, 5000)], axis=1)
+    places = rng.integers(0, 1 << 32, 5000).astype("<u4")
+    packed = [suffix_dedup._by_document(ids[at::3], places[at::3], 8) for at in range(3)]
+    assert [len(p) for p in packed] == [8, 8, 8] and not len(suffix_dedup._by_document(ids[:0], places[:0], 8))
+    found = [suffix_dedup.gathered(rows, 4) for _, rows in pd.concat(packed).groupby("bucket")]
+    got = {(r.id, r.digest): sorted(np.frombuffer(r.data, "<u4").tolist()) for f in found for r in f.itertuples()}
+    want = {}
+    for (i, d), at in zip(ids.tolist(), places.tolist()):
+        want.setdefault((i, d), []).append(at)
+    assert sum(map(len, found)) == len(want) and got == {k: sorted(v) for k, v in want.items()}
+
+
 def test_anchors_fill_all_parts_alike():
     data = np.random.default_rng(2).integers(97, 123, 400_000, dtype=np.uint8).tobytes()
     hashed, anchor, exists = suffix_dedup.window_anchors(data, np.array([len(data)]), 50)
