@@ -185,6 +185,53 @@ def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
     assert Fi.write_files(pieces.limit(0), str(tmp_path / "nothing")) == 0
 
 
+def test_many_small_files_take_few_archives(spark, tmp_path):
+    import hashlib
+    import os
+    import zipfile
+
+    from bindings import exports
+    from quillwork.sinks import files as Fi
+
+    small = spark.range(6000).selectExpr("concat('d', id % 3, '/f', id % 1000, '.txt') as path", "1 as place", "id as seq",
+                                         "concat('line ', id, ' é') as line")
+    long = spark.range(5000).selectExpr("'d1/long.txt' as path", "2 as place", "id as seq", "repeat(cast(id as string), 100) as line")
+    heads = spark.createDataFrame([("empty.txt", 0, None, None), (None, 0, None, "lost")], "path string, place int, seq long, line string")
+    pieces = small.unionByName(long).unionByName(heads)
+    expected = {"empty.txt": "", "d1/long.txt": "".join(f"{str(i) * 100}\n" for i in range(5000))}
+    for i in range(6000):
+        name = f"d{i % 3}/f{i % 1000}.txt"
+        expected[name] = expected.get(name, "") + f"line {i} é\n"
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        archives = Fi.write_archives(pieces, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = {}
+    for name in [r["archive"] for r in archives.collect()]:
+        with zipfile.ZipFile(tmp_path / "out" / name) as archive:
+            assert archive.testzip() is None and not set(archive.namelist()) & set(found)
+            found |= {n: archive.read(n).decode() for n in archive.namelist()}
+    assert found == expected
+    assert sorted(os.listdir(tmp_path / "out")) == ["_writing", *sorted(r["archive"] for r in archives.collect())]
+    assert not os.listdir(tmp_path / "out/_writing")
+    # the query's files: a handful of archives instead of 3002 blocks of the disk
+    made = []
+    keep, exports.new_path = exports.new_path, lambda *a: made.append(str(tmp_path / "query")) or made[0]
+    try:
+        rows = exports.packed_files(spark, pieces).collect()
+    finally:
+        exports.new_path = keep
+    assert {(r["path"], r["size"], r["digest"]) for r in rows} == {
+        (p, len(c.encode()), hashlib.md5(c.encode()).hexdigest()) for p, c in expected.items()}
+    assert len(rows) == len(expected) == 3002 and len([f for _, _, fs in os.walk(made[0]) for f in fs]) < 100
+    broken = pieces.withColumn("line", F.when(F.col("seq") < 4990, F.col("line")).otherwise(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        Fi.write_archives(broken, str(tmp_path / "none"))
+    assert [f for _, _, fs in os.walk(tmp_path / "none") for f in fs] == []
+    assert Fi.write_archives(pieces.limit(0), str(tmp_path / "nothing")).count() == 0
+
+
 def test_a_long_file_is_written_by_many_tasks(spark, tmp_path):
     from quillwork.sinks import files as Fi
 
