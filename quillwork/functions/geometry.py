@@ -28,8 +28,11 @@ def rect(x: Column, y: Column, w: Column, h: Column) -> Column:
 
 def bounds(points: Column) -> Column:
     """Bounding rectangle of the points."""
-    a, b = xs(points), ys(points)
-    return rect(F.array_min(a), F.array_min(b), F.array_max(a) - F.array_min(a), F.array_max(b) - F.array_min(b))
+    def around(p: Column) -> Column:
+        a, b = xs(p), ys(p)
+        return rect(F.array_min(a), F.array_min(b), F.array_max(a) - F.array_min(a), F.array_max(b) - F.array_min(b))
+
+    return F.get(F.transform(F.array(points), around), F.lit(0))  # named once, so the points are worked out once
 
 
 def polygon_area(points: Column) -> Column:

@@ -75,6 +75,15 @@ def with_rect(annotations: DataFrame, name: str = "rect") -> DataFrame:
     return annotations.withColumn(name, rect).drop("_m")
 
 
+def has_rect(annotations: DataFrame) -> Column:
+    """Whether ``with_rect`` gives these annotations a rectangle; without masks told by the sides and points alone."""
+    if "mask" in annotations.columns:
+        return F.col("rect").isNotNull()
+    sides = [F.col(c).isNotNull() for c in ("x", "y", "w", "h")]
+    return ((F.col("kind") == "bbox") & sides[0] & sides[1] & sides[2] & sides[3]) | (
+        (F.col("kind") == "polygon") & (F.size("points") >= 2))
+
+
 def polygon_facts(annotations: DataFrame) -> DataFrame:
     """(ann_key, area, x, y, w, h) of the polygons."""
     points = F.col("points")

@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.text import json_text, xml_escape
-from ..operators.annotations import SPLITS, with_rect
+from ..operators.annotations import SPLITS, has_rect, with_rect
 from ..operators.masks import mask_facts, mask_polygons
-from ..operators.ranking import with_rank
+from ..operators.ranking import with_rank, with_running_total
 from ..scratch import materialise
 from . import pieces as P
 
 UNLABELED = "_unlabeled_"
+CROWDED = 100_000  # annotations of an image that one task numbers
 
 
 # ---- selection ----------------------------------------------------------------------------------
@@ -66,7 +67,8 @@ def unique_names(images: DataFrame, order_by: Sequence[str] = ("asset_id",)) ->
     base = F.element_at(F.split(F.coalesce("file_name", F.concat(F.col("asset_id").cast("string"), F.lit(".jpg"))), "/"), -1)
     stem = F.regexp_extract(base, r"^(.+?)(\.[^.]*)?$", 1)
     ext = F.regexp_extract(base, r"^.+?(\.[^.]*)?$", 1)
-    named = images.withColumns({"_stem": stem, "ext": ext})
+    # written, since the rows are sampled for their ranges, ranged, and read once more for the numbers
+    named = materialise(images.withColumns({"_stem": stem, "ext": ext}), "stems")
     ranked = with_rank(named, [F.col(c) for c in order_by], ["_stem"], "_r")
     own = named.select(F.regexp_extract("_stem", r"^(.+)_([1-9]\d{0,17})$", 1).alias("_base"),
                        F.regexp_extract("_stem", r"^(.+)_([1-9]\d{0,17})$", 2).alias("_no")).filter("_base <> ''")
@@ -84,13 +86,21 @@ def name_collisions(named: DataFrame) -> DataFrame:
     return named.groupBy("stem").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def _objects(annotations: DataFrame, images: DataFrame, classes: DataFrame) -> DataFrame:
-    """Annotations that are not classifications, with image facts, class index and rectangle."""
-    facts = images.select("asset_id", "stem", "ext", "width", "height", split_of(F.col("split")).alias("split"))
+def _shapes(annotations: DataFrame, classes: DataFrame) -> DataFrame:
+    """Annotations that are not classifications, with class index and rectangle."""
     index = classes.select("class_index", F.col("name").alias("class_name"))
     shapes = with_rect(annotations.filter("kind <> 'classification'"))
-    return shapes.join(facts, "asset_id").join(index, "class_name", "left").withColumn(
-        "class_index", F.coalesce("class_index", F.lit(0)))
+    # a row a class; the shapes are not shuffled by the few names
+    return shapes.join(F.broadcast(index), "class_name", "left").withColumn("class_index", F.coalesce("class_index", F.lit(0)))
+
+
+def _image_facts(images: DataFrame) -> DataFrame:
+    return images.select("asset_id", "stem", "ext", "width", "height", split_of(F.col("split")).alias("split"))
+
+
+def _objects(annotations: DataFrame, images: DataFrame, classes: DataFrame) -> DataFrame:
+    """The shapes of the images, with image facts."""
+    return _shapes(annotations, classes).join(_image_facts(images), "asset_id")
 
 
 def skipped(annotations: DataFrame) -> DataFrame:
@@ -155,12 +165,22 @@ def coco_categories(classes: DataFrame) -> DataFrame:
 
 
 def coco_annotations(numbered: DataFrame, images: DataFrame, annotations: DataFrame, classes: DataFrame,
-                     seq: str = "ann_key") -> DataFrame:
+                     seq: str = "ann_key", crowded: int = CROWDED) -> DataFrame:
     """(split, id, image_id, category_id, bbox, area, segmentation, iscrowd), pixels with 2 decimals.
 
-    ``numbered`` is the result of ``coco_images``; ids are exact positions in (image, seq) order.
+    ``numbered`` is the result of ``coco_images``; ids are exact positions in (image, seq) order: the objects of the images
+    before, by a running total over images, and the place in the image. Where an image has more than ``crowded`` objects,
+    or an asset is more than one image, all objects are ranked over all partitions.
     """
-    objects = _objects(annotations, _sized(images), classes).filter("rect is not null")
+    shapes = _shapes(annotations, classes).filter(has_rect(annotations))
+    facts = _image_facts(_sized(images)).join(numbered.select("asset_id", F.col("id").alias("image_id")), "asset_id")
+    owners = facts.join(shapes.groupBy("asset_id").agg(F.count("*").alias("_n")), "asset_id")
+    owners = materialise(owners.withColumn("_copies", F.count("*").over(Window.partitionBy("asset_id"))), "coco-owners")
+    plain = owners.filter((F.col("_n") > crowded) | (F.col("_copies") > 1)).limit(1).count() == 0
+    if plain:
+        owners = with_running_total(owners, "_n", [F.col("image_id")], ["split"], "_upto")
+        owners = owners.withColumn("_before", F.col("_upto") - F.col("_n")).drop("_upto")
+    owners = owners.drop("_n", "_copies")
     width, height = F.col("width"), F.col("height")
     sides = [F.round(F.col("rect.x") * width, 2), F.round(F.col("rect.y") * height, 2),
              F.round(F.col("rect.w") * width, 2), F.round(F.col("rect.h") * height, 2)]
@@ -168,6 +188,7 @@ def coco_annotations(numbered: DataFrame, images: DataFrame, annotations: DataFr
         F.round(p[0] * width, 2), F.round(p[1] * height, 2))))
     segmentation = F.when(F.col("kind") == "polygon", F.to_json(F.array(ring))).otherwise("[]")
     area = F.round(F.element_at("bbox", 3) * F.element_at("bbox", 4), 2)
+    objects = shapes.join(owners, "asset_id")
     if "mask" in annotations.columns:
         segmentation = F.when(F.col("kind") == "mask", F.to_json("mask")).otherwise(segmentation)
         facts = mask_facts(F.col("mask.size"), F.col("mask.counts"))
@@ -175,9 +196,13 @@ def coco_annotations(numbered: DataFrame, images: DataFrame, annotations: DataFr
         area = F.when(F.col("kind") == "mask", F.col("_area").cast("double")).otherwise(area)
     rows = (objects.withColumns({"bbox": F.array(*sides), "segmentation": segmentation}).withColumn("area", area)
             .select("asset_id", "split", F.col(seq).alias("seq"), (F.col("class_index") + 1).alias("category_id"),
-                    "bbox", "area", "segmentation"))
-    placed = rows.join(numbered.select("asset_id", F.col("id").alias("image_id")), "asset_id")
-    ranked = with_rank(placed, [F.col(c) for c in ("image_id", "seq", "category_id", "bbox", "segmentation")], ["split"], "_r")
+                    "bbox", "area", "segmentation", "image_id", *(["_before"] if plain else [])))
+    order = [F.col(c) for c in ("seq", "category_id", "bbox", "segmentation")]
+    if plain:  # the rows of an asset lie together after the join
+        place = F.col("_before") + F.row_number().over(Window.partitionBy("asset_id").orderBy(*order))
+        ranked = rows.withColumn("_r", place)
+    else:
+        ranked = with_rank(rows, [F.col("image_id"), *order], ["split"], "_r")
     return ranked.select("split", (F.col("_r") - 1).alias("id"), "image_id", "category_id", "bbox", "area",
                          "segmentation", F.lit(0).alias("iscrowd"))
 
@@ -242,7 +267,7 @@ def _corners(low_x: int, low_y: int, min_side: int) -> dict[str, Column]:
 
 def voc(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str = "ann_key") -> DataFrame:
     """One XML document per sized image."""
-    objects = _objects(annotations, _sized(images), classes).filter("rect is not null")
+    objects = _objects(annotations, _sized(images), classes).filter(has_rect(annotations))
     box = _corners(1, 1, 0)
     sides = F.concat(*[F.concat(F.lit(f"<{k}>"), v.cast("string"), F.lit(f"</{k}>")) for k, v in box.items()])
     node = F.concat(F.lit("<object><name>"), xml_escape(F.coalesce("class_name", F.lit(""))),
@@ -275,7 +300,7 @@ def classification(images: DataFrame, annotations: DataFrame, seq: str = "ann_ke
 
 def createml(images: DataFrame, annotations: DataFrame, classes: DataFrame, seq: str = "ann_key") -> DataFrame:
     """(split, image, place, seq, line): pieces of one JSON record per image; coordinates are box centres in pixels."""
-    objects = _objects(annotations, _sized(images), classes).filter("rect is not null")
+    objects = _objects(annotations, _sized(images), classes).filter(has_rect(annotations))
     x, y, w, h = (F.col(f"rect.{c}") for c in ("x", "y", "w", "h"))
     width, height = F.col("width"), F.col("height")
     place = F.struct(F.round((x + w / 2) * width, 2).alias("x"), F.round((y + h / 2) * height, 2).alias("y"),
@@ -296,7 +321,7 @@ def reduced_shapes(annotations: DataFrame) -> DataFrame:
 
 def tfcsv(images: DataFrame, annotations: DataFrame, classes: DataFrame) -> DataFrame:
     """(split, filename, width, height, class, xmin, ymin, xmax, ymax): one row per object."""
-    objects = _objects(annotations, _sized(images), classes).filter("rect is not null")
+    objects = _objects(annotations, _sized(images), classes).filter(has_rect(annotations))
     box = _corners(0, 0, 1)
     return objects.select("split", F.concat("stem", "ext").alias("filename"), F.col("width").cast("int").alias("width"),
                           F.col("height").cast("int").alias("height"), F.col("class_name").alias("class"),

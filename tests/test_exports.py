@@ -78,6 +78,44 @@ def test_coco(tables):
     assert {(r["split"], r["id"]) for r in numbered.collect()} == {("train", 0), ("train", 1), ("valid", 0)}
 
 
+def counting(spark):
+    """A text column that counts how often it is worked out."""
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        worked.add(1)
+        return text
+
+    return worked, seen.asNondeterministic()
+
+
+def test_coco_ids_without_ranking_objects(spark, tables):
+    images, anns, classes = tables
+    numbered = X.coco_images(images)
+    order = ("split", "id")
+    plain, ranked = ([tuple(r) for r in X.coco_annotations(numbered, images, anns, classes, crowded=n).orderBy(*order).collect()] for n in (9, 0))
+    assert plain == ranked and len(plain) == 4
+    twice = images.unionByName(images)
+    rows = X.coco_annotations(X.coco_images(twice), twice, anns, classes).collect()
+    assert len(rows) == 16 and len({(r["split"], r["id"]) for r in rows}) == 16
+    worked, seen = counting(spark)
+    X.coco_annotations(numbered, images, anns.withColumn("ann_key", seen("ann_key")), classes).collect()
+    assert worked.value <= anns.count()
+
+
+def test_names_and_lines_are_made_once(spark, tables):
+    worked, seen = counting(spark)
+    images = spark.createDataFrame([(i, f"img_{i % 3}.jpg") for i in range(20)], "asset_id long, file_name string")
+    assert X.unique_names(images.withColumn("file_name", seen("file_name"))).count() == 20
+    assert worked.value == 20
+    worked, seen = counting(spark)
+    lines = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "key string, seq int, line string")
+    found = P.separated(lines.withColumn("line", seen("line")), "key").collect()
+    assert sorted((r["key"], r["line"]) for r in found) == [("a", ",y"), ("a", "x"), ("b", "z")]
+    assert worked.value == 3
+
+
 def test_voc(tables):
     files = files_of(X.voc(*tables))
     assert "<xmin>10</xmin><ymin>40</ymin><xmax>50</xmax><ymax>120</ymax>" in files["train/cat.xml"]
