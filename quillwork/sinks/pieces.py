@@ -14,6 +14,7 @@ from ..scratch import materialise
 
 def separated(lines: DataFrame, key: str, glue: str = ",") -> DataFrame:
     """(key, seq, line): every line but the first of its key has ``glue`` in front."""
+    lines = materialise(lines.select(key, "seq", "line"), "lines")  # made once, not for the first of each key and again
     first = materialise(lines.groupBy(key).agg(F.min(F.struct("seq", "line")).alias("_first")).withColumnRenamed(key, "_key"), "firsts")
     later = F.struct("seq", "line") != F.col("_first")
     return lines.join(first, F.col(key) == F.col("_key")).select(
