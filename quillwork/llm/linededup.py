@@ -6,8 +6,9 @@
    fixed probing order. Bands of the signature become bucket entries. They travel packed, 12 bytes each, and never
    with the text.
 3. In each bucket every line is first paired with the smallest and with the next one, which spans the bucket.
-4. The lines that are in some pair (few) are fetched, and the exact Jaccard similarity of their shingle sets is
-   computed; pairs at or above the threshold are links.
+4. The lines that are in some pair (few) are fetched with a sketch, which of ``BINS`` bins their shingles fall in. Two
+   sketches bound what two lines can have in common, so of pairs that cannot reach the threshold no text travels. For the
+   others the exact Jaccard similarity of the shingle sets is computed; pairs at or above the threshold are links.
 5. Buckets that these links do not join into one component are settled: all pairs of different components are checked.
    Buckets of more than ``CROWD`` lines are cut into blocks: every block of lines outside the bucket's largest component
    meets every block of the bucket in a task, which counts the shingles in common and keeps the links that span.
@@ -33,6 +34,8 @@ SHINGLE, BANDS, ROWS = 5, 16, 6
 CELLS = BANDS * ROWS
 CROWD = 32  # lines of a bucket that are all paired where its first links leave it apart
 BLOCK = 1024  # lines of a larger bucket that meet as many others in one task
+BINS = 512  # bits of a sketch
+SEEN = 500_000  # lines that a task remembers to have sent
 EMPTY = np.uint32(0xFFFFFFFF)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -59,9 +62,8 @@ def packed_shingles(line: str) -> np.ndarray | None:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def similarity(a: str, b: str, packed: np.ndarray | None) -> float:
-    """Exact Jaccard similarity of the shingle sets; ``packed`` are the packed shingles of ``a``."""
-    other = packed_shingles(b) if packed is not None else None
+def similarity(a: str, b: str, packed: np.ndarray | None, other: np.ndarray | None) -> float:
+    """Exact Jaccard similarity of the shingle sets; ``packed`` and ``other`` are the packed shingles of both."""
     if packed is None or other is None:
         return jaccard(shingles(a), shingles(b))
     both = np.concatenate([packed, other])
@@ -83,25 +85,64 @@ def hashed_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(codes) - SHINGLE + 1
     hashed = codes[:n].copy()
     for i in range(1, SHINGLE):
-        hashed = hashed * _M1 + codes[i:i + n]
-    hashed ^= hashed >> np.uint64(31)
-    hashed *= _M2
-    hashed ^= hashed >> np.uint64(29)
+        hashed *= _M1
+        hashed += codes[i:i + n]
     line = np.repeat(np.arange(len(lines)), padded)[:n]
     inside = np.ones(len(codes), dtype=bool)
     ends = np.cumsum(padded)
     for i in range(1, SHINGLE):
         inside[ends - i] = False  # would reach into the next line
     inside = inside[:n]
-    return hashed[inside], line[inside]
+    hashed, line = hashed[inside], line[inside]
+    hashed ^= hashed >> np.uint64(31)
+    hashed *= _M2
+    hashed ^= hashed >> np.uint64(29)
+    return hashed, line
+
+
+def sketches(lines: list[str]) -> list[bytes]:
+    """Of each line the number of its shingles, repeats included (4 bytes), and a bit for each bin that has some."""
+    out, start = [], 0
+    while start < len(lines):
+        end, chars = start, 0
+        while end < len(lines) and chars < 100_000:
+            chars += len(lines[end])
+            end += 1
+        number, line = hashed_shingles(lines[start:end])
+        bins = np.zeros((end - start) * BINS, dtype=bool)
+        bins[line * BINS + (number >> np.uint64(64 - 9)).astype(np.int64)] = True
+        counts = np.bincount(line, minlength=end - start).astype("<u4").view(np.uint8).reshape(-1, 4)
+        made = np.concatenate([counts, np.packbits(bins.reshape(-1, BINS), axis=1)], axis=1).tobytes()
+        width = 4 + BINS // 8
+        out += [made[i:i + width] for i in range(0, len(made), width)]
+        start = end
+    return out
+
+
+def may_reach(left: list[bytes], right: list[bytes], threshold: float) -> np.ndarray:
+    """Whether two lines of these sketches can have the similarity.
+
+    A bin that only one of them uses holds a shingle the other does not have, so it counts in the union and not in common.
+    """
+    if not len(left):
+        return np.ones(0, dtype=bool)
+    one, two = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (left, right))
+    n, m = (np.ascontiguousarray(x[:, :4]).view("<u4")[:, 0].astype(np.int64) for x in (one, two))
+    only, other = (np.bitwise_count(a[:, 4:] & ~b[:, 4:]).sum(axis=1, dtype=np.int64) for a, b in ((one, two), (two, one)))
+    common = np.minimum(n - only, m - other)
+    return common >= threshold * (common + only + other) - 1e-6
 
 
 def signatures(lines: list[str], probes: np.ndarray) -> np.ndarray:
     """(lines, CELLS) of 32-bit minima."""
     hashed, line = hashed_shingles(lines)
-    cell = ((hashed >> np.uint64(32)) * np.uint64(CELLS)) >> np.uint64(32)
+    cell = hashed >> np.uint64(32)
+    cell *= np.uint64(CELLS)
+    cell >>= np.uint64(32)
+    line *= CELLS
+    line += cell.view(np.int64)
     out = np.full(len(lines) * CELLS, EMPTY, dtype=np.uint32)
-    np.minimum.at(out, line * CELLS + cell.astype(np.int64), (hashed & np.uint64(0x7FFFFFFF)).astype(np.uint32))
+    np.minimum.at(out, line, hashed.astype(np.uint32) & np.uint32(0x7FFFFFFF))
     out = out.reshape(len(lines), CELLS)
     full = out != EMPTY
     row, col = np.nonzero(~full)
@@ -131,6 +172,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 def _entries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Packed bucket entries (4 bytes of bucket and 8 of id) by part, from (id, line) rows."""
     probes = _probes()
+    seen: set[int] = set()
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     small = np.uint16 if parts < 1 << 16 else np.int64  # 16 bits are sorted by radix
 
@@ -154,13 +196,18 @@ def _entries(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     for batch in batches:
         distinct = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         ids, lines, chars = [], [], 0
+        if len(seen) > SEEN:
+            seen.clear()
         for i, text in distinct.items():
+            if i in seen:
+                continue
             ids.append(i)
             lines.append(text)
             chars += len(text)
             if chars > 100_000 or len(ids) >= 4096:
                 add(ids, lines)
                 ids, lines, chars = [], [], 0
+        seen.update(distinct)
         if ids:
             add(ids, lines)
         if sum(len(i) for _, _, i in held) > 3_000_000:
@@ -336,12 +383,57 @@ def prefix_pairs(lines: DataFrame, threshold: float) -> DataFrame:
 
 def _lines(keyed: DataFrame, text: str, key: list[str]) -> DataFrame:
     """(key, line_no, line, h1, h2) of the non-blank lines."""
-    lines = keyed.select(*key, F.posexplode(F.split(column(text), "\n")).alias("line_no", "raw"))
-    lines = lines.withColumn("line", F.lower(F.btrim("raw", F.lit(" \t\r\x0b\x0c")))).filter("line <> ''")
+    blanks = F.lit(" \t\r\x0b\x0c")
+    # lower-cased as a whole, since a line break ends every context; blank lines are told by their beginning
+    lines = keyed.select(*key, F.posexplode(F.split(F.lower(column(text)), "\n")).alias("line_no", "raw"))
+    lines = lines.filter(F.ltrim("raw", blanks) != "").withColumn("line", F.btrim("raw", blanks))
     return lines.select(*key, "line_no", "line", F.xxhash64("line").alias("h1"),
                         F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def _alike(pairs: DataFrame, texts: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b): the nodes of the ``pairs`` (a, b: values of ``key``) of lines that reach the threshold, written."""
+
+    @F.pandas_udf("boolean")
+    def maybe(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series(may_reach(left.tolist(), right.tolist(), threshold))
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        packed: dict[str, np.ndarray | None] = {}  # a line is in several pairs that lie together
+
+        def of(line: str) -> np.ndarray | None:
+            if line not in packed:
+                if len(packed) > 1000:
+                    packed.clear()
+                packed[line] = packed_shingles(line)
+            return packed[line]
+
+        return pd.Series([similarity(a, b, of(a), of(b)) >= threshold for a, b in zip(left, right)], dtype=bool)
+
+    def side(n: str, *what: str) -> DataFrame:
+        return texts.select(F.col(key).alias(n), *[F.col(c).alias(f"{c}_{n}") for c in what])
+
+    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").filter(maybe("sketch_a", "sketch_b"))
+    near = stored(near.select("a", "b"), "line-near")
+    nodes = [] if key == "node" else ["node"]
+    checked = near.join(side("a", "line", *nodes), "a").join(side("b", "line", *nodes), "b").filter(alike("line_a", "line_b"))
+    ends = [F.col(f"node_{n}" if nodes else n).alias(n) for n in "ab"]
+    return stored(checked.select(*ends), "line-links")
+
+
+def joined_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (node, root) of the links so far with further links (a, b): only the roots of these are joined anew."""
+    ends = [roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab"]
+    between = stored(more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), "line-links")
+    if not between.limit(1).count():
+        return roots
+    tops = stored(components(between), "line-tops")
+    over = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(tops)
+
+
 def similar_lines(lines: DataFrame, n_distinct: int, threshold: float, broadcast_rows: int,
                   crowd: int = CROWD) -> DataFrame:
     """(h1, h2, node, root): the lines that are linked to others, with the smallest node of their component."""
@@ -352,33 +444,21 @@ def similar_lines(lines: DataFrame, n_distinct: int, threshold: float, broadcast
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
     few = wanted.count() <= broadcast_rows  # long ids only: 8 bytes a row
     some = lines.select("h1", "h2", "line").join(F.broadcast(wanted) if few else wanted, F.col("h1") == F.col("id"), "left_semi")
-    texts = stored(some.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-                   .withColumn("node", F.monotonically_increasing_id()), "line-texts", "zstd")
 
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        last, packed, out = None, None, []
-        for a, b in zip(left, right):
-            if a != last:
-                last, packed = a, packed_shingles(a)
-            out.append(similarity(a, b, packed) >= threshold)
-        return pd.Series(out, dtype=bool)
-
-    one = texts.select(F.col("h1").alias("a"), F.col("node").alias("node_a"), F.col("line").alias("line_a"))
-    two = texts.select(F.col("h1").alias("b"), F.col("node").alias("node_b"), F.col("line").alias("line_b"))
-    checked = pairs.join(one, "a").join(two, "b").filter(alike("line_a", "line_b"))
-    links = stored(checked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "line-links")
+    @F.pandas_udf("binary")
+    def sketch(lines: pd.Series) -> pd.Series:
+        return pd.Series(sketches(lines.tolist()), dtype=object)
+
+    texts = stored(some.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+                   .withColumn("node", F.monotonically_increasing_id()).withColumn("sketch", sketch("line")), "line-texts", "zstd")
+    links = _alike(pairs.select("a", "b"), texts, "h1", threshold)
     roots = components(links)
     if pairs.filter("more").limit(1).count():
         apart = _unsettled(pairs, texts, roots)
         if apart.limit(1).count():
-            left, right = (texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
-            checked = _open_pairs(apart, texts, threshold, crowd).join(left, "a").join(right, "b").filter(alike("line_a", "line_b"))
-            more = stored(checked.select("a", "b"), "line-links")
-            if more.limit(1).count():
-                roots = components(stored(links.unionByName(more), "line-links"))
+            roots = joined_roots(roots, _alike(_open_pairs(apart, texts, threshold, crowd), texts, "node", threshold))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    return texts.drop("line").join(linked, "node")
+    return texts.select("h1", "h2", "node").join(linked, "node")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8,

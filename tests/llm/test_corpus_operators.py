@@ -1,6 +1,7 @@
 """Operators that compare documents with each other, with rules, or with a benchmark."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -400,3 +401,39 @@ def test_sample_is_bounded_whatever_repeats(spark):
         taken = sample_by_label(rows, "lang", 500)
         assert 700 < len(taken) < 1300 and not taken.duplicated().any()
     assert len(sample_by_label(rows.limit(0), "lang", 5)) == 0
+
+
+def test_sketches_lose_no_similar_line():
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcdefgh \u03c3\u4e2d") for _ in range(rng.randint(1, 300))) for _ in range(300)]
+    lines += ["aaaa" * 50, "ab\0\0\0", "ab", "a" * 4, "x" * 2000]
+    pairs = [(x, x[:i] + rng.choice("ab") + x[i + rng.randint(0, 3):]) for x in lines for i in range(0, len(x), 1 + len(x) // 5)]
+    pairs += list(zip(lines, lines[1:]))
+    near = [linededup.jaccard(linededup.shingles(a), linededup.shingles(b)) >= 0.8 for a, b in pairs]
+    may = linededup.may_reach(linededup.sketches([a for a, _ in pairs]), linededup.sketches([b for _, b in pairs]), 0.8)
+    assert all(m for n, m in zip(near, may) if n) and sum(near) > 100 and (~may).sum() > 200
+    assert len(linededup.may_reach([], [], 0.8)) == 0
+
+
+def test_a_line_is_sent_once_by_a_task():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array(["a line of text", "quite another line"])], names=["h1", "line"])
+    sent = [np.frombuffer(i.as_py(), "<i8") for b in linededup._entries(iter([batch, batch, batch]), 4) for i in b.column("ids")]
+    assert sorted(np.concatenate(sent).tolist()) == [1] * linededup.BANDS + [2] * linededup.BANDS
+
+
+def test_lines_are_lower_cased_like_single_lines(spark):
+    text = "\u039f\u0394\u039f\u03a3\n \u03a3 \r\n\t\x0b\x0c\n\u03a3\u0391\n\n A\u0130 \u00c4"
+    docs = raw(spark, [(1, text)])
+    got = {r.line_no: r.line for r in linededup._lines(docs, "text", ["doc_id"]).collect()}
+    strip = " \t\r\x0b\x0c"
+    assert got == {i: x.strip(strip).lower() for i, x in enumerate(text.split("\n")) if x.strip(strip)}
+
+
+def test_roots_with_further_links(spark):
+    links = spark.createDataFrame([(1, 5), (5, 9), (2, 6), (3, 7)], "a long, b long")
+    more = spark.createDataFrame([(9, 6), (8, 7), (0, 8), (11, 12)], "a long, b long")
+    whole = {r.node: r.root for r in components(links.unionByName(more)).collect()}
+    assert {r.node: r.root for r in linededup.joined_roots(components(links), more).collect()} == whole
+    assert {r.node: r.root for r in linededup.joined_roots(components(links), more.limit(0)).collect()} == {5: 1, 9: 1, 6: 2, 7: 3}
