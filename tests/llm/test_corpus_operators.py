@@ -403,6 +403,17 @@ def test_sample_is_bounded_whatever_repeats(spark):
     assert len(sample_by_label(rows.limit(0), "lang", 5)) == 0
 
 
+def test_runs_of_many_masks_at_once():
+    rng = random.Random(5)
+    masks = [np.array([rng.random() < 0.6 for _ in range(rng.randint(1, 12))]) for _ in range(300)]
+    plain = []
+    for i, mask in enumerate(masks):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+        plain += [(i, a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+    assert list(zip(*(x.tolist() for x in suffix_dedup.mask_runs(masks)))) == plain
+    assert [len(x) for x in suffix_dedup.mask_runs([])] == [0, 0, 0]
+
+
 def test_sketches_lose_no_similar_line():
     rng = random.Random(3)
     lines = ["".join(rng.choice("abcdefgh \u03c3\u4e2d") for _ in range(rng.randint(1, 300))) for _ in range(300)]
